@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters of a safe name, and what counts as visible text.
+# Characters of a safe name; a character that makes a query text non-blank (white
+# space includes the separators 1C to 1F); white space that clients strip from a text (the byte
+# order mark is stripped, the next-line sign is not).
 SAFE_NAME = r"^[a-zA-Z0-9_.]+\z"
-VISIBLE = r"(?U)\S"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+VISIBLE = r"(?U)[^\s\x1C-\x1F]"
+EDGE_SPACE = r"(?U)^[\s\uFEFF&&[^\x85]]+|[\s\uFEFF&&[^\x85]]+\z"
 
 
 def has_text(col: Column) -> Column:

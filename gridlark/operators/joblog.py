@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.functions.text import has_text, stripped
+from gridlark.functions.text import stripped
 
 # The states of a job, and how many jobs and query texts are kept.
 QUEUED, RUNNING, SUCCEEDED, FAILED = "queued", "running", "succeeded", "failed"
@@ -118,8 +118,9 @@ def recent_queries(log: DataFrame, n: int = KEPT_QUERIES) -> DataFrame:
     The text without outer white space is the key, its latest submission wins, blanks are dropped.
     """
     return (
-        log.where(has_text(F.col("query_text")))
-        .groupBy(stripped(F.col("query_text")).alias("query"))
+        log.withColumn("query", stripped(F.col("query_text")))
+        .where(F.col("query") != "")
+        .groupBy("query")
         .agg(F.max(F.struct("ts", "seq", "query_text")).alias("latest"))
         .select("query", "latest.ts", "latest.seq", F.col("latest.query_text").alias("query_text"))
         .orderBy(F.desc("ts"), F.desc("seq"))

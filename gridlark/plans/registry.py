@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from gridlark.plans import sqlset
+from gridlark.plans import joblog_queries, ordered_queries, sqlset
 from gridlark.plans.query import Query
 
-QUERIES: dict[str, Query] = {**sqlset.QUERIES}
+QUERIES: dict[str, Query] = {
+    **sqlset.QUERIES,
+    **ordered_queries.QUERIES,
+    **joblog_queries.QUERIES,
+}
