@@ -189,8 +189,11 @@ def file_inventory(
     per_file = df.groupBy(_file_path().alias("file_path")).agg(*totals)
 
     def as_map(kind: str) -> Column:
-        pairs = [F.struct(F.lit(f.name), F.col(f"{kind}_{i}")) for i, f in enumerate(columns)]
-        known = F.filter(F.array(*pairs), lambda p: p["col2"].isNotNull())
+        pairs = [
+            F.struct(F.lit(f.name).alias("key"), F.col(f"{kind}_{i}").alias("value"))
+            for i, f in enumerate(columns)
+        ]
+        known = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
         return F.map_from_entries(known).alias(kind)
 
     parts = [F.col(f"part_{i}").alias(c) for i, c in enumerate(partition_by)]

@@ -148,9 +148,9 @@ def ranked(
         whole = Window.partitionBy(*keys)
         return df.select(
             "*",
-            F.row_number().over(total).alias("row_number"),
-            F.rank().over(ties).alias("rank"),
-            F.dense_rank().over(ties).alias("dense_rank"),
+            F.row_number().over(total).cast("long").alias("row_number"),
+            F.rank().over(ties).cast("long").alias("rank"),
+            F.dense_rank().over(ties).cast("long").alias("dense_rank"),
             F.count(F.lit(1)).over(ties).alias("tie_end"),
             F.count(F.lit(1)).over(whole).alias("group_rows"),
         )
@@ -211,9 +211,9 @@ def ranked(
     first_tie = F.coalesce(F.col("_kt") + F.col("_ties0"), F.col("_kt0"))
     return done.select(
         *df.columns,
-        (F.col("_pos") - start + 1).cast("int").alias("row_number"),
-        (F.coalesce("_ts", "_ts0") - start + 1).cast("int").alias("rank"),
-        (F.col("_ties") + F.col("_ties0") - first_tie + 1).cast("int").alias("dense_rank"),
+        (F.col("_pos") - start + 1).alias("row_number"),
+        (F.coalesce("_ts", "_ts0") - start + 1).alias("rank"),
+        (F.col("_ties") + F.col("_ties0") - first_tie + 1).alias("dense_rank"),
         (F.coalesce("_te", "_te0") - start + 1).alias("tie_end"),
         (F.coalesce("_ke", "_ke0") - start + 1).alias("group_rows"),
     )

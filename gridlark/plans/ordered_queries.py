@@ -35,9 +35,9 @@ def win_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 WIN_RANK = """
     SELECT o_orderkey, o_orderpriority,
-           CAST(row_number() OVER (w ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS row_number,
-           CAST(rank() OVER (w ORDER BY o_orderdate) AS INTEGER) AS rank,
-           CAST(dense_rank() OVER (w ORDER BY o_orderdate) AS INTEGER) AS dense_rank
+           row_number() OVER (w ORDER BY o_orderdate, o_orderkey) AS row_number,
+           rank() OVER (w ORDER BY o_orderdate) AS rank,
+           dense_rank() OVER (w ORDER BY o_orderdate) AS dense_rank
     FROM orders WINDOW w AS (PARTITION BY o_orderpriority)
 """
 

@@ -18,8 +18,8 @@ def ensure_namespace(spark: SparkSession, namespace: str, location: str | None =
     try:
         spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}{place}")
         return True
-    except Exception:
-        log.warning("could not create namespace %s", namespace, exc_info=True)
+    except Exception as e:
+        log.warning("could not create namespace %s: %s", namespace, str(e).splitlines()[0])
         return False
 
 
