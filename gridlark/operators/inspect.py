@@ -16,6 +16,13 @@ LISTED_ROWS = 250
 MEGABYTE = 1024.0 * 1024.0
 UNKNOWN = "N/A"
 
+# Columns of the file list, in order.
+FILE_COLUMNS = (
+    "content file_path file_format spec_id partition record_count file_size_mb column_sizes value_counts "
+    "null_value_counts nan_value_counts lower_bounds upper_bounds key_metadata split_offsets equality_ids "
+    "sort_order_id"
+).split()
+
 UNORDERED = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.CalendarIntervalType)
 
 
@@ -152,9 +159,8 @@ def snapshots(log: DataFrame, n: int = LISTED_ROWS) -> DataFrame:
 # Files and partitions ------------------------------------------------------------------------
 
 
-def _file_path() -> Column:
-    """Path of the row's file, decoded. A plus sign in it is no space."""
-    raw = F.col("_metadata.file_path")
+def _decoded(raw: Column) -> Column:
+    """A file path without URL encoding. A plus sign in it is no space."""
     return same_path(F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
 
 
@@ -186,7 +192,8 @@ def file_inventory(
     for kind, make in per_column.items():
         for i, f in enumerate(columns):
             totals.append(make(F.col(quoted(f.name)), f.dataType).alias(f"{kind}_{i}"))
-    per_file = df.groupBy(_file_path().alias("file_path")).agg(*totals)
+    # Grouped by the path as it comes; it is decoded once per file, not once per row.
+    per_file = df.groupBy(F.col("_metadata.file_path").alias("raw_path")).agg(*totals)
 
     def as_map(kind: str) -> Column:
         pairs = [
@@ -198,7 +205,7 @@ def file_inventory(
 
     parts = [F.col(f"part_{i}").alias(c) for i, c in enumerate(partition_by)]
     files = per_file.select(
-        "file_path",
+        _decoded(F.col("raw_path")).alias("file_path"),
         "record_count",
         "file_size_in_bytes",
         "last_modified",
@@ -223,37 +230,29 @@ def files(
     """File list: what a file holds, its size in MB, and counts and bounds per column.
 
     ``footers`` adds column sizes and row-group offsets. ``partition`` is listed only where the
-    table has one.
+    table has one. An inventory that a table format keeps itself is listed with its own columns.
     """
     if footers is not None:
         extra = footers.select("file_path", "column_sizes", "split_offsets")
         inventory = inventory.join(extra, "file_path", "left")
-    else:
-        inventory = inventory.withColumns(
-            {
-                "column_sizes": F.lit(None).cast("map<string,bigint>"),
-                "split_offsets": F.lit(None).cast("array<bigint>"),
-            }
-        )
-    listed = inventory.select(
-        F.lit(0).alias("content"),
-        "file_path",
-        F.lit(file_format).alias("file_format"),
-        F.lit(0).alias("spec_id"),
-        *(["partition"] if "partition" in inventory.columns else []),
-        "record_count",
-        (F.col("file_size_in_bytes") / F.lit(MEGABYTE)).alias("file_size_mb"),
-        "column_sizes",
-        "value_counts",
-        "null_value_counts",
-        "nan_value_counts",
-        "lower_bounds",
-        "upper_bounds",
-        F.lit(None).cast("binary").alias("key_metadata"),
-        "split_offsets",
-        F.lit(None).cast("array<int>").alias("equality_ids"),
-        F.lit(0).alias("sort_order_id"),
-    )
+    absent = {
+        "content": F.lit(0),
+        "file_format": F.lit(file_format),
+        "spec_id": F.lit(0),
+        "column_sizes": F.lit(None).cast("map<string,bigint>"),
+        "key_metadata": F.lit(None).cast("binary"),
+        "split_offsets": F.lit(None).cast("array<bigint>"),
+        "equality_ids": F.lit(None).cast("array<int>"),
+        "sort_order_id": F.lit(0),
+    }
+    there = set(inventory.columns)
+
+    def listed_column(name: str) -> Column:
+        if name == "file_size_mb":
+            return (F.col("file_size_in_bytes") / F.lit(MEGABYTE)).alias(name)
+        return F.col(name) if name in there else absent[name].alias(name)
+
+    listed = inventory.select(*[listed_column(c) for c in FILE_COLUMNS if c != "partition" or c in there])
     return listed if n is None else listed.orderBy("file_path").limit(n)
 
 
@@ -304,6 +303,14 @@ def _with_commas(n: Column) -> Column:
     return F.format_number(n.cast("decimal(38,0)"), 0)
 
 
+def _partition_columns(df: DataFrame) -> Column:
+    """Names of the partition columns, given at least one row; null where there are none."""
+    names = ""
+    if "partition" in df.columns and isinstance(df.schema["partition"].dataType, T.StructType):
+        names = ", ".join(df.schema["partition"].dataType.fieldNames())
+    return F.when((F.count(F.lit(1)) > 0) & F.lit(bool(names)), F.lit(names)).alias("partition_columns")
+
+
 def table_metrics(
     snapshot_rows: DataFrame | None = None,
     file_rows: DataFrame | None = None,
@@ -312,8 +319,9 @@ def table_metrics(
 ) -> DataFrame:
     """Six numbers in one row; each source may be missing and gives ``N/A`` then.
 
-    The row count is the newest snapshot's ``total-records``, else the sum over files. Every source
-    is one aggregate; their one-row results are stacked and merged.
+    The row count is the newest snapshot's ``total-records``, else the sum over files. Without a
+    partition list the partition columns come from the files. Every source is one aggregate; their
+    one-row results are stacked and merged.
     """
     given = [d for d in (snapshot_rows, file_rows, partition_rows, df) if d is not None]
     if not given:
@@ -332,19 +340,19 @@ def table_metrics(
         )
     if file_rows is not None:
         mean = F.sum("file_size_in_bytes") / F.lit(MEGABYTE) / F.count(F.lit(1))
+        from_files = [_partition_columns(file_rows)] if partition_rows is None else []
         parts.append(
             file_rows.agg(
+                *from_files,
                 _with_commas(F.sum("record_count")).alias("file_rows"),
                 F.concat(F.replace(F.format_number(mean, 2), F.lit(","), F.lit("")), F.lit(" MB")).alias(
                     "avg_file_size"
                 ),
             )
         )
-    if partition_rows is not None and "partition" in partition_rows.columns:
-        names = ", ".join(partition_rows.schema["partition"].dataType.fieldNames())
-        parts.append(
-            partition_rows.agg(F.when(F.count(F.lit(1)) > 0, F.lit(names)).alias("partition_columns"))
-        )
+    if partition_rows is not None:
+        # One row tells whether there is a partition at all.
+        parts.append(partition_rows.limit(1).agg(_partition_columns(partition_rows)))
     if df is not None:
         parts[0] = parts[0].select(F.lit(str(len(df.schema.fields))).alias("column_count"))
     merged = parts[0]

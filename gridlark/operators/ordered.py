@@ -39,6 +39,21 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def _limit(group_rows: int | None) -> int:
+    return GROUP_ROWS if group_rows is None else group_rows
+
+
+def _fits(keys: Sequence[str], group_rows: int, *inputs: DataFrame) -> bool:
+    """Does every key have at most ``group_rows`` rows over all inputs together?
+
+    Reads the key columns of the inputs only.
+    """
+    rows = inputs[0].select(*keys)
+    for df in inputs[1:]:
+        rows = rows.unionAll(df.select(*keys))
+    return largest_group(rows, keys) <= group_rows
+
+
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
@@ -94,13 +109,14 @@ def neighbours(
     expressions: Expressions,
     before: int = 0,
     after: int = 0,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead.
 
     Covers ``lag``, ``lead`` and ROWS frames. An expression receives the window it runs over.
     """
-    if largest_group(df, keys) <= group_rows:
+    group_rows = _limit(group_rows)
+    if _fits(keys, group_rows, df):
         window = Window.partitionBy(*keys).orderBy(*_columns(order))
         return df.select("*", *[make(window).alias(name) for name, make in expressions.items()])
     spread = _with_halo(_blocks(df, keys, order, group_rows), group_rows, before, after)
@@ -135,14 +151,15 @@ def ranked(
     keys: Sequence[str],
     by: Sequence[str],
     unique: Sequence[str],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Ranks inside each key: ``row_number, rank, dense_rank, tie_end, group_rows``.
 
     ``by`` decides ties (ascending, nulls first), ``unique`` makes the order total. ``tie_end`` is
     the number of rows up to and including the row's ties.
     """
-    if largest_group(df, keys) <= group_rows:
+    group_rows = _limit(group_rows)
+    if _fits(keys, group_rows, df):
         total = Window.partitionBy(*keys).orderBy(*by, *unique)
         ties = Window.partitionBy(*keys).orderBy(*by)
         whole = Window.partitionBy(*keys)
@@ -246,7 +263,7 @@ def percentiles(
     value: str,
     unique: Sequence[str],
     points: dict[str, float],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per key, from row positions instead of a map of all values."""
     rows = ranked(df.where(F.col(value).isNotNull()), keys, [value], unique, group_rows)
@@ -261,10 +278,15 @@ def percentiles(
 
 
 def _running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Sequence[str], group_rows: int
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    sums: Sequence[str],
+    group_rows: int,
+    plain: bool,
 ) -> DataFrame:
     """Running sums ``_sum_<name>``; only their differences inside one key have a meaning."""
-    if largest_group(df, keys) <= group_rows:
+    if plain:
         upto = (
             Window.partitionBy(*keys)
             .orderBy(*_columns(order))
@@ -296,7 +318,7 @@ def range_sums(
     low: Column | None = None,
     open_low: bool = False,
     open_high: bool = False,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """For each left row, sums over the right rows of its key with ``low <= at <= high``.
 
@@ -306,6 +328,9 @@ def range_sums(
     them count as 0. ``open_low`` and ``open_high`` leave the bound itself out.
     """
     names = list(measures)
+    group_rows = _limit(group_rows)
+    # Each left row adds a start and an end to its key.
+    plain = _fits(keys, group_rows, right, left, left)
     points = (
         right.dropna(subset=[*keys, at])
         .groupBy(*keys, F.col(at).alias("_at"))
@@ -332,7 +357,7 @@ def range_sums(
         .unionByName(probes(low, 2 if open_low else 0, -1))
     )
     order = ["_at", "_place", "_sign", *left_id]
-    ends = _running_totals(rows, keys, order, names, group_rows).where(F.col("_sign") != 0)
+    ends = _running_totals(rows, keys, order, names, group_rows, plain).where(F.col("_sign") != 0)
     return ends.groupBy(*left_id).agg(*[F.sum(F.col("_sign") * F.col(f"_sum_{n}")).alias(n) for n in names])
 
 
@@ -344,7 +369,7 @@ def asof(
     left_at: str,
     right_at: str,
     take: Sequence[str],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Left rows with the columns ``take`` of the newest right row at or before them, else nulls.
 
@@ -376,7 +401,8 @@ def asof(
         )
     )
     order = ["_at", "_side", *[f"_id_{c}" for c in left_id]]
-    if largest_group(rows, keys) <= group_rows:
+    group_rows = _limit(group_rows)
+    if _fits(keys, group_rows, right, left):
         window = Window.partitionBy(*keys).orderBy(*order)
         upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         joined = rows.withColumn("_hit", F.last("_seen", ignorenulls=True).over(upto))
@@ -413,7 +439,7 @@ def sessions(
     at: str,
     gap_seconds: int,
     measures: dict[str, Column],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Sessions per key: runs of rows whose neighbours are at most the gap apart.
 
@@ -427,12 +453,14 @@ def sessions(
         .groupBy(*keys, slice_no.alias("_slice"))
         .agg(F.min(at).alias("_from"), F.max(at).alias("_to"), *[F.sum(m).alias(n) for n, m in measures.items()])
     )
+    group_rows = _limit(group_rows)
     linked = neighbours(
         slices, keys, ["_slice"], {"_prev": lambda w: F.lag("_to").over(w)}, before=1, group_rows=group_rows
     )
     apart = F.coalesce(F.col("_from") > F.col("_prev") + F.make_dt_interval(secs=F.lit(gap_seconds)), F.lit(True))
     flagged = linked.withColumn("_new", apart.cast("long"))
-    numbered = _running_totals(flagged, keys, ["_slice"], ["_new"], group_rows)
+    plain = _fits(keys, group_rows, slices)
+    numbered = _running_totals(flagged, keys, ["_slice"], ["_new"], group_rows, plain)
     return (
         numbered.groupBy(*keys, "_sum__new")
         .agg(F.min("_from").alias("start"), F.max("_to").alias("last"), *[F.sum(n).alias(n) for n in measures])

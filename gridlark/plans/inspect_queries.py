@@ -196,14 +196,15 @@ PARTITIONS_FLAT = """
 def metrics_events(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot numbers from the events, partition columns from the copy of the orders."""
     inventory = yearly_files(spark, folder)
-    metrics = table_metrics(daily_log(spark, folder), inventory, partitions(inventory), table(spark, folder, "events"))
+    metrics = table_metrics(daily_log(spark, folder), inventory, df=table(spark, folder, "events"))
     return metrics.withColumn("avg_file_size", F.col("avg_file_size").rlike(r"^\d+\.\d\d MB$"))
 
 
 def metrics_files(spark: SparkSession, folder: str) -> DataFrame:
     """Without snapshots the rows of the files count, and times are not known."""
     copy, path = yearly_orders(spark, folder)
-    metrics = table_metrics(file_rows=file_inventory(copy, ["yr"], list_files(spark, path)), df=copy)
+    inventory = file_inventory(copy, ["yr"], list_files(spark, path)).drop("partition")
+    metrics = table_metrics(file_rows=inventory, df=copy)
     return metrics.withColumn("avg_file_size", F.col("avg_file_size").rlike(r"^\d+\.\d\d MB$"))
 
 
