@@ -1,0 +1,86 @@
+"""A query from its submission to its result, over a log table of state changes.
+
+The log is append-only: one row per state change, folded by ``job_state``. Nothing here polls or
+waits; a caller decides when the next job runs.
+"""
+
+from __future__ import annotations
+
+import time
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridlark.functions.values import sanitize
+from gridlark.operators.joblog import (
+    FAILED,
+    KEPT_JOBS,
+    QUEUED,
+    RUNNING,
+    SUCCEEDED,
+    fetchable,
+    job_state,
+    next_job,
+    retention,
+)
+from gridlark.operators.results import drop_results, load_result, run_query, save_result
+
+EVENTS = "job_id STRING, ts TIMESTAMP, seq BIGINT, status STRING, query_text STRING, error_message STRING"
+
+# Fixed value: characters of a job id, the first of a random UUID in hexadecimal.
+ID_LENGTH = 12
+
+
+def _record(
+    spark: SparkSession, log: str, job_id: str, status: str, query_text: str, error: str | None = None
+) -> None:
+    row = (job_id, datetime.now(timezone.utc), time.time_ns(), status, query_text, error)
+    spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").saveAsTable(log)
+
+
+def submit(spark: SparkSession, log: str, query_text: str) -> str:
+    """Queue a query text and return its job id. Blank text is refused."""
+    if not query_text.strip():
+        raise ValueError("query text is blank")
+    job_id = uuid.uuid4().hex[:ID_LENGTH]
+    _record(spark, log, job_id, QUEUED, query_text)
+    return job_id
+
+
+def jobs(spark: SparkSession, log: str) -> DataFrame:
+    return job_state(spark.table(log))
+
+
+def run_next(spark: SparkSession, log: str, namespace: str) -> str | None:
+    """Run the job that waits longest and save its result; ``None`` when none waits.
+
+    A failure of the query, at analysis or at run time, ends the job with the whole message.
+    """
+    job = next_job(jobs(spark, log)).first()
+    if job is None:
+        return None
+    _record(spark, log, job.job_id, RUNNING, job.query_text)
+    try:
+        save_result(run_query(spark, job.query_text), job.job_id, namespace)
+    except Exception as e:
+        _record(spark, log, job.job_id, FAILED, job.query_text, str(e))
+    else:
+        _record(spark, log, job.job_id, SUCCEEDED, job.query_text)
+    return job.job_id
+
+
+def fetch(spark: SparkSession, log: str, job_id: str, namespace: str) -> DataFrame:
+    """The JSON-safe result of a job that succeeded; any other job raises with the reason."""
+    asked = spark.createDataFrame([(job_id,)], "job_id STRING")
+    reason = fetchable(jobs(spark, log), asked).first().reason
+    if reason != "found":
+        raise LookupError(f"job {job_id}: {reason}")
+    return sanitize(load_result(spark, job_id, namespace))
+
+
+def evict(spark: SparkSession, log: str, namespace: str, n: int = KEPT_JOBS) -> int:
+    """Drop the saved results of all but the newest ``n`` jobs; returns how many drops failed."""
+    _, old = retention(jobs(spark, log), n)
+    return drop_results(spark, old.where(F.col("status") == SUCCEEDED).select("job_id"), namespace)

@@ -15,9 +15,12 @@ from gridlark.operators.inspect import (
     snapshots,
     table_metrics,
 )
+from gridlark.operators.overview import table_overview
+from gridlark.plans.load_queries import fresh_table
 from gridlark.plans.query import Query
 from gridlark.session import scratch_path
 from gridlark.sources.footers import file_footers, list_files
+from gridlark.sources.seed import seed_table
 from gridlark.sources.tables import table
 
 
@@ -221,7 +224,28 @@ METRICS_FILES = """
     FROM orders
 """
 
+def overview_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """A table is loaded and looked at by its name."""
+    namespace, name = fresh_table(spark, "orders").split(".")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
+    seed_table(spark, f"{namespace}.{name}", "o_orderkey BIGINT, o_totalprice DOUBLE, yr INT", orders, ["yr"])
+    seen = table_overview(spark, "spark_catalog", namespace, name)
+    return seen.metrics.select(
+        "*",
+        F.lit(len(seen.schema["fields"])).alias("fields"),
+        F.lit("PARTITIONED BY (yr)" in seen.ddl).alias("partitioned"),
+        F.lit(seen.snapshots is None).alias("no_snapshots"),
+    ).withColumn("avg_file_size", F.col("avg_file_size").rlike(r"^\d+\.\d\d MB$"))
+
+
+OVERVIEW_ORDERS = f"""
+    SELECT * REPLACE ('3' AS column_count, 'yr' AS partition_columns),
+           CAST(3 AS INTEGER) AS fields, TRUE AS partitioned, TRUE AS no_snapshots
+    FROM ({METRICS_FILES})
+"""
+
 QUERIES = {
+    "overview_orders": Query(overview_orders, OVERVIEW_ORDERS),
     "profile_orders": Query(profile_orders, PROFILE_ORDERS),
     "snapshots_events": Query(snapshots_events, SNAPSHOTS),
     "files_orders": Query(files_orders, FILES_ORDERS),

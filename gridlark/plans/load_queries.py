@@ -73,14 +73,14 @@ NESTED_SELECT = """
 def ipgeo_by_country(spark: SparkSession, folder: str) -> DataFrame:
     rows = ip_rows(table(spark, folder, "customer"), "c_custkey")
     return rows.groupBy("country").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("ip").alias("ips"), F.max("city").alias("last_city")
+        F.count(F.lit(1)).alias("n"), F.countDistinct("ip").alias("ips"), F.max("id").alias("last_id")
     )
 
 
 IPGEO = """
     SELECT 'Country_' || CAST(c_custkey % 10 AS VARCHAR) AS country, count(*) AS n,
            count(DISTINCT '192.168.1.' || CAST(c_custkey % 255 AS VARCHAR)) AS ips,
-           max('City_' || CAST(c_custkey AS VARCHAR)) AS last_city
+           max(c_custkey) AS last_id
     FROM customer GROUP BY 1
 """
 

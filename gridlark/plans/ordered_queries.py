@@ -19,10 +19,19 @@ from gridlark.operators.ordered import (
 from gridlark.plans.query import Query
 from gridlark.sources.tables import table
 
-MONEY = "decimal(18,2)"
 HOUR = 3600
 
 
+def cents(column: str):
+    """Money as whole cents, so that sums are exact."""
+    return F.rint(F.col(column) * 100).cast("long")
+
+
+def amount(column: str):
+    """Cents back as money."""
+    return (F.col(column) / 100).alias(column)
+
+
 def time_text(column: str):
     return F.date_format(F.col(column), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -86,19 +95,18 @@ WIN_LAG = """
 
 def win_rows(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "value")
-    amount = F.col("value").cast(MONEY)
     rows = neighbours(
         events,
         ["user_id"],
         ["ts", "event_id"],
         {
-            "moving": lambda w: F.sum(amount).over(w.rowsBetween(-2, 0)),
+            "moving": lambda w: F.sum(cents("value")).over(w.rowsBetween(-2, 0)),
             "around": lambda w: F.max("value").over(w.rowsBetween(-1, 1)),
         },
         before=2,
         after=1,
     )
-    return rows.select("event_id", F.col("moving").cast("double").alias("moving"), "around")
+    return rows.select("event_id", amount("moving"), "around")
 
 
 WIN_ROWS = """
@@ -118,11 +126,11 @@ def win_range(spark: SparkSession, folder: str) -> DataFrame:
         ["user_id"],
         ["event_id"],
         "ts",
-        {"n": F.lit(1), "total": F.col("value").cast(MONEY)},
+        {"n": F.lit(1), "total": cents("value")},
         low=F.col("ts") - F.expr("INTERVAL 1 DAY"),
         high=F.col("ts"),
     )
-    return rows.select("event_id", "n", F.col("total").cast("double").alias("total"))
+    return rows.select("event_id", "n", amount("total"))
 
 
 WIN_RANGE = """
@@ -135,14 +143,14 @@ WIN_RANGE = """
 
 def win_session(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("ts", "user_id", "value")
-    measures = {"n": F.lit(1), "total": F.col("value").cast(MONEY)}
+    measures = {"n": F.lit(1), "total": cents("value")}
     rows = sessions(events, ["user_id"], "ts", 6 * HOUR, measures)
     return rows.select(
         "user_id",
         time_text("start").alias("start"),
         time_text("last").alias("last"),
         "n",
-        F.col("total").cast("double").alias("total"),
+        amount("total"),
     )
 
 
@@ -186,10 +194,10 @@ def join_range(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = range_sums(
         parts, lines, [], ["p_partkey"], "unit",
-        {"lines": F.lit(1), "quantity": F.col("l_quantity").cast(MONEY)},
+        {"lines": F.lit(1), "quantity": cents("l_quantity")},
         low=F.col("p_retailprice") - 2, high=F.col("p_retailprice") + 2,
     )
-    return rows.select("p_partkey", "lines", F.col("quantity").cast("double").alias("quantity"))
+    return rows.select("p_partkey", "lines", amount("quantity"))
 
 
 JOIN_RANGE = """
@@ -208,10 +216,10 @@ def join_interval(spark: SparkSession, folder: str) -> DataFrame:
     clicks = events.where("event_type = 'click'")
     rows = range_sums(
         bought, clicks, ["user_id"], ["event_id"], "ts",
-        {"clicks": F.lit(1), "worth": F.col("value").cast(MONEY)},
+        {"clicks": F.lit(1), "worth": cents("value")},
         low=F.col("ts") - F.expr("INTERVAL 6 HOURS"), high=F.col("ts"),
     )
-    return rows.select("event_id", "clicks", F.col("worth").cast("double").alias("worth"))
+    return rows.select("event_id", "clicks", amount("worth"))
 
 
 JOIN_INTERVAL = """

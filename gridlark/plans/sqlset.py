@@ -80,10 +80,10 @@ PROJECTIONS = {
 
 # Revenue per nation. Line items are added up per order, orders per customer, customers per nation:
 # each join has unique keys on both sides, whatever one key holds.
-STAR = f"""
+STAR = """
     WITH per_order AS (
         SELECT l_orderkey, count(*) AS lines,
-               sum(CAST(l_extendedprice AS {MONEY}) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS revenue
+               sum(CENTS(l_extendedprice) * (100 - CAST(rint(l_discount * 100) AS INT))) AS revenue
         FROM lineitem GROUP BY l_orderkey
     ), per_customer AS (
         SELECT o_custkey, sum(lines) AS lines, count(*) AS orders, sum(revenue) AS revenue
@@ -93,7 +93,7 @@ STAR = f"""
         FROM per_customer JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey
     )
     SELECT n_name AS nation, r_name AS region, CAST(lines AS BIGINT) AS lines,
-           CAST(orders AS BIGINT) AS orders, CAST(revenue AS DOUBLE) AS revenue
+           CAST(orders AS BIGINT) AS orders, CAST(CAST(revenue AS DECIMAL(34,0)) / 10000 AS DOUBLE) AS revenue
     FROM per_nation JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """
 STAR_ORACLE = f"""
@@ -109,32 +109,32 @@ STAR_ORACLE = f"""
 JOINS = {
     "join_star": sql_query(STAR, STAR_ORACLE),
     "join_inner": sql_query(
-        f"""
+        """
         SELECT c_mktsegment, o_orderpriority, CAST(sum(n) AS BIGINT) AS orders,
-               CAST(sum(total) AS DOUBLE) AS total
-        FROM (SELECT o_custkey, o_orderpriority, count(*) AS n, sum(CAST(o_totalprice AS {MONEY})) AS total
+               CAST(sum(total) / 100 AS DOUBLE) AS total
+        FROM (SELECT o_custkey, o_orderpriority, count(*) AS n, sum(CENTS(o_totalprice)) AS total
               FROM orders GROUP BY o_custkey, o_orderpriority)
              JOIN customer ON o_custkey = c_custkey
         GROUP BY c_mktsegment, o_orderpriority
         """,
-        f"""
+        """
         SELECT c_mktsegment, o_orderpriority, count(*) AS orders,
-               CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS total
+               TOTAL(o_totalprice) AS total
         FROM orders JOIN customer ON o_custkey = c_custkey
         GROUP BY c_mktsegment, o_orderpriority
         """,
     ),
     "join_left": sql_query(
-        f"""
-        SELECT c_custkey, c_name, coalesce(n, 0) AS orders, CAST(total AS DOUBLE) AS total
+        """
+        SELECT c_custkey, c_name, coalesce(n, 0) AS orders, total
         FROM customer LEFT JOIN (
-            SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS {MONEY})) AS total
+            SELECT o_custkey, count(*) AS n, TOTAL(o_totalprice) AS total
             FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000 GROUP BY o_custkey
         ) ON c_custkey = o_custkey
         """,
-        f"""
+        """
         SELECT c_custkey, c_name, count(o_orderkey) AS orders,
-               CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS total
+               TOTAL(o_totalprice) AS total
         FROM customer LEFT JOIN orders
              ON c_custkey = o_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000
         GROUP BY c_custkey, c_name
@@ -174,25 +174,44 @@ JOINS = {
     ),
 }
 
-PRICE_GROUPS = f"""
-    SELECT l_returnflag, l_linestatus, {{extra}}
-           count(*) AS lines, CAST(sum(CAST(l_quantity AS {MONEY})) AS DOUBLE) AS quantity
-    FROM lineitem GROUP BY {{groups}}
+# Rows are added up per full group once; only those few sums are multiplied into grouping sets.
+PRICE_GROUPS = """
+    WITH sums AS (
+        SELECT l_returnflag, l_linestatus, count(*) AS n, {cents} AS q
+        FROM lineitem GROUP BY l_returnflag, l_linestatus
+    )
+    SELECT l_returnflag, l_linestatus, {extra}
+           CAST(sum(n) AS BIGINT) AS lines, CAST(sum(q) / 100 AS DOUBLE) AS quantity
+    FROM sums GROUP BY {groups}
+"""
+PRICE_GROUPS_ORACLE = """
+    SELECT l_returnflag, l_linestatus, {extra} count(*) AS lines, TOTAL(l_quantity) AS quantity
+    FROM lineitem GROUP BY {groups}
 """
 GROUPING = "CAST(grouping(l_returnflag) AS INT) AS all_flags, CAST(grouping(l_linestatus) AS INT) AS all_status,"
 
+HASH_SUMS = """
+    SELECT l_returnflag, l_linestatus, count(*) AS lines, TOTAL(l_quantity) AS sum_qty,
+           TOTAL(l_extendedprice) AS sum_base, {discounted} AS sum_disc,
+           round(avg(l_discount), 6) AS avg_disc, min(l_extendedprice) AS low, max(l_extendedprice) AS high
+    FROM lineitem WHERE l_shipdate <= DATE '1998-09-02'
+    GROUP BY l_returnflag, l_linestatus
+"""
+
+
+def grouped(groups: str) -> Query:
+    return sql_query(
+        PRICE_GROUPS.format(cents="sum(CENTS(l_quantity))", extra=GROUPING, groups=groups),
+        PRICE_GROUPS_ORACLE.format(extra=GROUPING, groups=groups),
+    )
+
+
 AGGREGATES = {
     "agg_hash": sql_query(
-        f"""
-        SELECT l_returnflag, l_linestatus, count(*) AS lines,
-               CAST(sum(CAST(l_quantity AS {MONEY})) AS DOUBLE) AS sum_qty,
-               CAST(sum(CAST(l_extendedprice AS {MONEY})) AS DOUBLE) AS sum_base,
-               CAST(sum(CAST(l_extendedprice AS {MONEY}) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)
-                   AS sum_disc,
-               round(avg(l_discount), 6) AS avg_disc, min(l_extendedprice) AS low, max(l_extendedprice) AS high
-        FROM lineitem WHERE l_shipdate <= DATE '1998-09-02'
-        GROUP BY l_returnflag, l_linestatus
-        """,
+        HASH_SUMS.format(discounted="CAST(sum(CENTS(l_extendedprice) * (100 - CAST(rint(l_discount * 100) AS INT))) / 10000 AS DOUBLE)"),
+        HASH_SUMS.format(
+            discounted="CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)"
+        ),
     ),
     "agg_distinct": sql_query(
         """
@@ -200,14 +219,12 @@ AGGREGATES = {
         FROM lineitem GROUP BY l_returnflag
         """,
     ),
-    "agg_cube": sql_query(PRICE_GROUPS.format(extra=GROUPING, groups="CUBE (l_returnflag, l_linestatus)")),
-    "agg_rollup": sql_query(PRICE_GROUPS.format(extra=GROUPING, groups="ROLLUP (l_returnflag, l_linestatus)")),
-    "agg_gsets": sql_query(
-        PRICE_GROUPS.format(extra=GROUPING, groups="GROUPING SETS ((l_returnflag), (l_linestatus), ())")
-    ),
+    "agg_cube": grouped("CUBE (l_returnflag, l_linestatus)"),
+    "agg_rollup": grouped("ROLLUP (l_returnflag, l_linestatus)"),
+    "agg_gsets": grouped("GROUPING SETS ((l_returnflag), (l_linestatus), ())"),
     "agg_having": sql_query(
-        f"""
-        SELECT o_custkey, count(*) AS orders, CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS total
+        """
+        SELECT o_custkey, count(*) AS orders, TOTAL(o_totalprice) AS total
         FROM orders GROUP BY o_custkey HAVING count(*) > 12
         """,
     ),
@@ -494,24 +511,24 @@ TIME_WINDOWS = {
     "win_tumbling": sql_query(
         f"""
         SELECT date_format(w.start, {SPARK_TIME}) AS start, event_type, count(*) AS n,
-               CAST(sum(CAST(value AS {MONEY})) AS DOUBLE) AS total
+               TOTAL(value) AS total
         FROM (SELECT window(ts, '1 day') AS w, event_type, value FROM events) GROUP BY w, event_type
         """,
-        f"""
+        """
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n,
-               CAST(sum(CAST(value AS {MONEY})) AS DOUBLE) AS total
+               TOTAL(value) AS total
         FROM events GROUP BY 1, 2
         """,
     ),
     "win_sliding": sql_query(
         f"""
         SELECT date_format(w.start, {SPARK_TIME}) AS start, count(*) AS n,
-               CAST(sum(CAST(value AS {MONEY})) AS DOUBLE) AS total
+               TOTAL(value) AS total
         FROM (SELECT window(ts, '2 days', '1 day') AS w, value FROM events) GROUP BY w
         """,
-        f"""
+        """
         SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n,
-               CAST(sum(CAST(value AS {MONEY})) AS DOUBLE) AS total
+               TOTAL(value) AS total
         FROM (SELECT date_trunc('day', ts) AS s, value FROM events
               UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY, value FROM events)
         GROUP BY s
