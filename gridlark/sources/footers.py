@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +39,9 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
 
 def _footer(path: str) -> dict:
     """Row groups of one file, read from its footer alone."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, local = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1))
+    # from_uri decodes, and a listed path is not encoded.
+    uri = quote(path.replace("file:/", "file:///", 1), safe=":/@")
+    system, local = fs.FileSystem.from_uri(uri)
     with system.open_input_file(local) as source:
         meta = pq.ParquetFile(source).metadata
         sizes: dict[str, int] = {}
