@@ -128,22 +128,21 @@ def neighbours(
 def _scan() -> tuple[WindowSpec, WindowSpec]:
     """Windows over block summaries: all earlier blocks, all later blocks.
 
-    They see one row per ``group_rows`` rows of data.
+    They see one row per ``group_rows`` rows of data. Looking ahead is looking back in descending
+    order: a frame that ends at the last row would be computed anew for every row.
     """
-    ordered = Window.orderBy("_block")
+    strictly_before = (Window.unboundedPreceding, -1)
     return (
-        ordered.rowsBetween(Window.unboundedPreceding, -1),
-        ordered.rowsBetween(1, Window.unboundedFollowing),
+        Window.orderBy("_block").rowsBetween(*strictly_before),
+        Window.orderBy(F.desc("_block")).rowsBetween(*strictly_before),
     )
 
 
 def _inside() -> tuple[WindowSpec, WindowSpec]:
     """Windows inside a block: up to the current row, and from it onward."""
-    edge = Window.partitionBy("_block").orderBy("_pos")
-    return (
-        edge.rowsBetween(Window.unboundedPreceding, Window.currentRow),
-        edge.rowsBetween(Window.currentRow, Window.unboundedFollowing),
-    )
+    block = Window.partitionBy("_block")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    return block.orderBy("_pos").rowsBetween(*so_far), block.orderBy(F.desc("_pos")).rowsBetween(*so_far)
 
 
 def ranked(
