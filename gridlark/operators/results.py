@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.functions.text import has_text
 from gridlark.sources.seed import ensure_namespace
@@ -71,10 +72,36 @@ def save_result(
         return None
     ensure_namespace(df.sparkSession, namespace)
     name = result_name(job_id, namespace)
-    cap_rows(df, n, order_by).write.mode("overwrite").saveAsTable(name)
+    capped = cap_rows(df, n, order_by) if order_by else _first_rows(df, n)
+    capped.write.mode("overwrite").saveAsTable(name)
     return name
 
 
+def _first_rows(df: DataFrame, n: int) -> DataFrame:
+    """Any ``n`` rows, read from as few partitions as give them.
+
+    A limit that is written out starts a task on every partition of the table; ``take`` begins with
+    one partition and widens only while rows are missing. The rows, ``n`` at most, pass through the
+    driver, so types without a Python form stay with the plain limit.
+    """
+    if not _has_python_form(df.schema):
+        return df.limit(n)
+    return df.sparkSession.createDataFrame(df.take(n), df.schema)
+
+
+def _has_python_form(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return all(_has_python_form(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_python_form(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_python_form(dtype.keyType) and _has_python_form(dtype.valueType)
+    return isinstance(
+        dtype,
+        (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType),
+    )
+
+
 def load_result(
     spark: SparkSession, job_id: str, namespace: str, order_by: Iterable[str | Column] | None = None
 ) -> DataFrame:

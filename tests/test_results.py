@@ -53,6 +53,27 @@ def test_save_load_replace_drop(spark, namespace):
     assert not spark.catalog.tableExists(f"{namespace}.job_x_1")
 
 
+def test_saved_types(spark, namespace):
+    df = spark.sql(
+        "SELECT 1.25D AS d, CAST(1.5 AS DECIMAL(20,3)) AS c, X'FF' AS b, DATE '2024-01-02' AS t, "
+        "TIMESTAMP '2024-01-02 03:04:05.000006' AS ts, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS n, "
+        "named_struct('x', array(1, NULL)) AS s, map('k', named_struct('y', CAST(NULL AS INT))) AS m"
+    )
+    results.save_result(df, "types", namespace)
+    back = results.load_result(spark, "types", namespace)
+    assert back.collect() == df.collect()
+    assert [f.dataType.simpleString() for f in back.schema] == [f.dataType.simpleString() for f in df.schema]
+    results.save_result(spark.sql("SELECT INTERVAL '2' DAY AS i, INTERVAL '3' MONTH AS y"), "odd", namespace)
+    assert results.load_result(spark, "odd", namespace).count() == 1
+
+
+def test_saving_a_preview_reads_few_partitions(spark, namespace):
+    """Each partition beyond the first ones would fail if it were read."""
+    df = spark.range(0, 80_000, 1, 80).selectExpr("IF(id < 60000, id, raise_error('read too far')) AS id")
+    results.save_result(df, "preview", namespace, n=500)
+    assert results.load_result(spark, "preview", namespace).count() == 500
+
+
 def test_drop_takes_a_frame_and_goes_on_after_a_failure(spark, namespace):
     results.save_result(spark.range(3), "x-2", namespace)
     ids = spark.createDataFrame([("x-2",), ("x-3",)], "job_id STRING")
