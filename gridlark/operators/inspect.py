@@ -134,7 +134,9 @@ def snapshot_log(df: DataFrame, at: str, grain: str = "day") -> DataFrame:
         F.count(F.lit(1)).alias("added"), F.max(at).alias("committed_at")
     )
     in_order = Window.orderBy("_start")
-    number = F.unix_seconds(F.col("_start").cast("timestamp"))
+    # Seconds of the wall clock, so the id does not depend on the session's zone.
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    number = F.timestamp_diff("SECOND", epoch, F.col("_start").cast("timestamp_ntz"))
     upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summary = F.create_map(
         F.lit("added-records"),

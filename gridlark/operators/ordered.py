@@ -21,6 +21,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.session import scratch_path
 
@@ -445,8 +446,11 @@ def sessions(
     Rows inside one slice of gap length belong together whatever else there is, so slices are added
     up first, map-side; only one row per key and slice is ordered. Measures are sums.
     """
-    width = gap_seconds * 1_000_000
-    slice_no = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(width))
+    if isinstance(df.schema[at].dataType, T.TimestampNTZType):
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
+    else:
+        micros = F.unix_micros(at)
+    slice_no = F.floor(micros / F.lit(gap_seconds * 1_000_000))
     slices = (
         df.dropna(subset=[at])
         .groupBy(*keys, slice_no.alias("_slice"))

@@ -496,7 +496,7 @@ FUNCTIONS = {
     ),
     "fn_collate": sql_query(
         """
-        SELECT lower(name) AS name, n FROM (
+        SELECT lower(name) COLLATE UTF8_BINARY AS name, n FROM (
             SELECT name COLLATE UTF8_LCASE AS name, count(*) AS n
             FROM (SELECT upper(p_type) AS name FROM part UNION ALL SELECT lower(p_type) FROM part)
             GROUP BY name COLLATE UTF8_LCASE)
