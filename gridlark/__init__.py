@@ -1,5 +1,5 @@
 """Table exploration and query results on PySpark."""
 
-from gridlark.session import get_session, scratch_path
+from gridlark.session import get_session
 
-__all__ = ["get_session", "scratch_path"]
+__all__ = ["get_session"]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.session import scratch_path
+from gridlark.sources.scratch import scratch_path
 
 # Rows of one key that a single task may sort.
 GROUP_ROWS = 5_000_000

@@ -18,8 +18,8 @@ from gridlark.operators.inspect import (
 from gridlark.operators.overview import table_overview
 from gridlark.plans.load_queries import fresh_table
 from gridlark.plans.query import Query
-from gridlark.session import scratch_path
 from gridlark.sources.footers import file_footers, list_files
+from gridlark.sources.scratch import scratch_path
 from gridlark.sources.seed import seed_table
 from gridlark.sources.tables import table
 

@@ -11,7 +11,8 @@ from gridlark.functions.text import full_name
 from gridlark.operators.inventory import list_catalogs, list_items, list_namespaces, safe_names, search
 from gridlark.plans.query import Query
 from gridlark.sources.catalog import load_inventory
-from gridlark.sources.seed import seed_table, scratch_namespace
+from gridlark.sources.scratch import scratch_namespace
+from gridlark.sources.seed import seed_table
 from gridlark.sources.tables import table
 
 CATALOG, NAMESPACE = "Brand#13", "ECONOMY"

@@ -24,7 +24,7 @@ from gridlark.operators.lifecycle import jobs as logged_jobs
 from gridlark.operators.results import result_name
 from gridlark.plans.load_queries import fresh_table
 from gridlark.plans.query import Query
-from gridlark.sources.seed import scratch_namespace
+from gridlark.sources.scratch import scratch_namespace
 from gridlark.sources.tables import attach, stream_table, table
 from gridlark.streaming.jobstate import run_job_state
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gridlark.operators.results import run_query
 from gridlark.plans.query import Query
-from gridlark.sources.seed import ensure_namespace, ip_rows, scratch_namespace, seed_table
+from gridlark.sources.scratch import scratch_namespace
+from gridlark.sources.seed import ensure_namespace, ip_rows, seed_table
 from gridlark.sources.tables import attach, table
 
 
@@ -17,6 +18,9 @@ def fresh_table(spark: SparkSession, label: str) -> str:
     return f"{scratch_namespace(spark)}.{label}_{uuid.uuid4().hex[:12]}"
 
 
+# Fixed value: schema of the nested activity log.
+LOG_DDL = "log_id LONG, event STRUCT<name: STRING, context: STRUCT<ip: STRING, browser: STRING>>, log_date DATE"
+
 CUSTOMER_DDL = "c_custkey BIGINT, c_name STRING, c_mktsegment STRING"
 
 
@@ -51,8 +55,7 @@ def nested_select(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.col("event_type").alias("name"), context.alias("context")).alias("event"),
         F.to_date("ts").alias("log_date"),
     )
-    ddl = "log_id LONG, event STRUCT<name: STRING, context: STRUCT<ip: STRING, browser: STRING>>, log_date DATE"
-    seed_table(spark, name, ddl, rows, ["log_date"])
+    seed_table(spark, name, LOG_DDL, rows, ["log_date"])
     return run_query(
         spark,
         f"""

@@ -19,7 +19,7 @@ from gridlark.operators.results import (
     save_result,
 )
 from gridlark.plans.query import Query
-from gridlark.sources.seed import scratch_namespace
+from gridlark.sources.scratch import scratch_namespace
 from gridlark.sources.tables import table
 
 TOP_LINES = ["l_extendedprice DESC", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

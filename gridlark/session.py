@@ -1,10 +1,8 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings and the shared folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State of streams on disk, so that it may outgrow executor memory.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
@@ -44,8 +46,3 @@ def scratch_root(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; every call returns another one."""
-    app = spark.sparkContext.applicationId
-    return os.path.join(scratch_root(spark), "gridlark", app, f"{label}-{uuid.uuid4().hex[:12]}")

@@ -7,8 +7,6 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.session import scratch_root
-
 log = logging.getLogger(__name__)
 
 
@@ -23,12 +21,6 @@ def ensure_namespace(spark: SparkSession, namespace: str, location: str | None =
         return False
 
 
-def scratch_namespace(spark: SparkSession, name: str = "gridlark_scratch") -> str:
-    """A namespace whose tables lie in the cluster's shared folder."""
-    ensure_namespace(spark, name, f"{scratch_root(spark)}/{name}")
-    return name
-
-
 def seed_table(
     spark: SparkSession, name: str, ddl: str, df: DataFrame, partition_by: list[str] | None = None
 ) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.operators.joblog import known_states, state_columns
-from gridlark.session import scratch_path
+from gridlark.sources.scratch import scratch_path
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridlark.operators import inspect, inventory, overview
-from gridlark.sources import catalog, footers, seed
+from gridlark.plans.load_queries import LOG_DDL
+from gridlark.sources import catalog, footers, scratch, seed
 
 
 @pytest.fixture(scope="module")
 def namespace(spark):
-    return seed.scratch_namespace(spark, f"gridlark_test_{uuid.uuid4().hex[:8]}")
+    return scratch.scratch_namespace(spark, f"gridlark_test_{uuid.uuid4().hex[:8]}")
 
 
 def test_profile(spark):
@@ -162,7 +163,7 @@ def test_seed_is_idempotent(spark, namespace):
 
 
 def test_nested_partitioned_rows(spark, namespace):
-    ddl = "log_id LONG, event STRUCT<name: STRING, context: STRUCT<ip: STRING, browser: STRING>>, log_date DATE"
+    ddl = LOG_DDL
     rows = [(1, ("login", ("192.168.1.1", "Chrome")), date(2023, 10, 1)), (2, ("logout", ("10.0.0.1", "Safari")), date(2023, 10, 2))]
     name = f"{namespace}.logs"
     assert seed.seed_table(spark, name, ddl, spark.createDataFrame(rows, ddl), ["log_date"])

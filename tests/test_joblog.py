@@ -1,12 +1,13 @@
 """Job states, lists, retention, history; in batch and as a stream."""
 
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridlark.operators import joblog, lifecycle
-from gridlark.sources.seed import scratch_namespace
+from gridlark.sources.scratch import scratch_namespace
 from gridlark.streaming.jobstate import keep_job_state, latest_job_state
 
 EVENTS = "job_id STRING, ts TIMESTAMP, seq BIGINT, status STRING, query_text STRING, error_message STRING"
@@ -150,8 +151,8 @@ def test_a_failing_stream_raises(spark, tmp_path):
 
 
 def test_life_of_a_job(spark):
-    namespace = scratch_namespace(spark, "gridlark_test_life")
-    log = f"{namespace}.log_{abs(hash(datetime.now()))}"
+    namespace = scratch_namespace(spark, f"gridlark_test_{uuid.uuid4().hex[:8]}")
+    log = f"{namespace}.log"
     with pytest.raises(ValueError):
         lifecycle.submit(spark, log, " \t\n")
     good = lifecycle.submit(spark, log, "SELECT X'FFFE' AS b, 5 AS n")

@@ -1,15 +1,17 @@
 """Running, capping, saving and dropping."""
 
+import uuid
+
 import pytest
 from pyspark.errors import AnalysisException
 
 from gridlark.operators import results
-from gridlark.sources.seed import scratch_namespace
+from gridlark.sources.scratch import scratch_namespace
 
 
 @pytest.fixture(scope="module")
 def namespace(spark):
-    return scratch_namespace(spark, "gridlark_test_results")
+    return scratch_namespace(spark, f"gridlark_test_{uuid.uuid4().hex[:8]}")
 
 
 def test_errors_surface(spark):
