@@ -47,12 +47,15 @@ def _limit(group_rows: int | None) -> int:
 def _fits(keys: Sequence[str], group_rows: int, *inputs: DataFrame) -> bool:
     """Does every key have at most ``group_rows`` rows over all inputs together?
 
-    Reads the key columns of the inputs only.
+    Reads the key columns only, and not even those where the inputs as a whole are small: a count
+    of stored rows comes from file footers.
     """
     rows = inputs[0].select(*keys)
     for df in inputs[1:]:
         rows = rows.unionAll(df.select(*keys))
-    return largest_group(rows, keys) <= group_rows
+    if rows.count() <= group_rows:
+        return True
+    return bool(keys) and largest_group(rows, keys) <= group_rows
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -117,7 +120,21 @@ def neighbours(
     Covers ``lag``, ``lead`` and ROWS frames. An expression receives the window it runs over.
     """
     group_rows = _limit(group_rows)
-    if _fits(keys, group_rows, df):
+    plain = _fits(keys, group_rows, df)
+    return _neighbours(df, keys, order, expressions, before, after, group_rows, plain)
+
+
+def _neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    expressions: Expressions,
+    before: int,
+    after: int,
+    group_rows: int,
+    plain: bool,
+) -> DataFrame:
+    if plain:
         window = Window.partitionBy(*keys).orderBy(*_columns(order))
         return df.select("*", *[make(window).alias(name) for name, make in expressions.items()])
     spread = _with_halo(_blocks(df, keys, order, group_rows), group_rows, before, after)
@@ -457,12 +474,12 @@ def sessions(
         .agg(F.min(at).alias("_from"), F.max(at).alias("_to"), *[F.sum(m).alias(n) for n, m in measures.items()])
     )
     group_rows = _limit(group_rows)
-    linked = neighbours(
-        slices, keys, ["_slice"], {"_prev": lambda w: F.lag("_to").over(w)}, before=1, group_rows=group_rows
-    )
+    # There are no more slices than rows, so few rows settle it; else the slices themselves count.
+    plain = _fits(keys, group_rows, df) or _fits(keys, group_rows, slices)
+    previous = {"_prev": lambda w: F.lag("_to").over(w)}
+    linked = _neighbours(slices, keys, ["_slice"], previous, 1, 0, group_rows, plain)
     apart = F.coalesce(F.col("_from") > F.col("_prev") + F.make_dt_interval(secs=F.lit(gap_seconds)), F.lit(True))
     flagged = linked.withColumn("_new", apart.cast("long"))
-    plain = _fits(keys, group_rows, slices)
     numbered = _running_totals(flagged, keys, ["_slice"], ["_new"], group_rows, plain)
     return (
         numbered.groupBy(*keys, "_sum__new")

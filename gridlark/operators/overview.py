@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions.text import checked_name
 from gridlark.operators.inspect import (
+    LISTED_ROWS,
     column_profile,
     file_inventory,
     files,
@@ -81,10 +82,13 @@ def table_overview(spark: SparkSession, catalog: str, namespace: str, table: str
         properties = spark.sql(f"SHOW TBLPROPERTIES {name}")
     except Exception:
         properties = None
+    # The listings are capped; the headline numbers see all files and commits.
     commits = metadata_table(spark, name, "snapshots")
     inventory = _inventory(spark, name, df)
     parts = metadata_table(spark, name, "partitions")
-    if parts is None and inventory is not None and "partition" in inventory.columns:
+    if parts is not None:
+        parts = parts.limit(LISTED_ROWS)
+    elif inventory is not None and "partition" in inventory.columns:
         parts = partitions(inventory)
     return Overview(
         schema=df.schema.jsonValue(),

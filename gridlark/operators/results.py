@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +37,29 @@ def non_blank(df: DataFrame, column: str) -> DataFrame:
     return df.where(has_text(F.col(column)))
 
 
-def cap_rows(df: DataFrame, n: int = RESULT_ROWS, order_by: Iterable[str | Column] | None = None) -> DataFrame:
+def cap_rows(
+    df: DataFrame,
+    n: int = RESULT_ROWS,
+    order_by: Sequence[str | Column] | None = None,
+    merge_tasks: int | None = None,
+) -> DataFrame:
     """At most ``n`` rows.
 
     With an order each task keeps its own first ``n`` rows and only those meet; without one it is
-    open which rows stay.
+    open which rows stay. They meet in one task, which has ``n`` rows from every partition to merge:
+    for a table of very many partitions give ``merge_tasks``, so that many tasks merge first.
     """
-    ordered = df.orderBy(*order_by) if order_by else df
-    return ordered.limit(n)
+    if not order_by:
+        return df.limit(n)
+    if merge_tasks:
+        group = Window.partitionBy("_group").orderBy(*order_by)
+        df = (
+            df.withColumn("_group", F.spark_partition_id() % merge_tasks)
+            .withColumn("_place", F.row_number().over(group))
+            .where(F.col("_place") <= n)
+            .drop("_group", "_place")
+        )
+    return df.orderBy(*order_by).limit(n)
 
 
 def row_count(df: DataFrame) -> int:
@@ -61,7 +76,7 @@ def save_result(
     job_id: str,
     namespace: str,
     n: int = RESULT_ROWS,
-    order_by: Iterable[str | Column] | None = None,
+    order_by: Sequence[str | Column] | None = None,
 ) -> str | None:
     """Save the capped result as table ``job_<id>``, replacing an earlier one.
 
@@ -86,7 +101,7 @@ def _first_rows(df: DataFrame, n: int) -> DataFrame:
     """
     if not _has_python_form(df.schema):
         return df.limit(n)
-    return df.sparkSession.createDataFrame(df.take(n), df.schema)
+    return df.sparkSession.createDataFrame(df.take(n), df.schema).coalesce(1)
 
 
 def _has_python_form(dtype: T.DataType) -> bool:
@@ -103,7 +118,7 @@ def _has_python_form(dtype: T.DataType) -> bool:
 
 
 def load_result(
-    spark: SparkSession, job_id: str, namespace: str, order_by: Iterable[str | Column] | None = None
+    spark: SparkSession, job_id: str, namespace: str, order_by: Sequence[str | Column] | None = None
 ) -> DataFrame:
     """Read a saved result back; a table keeps no order, so pass one to have it again."""
     df = spark.table(result_name(job_id, namespace))

@@ -181,6 +181,32 @@ def test_nested_partitioned_rows(spark, namespace):
     assert "event.context.ip" in {r.path for r in seen.profile.collect()}
 
 
+def test_metadata_of_the_format_comes_first(spark, namespace, monkeypatch):
+    """A table format that keeps commits, files and partitions itself is read, not recomputed."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {namespace}.kept (x INT) USING parquet")
+    frames = {
+        "snapshots": spark.createDataFrame([(datetime(2024, 1, 1), 7, {"total-records": "1500"})], LOG),
+        "files": spark.sql(
+            "SELECT 1 AS content, 'f1' AS file_path, 'ORC' AS file_format, 3 AS spec_id, named_struct('day', 'd') AS "
+            "partition, 10L AS record_count, 1572864L AS file_size_in_bytes, map(1, 5L) AS column_sizes, map(1, 10L) AS "
+            "value_counts, map(1, 0L) AS null_value_counts, map(1, 0L) AS nan_value_counts, map(1, X'01') AS "
+            "lower_bounds, map(1, X'02') AS upper_bounds, CAST(NULL AS BINARY) AS key_metadata, array(4L) AS "
+            "split_offsets, CAST(NULL AS ARRAY<INT>) AS equality_ids, 9 AS sort_order_id"
+        ),
+        "partitions": spark.sql("SELECT named_struct('day', 'd') AS partition, 10L AS record_count FROM range(300)"),
+    }
+    monkeypatch.setattr(overview, "metadata_table", lambda spark, name, kind: frames[kind])
+    seen = overview.table_overview(spark, "spark_catalog", namespace, "kept")
+    row = seen.files.first()
+    assert (row.content, row.file_format, row.spec_id, row.file_size_mb, row.sort_order_id) == (1, "ORC", 3, 1.5, 9)
+    assert seen.files.columns == inspect.FILE_COLUMNS
+    assert seen.partitions.count() == 250 and seen.snapshots.first().snapshot_id == 7
+    assert seen.metrics.first().asDict() == {
+        "last_snapshot": "2024-01-01 00:00:00", "earliest_snapshot": "2024-01-01 00:00:00", "row_count": "1,500",
+        "column_count": "1", "avg_file_size": "1.50 MB", "partition_columns": "day",
+    }
+
+
 def test_overview_of_a_view_and_of_nothing(spark, namespace):
     spark.sql(f"CREATE VIEW {namespace}.v AS SELECT 1 AS x")
     seen = overview.table_overview(spark, "spark_catalog", namespace, "v")

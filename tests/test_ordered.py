@@ -32,7 +32,7 @@ def groups(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [PLAIN, SPLIT])
+@pytest.mark.parametrize("limit", [PLAIN, 80, SPLIT])
 def test_ranks(data, rows, limit):
     ranked = ordered.ranked(data, ["k"], ["x"], ["id"], limit)
     got = {

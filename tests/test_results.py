@@ -42,6 +42,14 @@ def test_ordered_cap_does_not_sort_everything(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_cap_can_merge_in_many_tasks(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS x").repartition(12)
+    order = ["x", "id"]
+    wide = results.cap_rows(df, 100, order, merge_tasks=3)
+    assert wide.collect() == results.cap_rows(df, 100, order).collect()
+    assert "WindowGroupLimit" in wide._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names():
     assert results.result_name("a-b.c;d", "ns") == "ns.job_a_b_c_d"
 
