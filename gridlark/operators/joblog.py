@@ -116,15 +116,17 @@ def recent_queries(log: DataFrame, n: int = KEPT_QUERIES) -> DataFrame:
     """The newest ``n`` distinct query texts of ``(query_text, ts, seq)``.
 
     The text without outer white space is the key, its latest submission wins, blanks are dropped.
+    A digest stands for the key, so that each text is sorted and sent once, not twice.
     """
+    query = stripped(F.col("query_text"))
     return (
-        log.withColumn("query", stripped(F.col("query_text")))
-        .where(F.col("query") != "")
-        .groupBy("query")
+        log.where(query != "")
+        .groupBy(F.sha2(query, 256).alias("digest"))
         .agg(F.max(F.struct("ts", "seq", "query_text")).alias("latest"))
-        .select("query", "latest.ts", "latest.seq", F.col("latest.query_text").alias("query_text"))
+        .select("latest.*")
         .orderBy(F.desc("ts"), F.desc("seq"))
         .limit(n)
+        .select(query.alias("query"), "ts", "seq", "query_text")
     )
 
 

@@ -367,23 +367,22 @@ SUBQUERIES = {
                         FROM orders WHERE o_custkey = c_custkey) AS t
         """,
     ),
-    # The walked tree is regions, nations and market segments; customers are counted per leaf
-    # before they meet it, so no step of the walk grows with their number.
+    # The walk covers the world, regions and nations. Customers are counted once, per nation, and
+    # meet the finished tree, so no step of the walk grows with their number.
     "cte_recursive": sql_query(
         """
-        WITH RECURSIVE counts AS (
-            SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment
-        ), edges AS (
-            SELECT concat('r', n_regionkey) AS parent, concat('n', n_nationkey) AS child, 0 AS n FROM nation
+        WITH RECURSIVE edges AS (
+            SELECT 'world' AS parent, concat('r', r_regionkey) AS child, r_name AS label FROM region
             UNION ALL
-            SELECT concat('n', c_nationkey), concat('n', c_nationkey, ':', c_mktsegment), n FROM counts
-        ), tree(node, root, depth, n) AS (
-            SELECT concat('r', r_regionkey), r_name, 0, CAST(0 AS BIGINT) FROM region
+            SELECT concat('r', n_regionkey), concat('n', n_nationkey), n_name FROM nation
+        ), tree(node, path, depth) AS (
+            SELECT 'world', 'world', 0
             UNION ALL
-            SELECT child, root, depth + 1, CAST(edges.n AS BIGINT) FROM tree JOIN edges ON parent = node
+            SELECT child, concat(path, '/', label), depth + 1 FROM tree JOIN edges ON parent = node
+        ), counts AS (
+            SELECT concat('n', c_nationkey) AS leaf, count(*) AS n FROM customer GROUP BY c_nationkey
         )
-        SELECT root, depth, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS customers
-        FROM tree GROUP BY root, depth
+        SELECT path, depth, coalesce(n, 0) AS customers FROM tree LEFT JOIN counts ON leaf = node
         """,
     ),
 }
