@@ -282,7 +282,14 @@ def percentiles(
     points: dict[str, float],
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Exact interpolated percentiles per key, from row positions instead of a map of all values."""
+    """Exact interpolated percentiles per key.
+
+    Spark's ``percentile`` keeps the distinct values of a key in memory, so it serves for keys of a
+    tenth of ``group_rows`` at most. Beyond that the values are found by their row positions.
+    """
+    group_rows = _limit(group_rows)
+    if _fits(keys, group_rows // 10, df):
+        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in points.items()])
     rows = ranked(df.where(F.col(value).isNotNull()), keys, [value], unique, group_rows)
     found = []
     for name, p in points.items():
@@ -340,19 +347,19 @@ def range_sums(
     """For each left row, sums over the right rows of its key with ``low <= at <= high``.
 
     A range join followed by an aggregate, without forming the pairs: the sum over a range is the
-    running sum at its end minus the one before its start. Right rows with equal key and position
-    are added up before they are shuffled. Measures must be exact (integers or decimals), nulls in
+    running sum at its end minus the one before its start. Where a key is too large, right rows with
+    equal key and position are added up before they are ordered. Measures must be exact (integers or decimals), nulls in
     them count as 0. ``open_low`` and ``open_high`` leave the bound itself out.
     """
     names = list(measures)
     group_rows = _limit(group_rows)
     # Each left row adds a start and an end to its key.
     plain = _fits(keys, group_rows, right, left, left)
-    points = (
-        right.dropna(subset=[*keys, at])
-        .groupBy(*keys, F.col(at).alias("_at"))
-        .agg(*[F.sum(F.coalesce(m, F.lit(0))).alias(n) for n, m in measures.items()])
+    points = right.dropna(subset=[*keys, at]).select(
+        *keys, F.col(at).alias("_at"), *[F.coalesce(m, F.lit(0)).alias(n) for n, m in measures.items()]
     )
+    if not plain:
+        points = points.groupBy(*keys, "_at").agg(*[F.sum(n).alias(n) for n in names])
     no_id = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left_id]
     # _place: before, at or after the data of the same position. _sign: start or end of a range.
     data = points.select(*keys, *no_id, "_at", F.lit(1).alias("_place"), F.lit(0).alias("_sign"), *names)
@@ -375,7 +382,9 @@ def range_sums(
     )
     order = ["_at", "_place", "_sign", *left_id]
     ends = _running_totals(rows, keys, order, names, group_rows, plain).where(F.col("_sign") != 0)
-    return ends.groupBy(*left_id).agg(*[F.sum(F.col("_sign") * F.col(f"_sum_{n}")).alias(n) for n in names])
+    # Grouped by key as well: rows that a window has brought together by key need no other shuffle.
+    sums = [F.sum(F.col("_sign") * F.col(f"_sum_{n}")).alias(n) for n in names]
+    return ends.groupBy(*keys, *[c for c in left_id if c not in keys]).agg(*sums).select(*left_id, *names)
 
 
 def asof(
@@ -395,11 +404,13 @@ def asof(
     """
     names = [f"_right_{c}" for c in take]
     values = F.struct(F.col(right_at).alias("_at"), *[F.col(c).alias(n) for c, n in zip(take, names)])
-    seen = (
-        right.dropna(subset=[*keys, right_at])
-        .groupBy(*keys, F.col(right_at).alias("_at"))
-        .agg(F.max(values).alias("_seen"))
+    group_rows = _limit(group_rows)
+    plain = _fits(keys, group_rows, right, left)
+    seen = right.dropna(subset=[*keys, right_at]).select(
+        *keys, F.col(right_at).alias("_at"), values.alias("_seen")
     )
+    if not plain:
+        seen = seen.groupBy(*keys, "_at").agg(F.max("_seen").alias("_seen"))
     found_type = seen.schema["_seen"].dataType
     own = F.struct(*[F.col(c) for c in left.columns])
     own_type = left.select(own.alias("o")).schema["o"].dataType
@@ -417,9 +428,8 @@ def asof(
             own.alias("_own"),
         )
     )
-    order = ["_at", "_side", *[f"_id_{c}" for c in left_id]]
-    group_rows = _limit(group_rows)
-    if _fits(keys, group_rows, right, left):
+    order = ["_at", "_side", "_seen", *[f"_id_{c}" for c in left_id]]
+    if plain:
         window = Window.partitionBy(*keys).orderBy(*order)
         upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         joined = rows.withColumn("_hit", F.last("_seen", ignorenulls=True).over(upto))

@@ -121,7 +121,7 @@ def test_asof(data, rows, limit):
         assert got[i] == (max(hits) if hits else (None, None))
 
 
-@pytest.mark.parametrize("limit", [PLAIN, SPLIT])
+@pytest.mark.parametrize("limit", [PLAIN, 100, SPLIT])
 def test_percentiles(data, rows, limit):
     out = ordered.percentiles(data, ["k"], "v", ["id"], {"p50": 0.5, "p90": 0.9}, limit)
     exact = data.groupBy("k").agg(F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.9).alias("p90"))
