@@ -190,7 +190,7 @@ def join_range(spark: SparkSession, folder: str) -> DataFrame:
     """Per part, the line items whose unit price lies within two of its retail price."""
     parts = table(spark, folder, "part").select("p_partkey", "p_retailprice")
     lines = table(spark, folder, "lineitem").select(
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("unit"), "l_quantity"
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"), "l_quantity"
     )
     rows = range_sums(
         parts, lines, [], ["p_partkey"], "unit",
@@ -203,7 +203,7 @@ def join_range(spark: SparkSession, folder: str) -> DataFrame:
 JOIN_RANGE = """
     SELECT p_partkey, count(unit) AS lines,
            CAST(coalesce(sum(CAST(l_quantity AS DECIMAL(18,2))), 0) AS DOUBLE) AS quantity
-    FROM part LEFT JOIN (SELECT round(l_extendedprice / l_quantity, 2) AS unit, l_quantity FROM lineitem)
+    FROM part LEFT JOIN (SELECT l_extendedprice / l_quantity AS unit, l_quantity FROM lineitem)
          ON unit BETWEEN p_retailprice - 2 AND p_retailprice + 2
     GROUP BY p_partkey
 """
