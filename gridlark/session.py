@@ -32,17 +32,15 @@ def get_session(app: str = "gridlark", master: str | None = None, **extra: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster, read from ``spark.checkpoint.dir``.
+    """Shared folder of the cluster: ``spark.checkpoint.dir``, or the checkpoint folder in use.
 
-    A machine-local folder is used only for a local master with the setting absent.
+    A machine-local folder is used only for a local master with neither of them set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    root = tempfile.mkdtemp(prefix="gridlark-")
-    spark.sparkContext.setCheckpointDir(root)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridlark-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")

@@ -13,7 +13,7 @@ from gridlark.sources.tables import stream_table
 
 def test_cluster_must_name_its_folder():
     conf = SimpleNamespace(get=lambda key, default: default)
-    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn"))
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_root(session)
 
@@ -25,6 +25,22 @@ def test_folder_comes_from_the_setting():
     assert scratch.scratch_path(session, "x").startswith("hdfs://shared/dir/gridlark_app_1/x-")
 
 
+def test_folder_in_use_is_taken_over():
+    conf = SimpleNamespace(get=lambda key, default: default)
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: "hdfs://shared/used")
+    assert scratch_root(SimpleNamespace(conf=conf, sparkContext=context)) == "hdfs://shared/used"
+
+
+def test_local_session_without_the_setting_makes_one_folder():
+    made = []
+    context = SimpleNamespace(
+        master="local[2]", setCheckpointDir=made.append, getCheckpointDir=lambda: made[0] if made else None
+    )
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    assert scratch_root(session) == scratch_root(session) == made[0]
+    assert len(made) == 1
+
+
 def test_scratch_is_cleared(spark):
     root = Path(scratch_root(spark).removeprefix("file:")) / scratch._own_name(spark)
     df = spark.range(100).selectExpr("id", "id % 3 AS k")
