@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import mixing, token_files
+from gridlark.llm import decontaminate, mixing, token_files
 from gridlark.plans.query import Query
 from gridlark.sources.scratch import scratch_path
 from gridlark.sources.tables import table
@@ -80,7 +80,41 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_digest(spark, path)
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+DECONTAMINATE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+starts AS (
+  SELECT item_id, w, least(10, len(w)) AS n, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS s
+  FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[s + 1:s + n], ' ') AS g FROM starts),
+places AS (
+  SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+grams AS (SELECT r, n, s, array_to_string(w[s + 1:s + n], ' ') AS g FROM places),
+found AS (SELECT r, s, grams.n, item_id FROM grams JOIN windows ON grams.g = windows.g AND grams.n = windows.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM found) GROUP BY r),
+listed AS (
+  SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op4_mix_sources": Query(op4_mix_sources, MIX_SQL),
     "op9_token_files": Query(op9_token_files),
+    "op10_decontaminate": Query(op10_decontaminate, DECONTAMINATE_SQL),
 }
