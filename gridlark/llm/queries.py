@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontaminate, mixing, token_files
+from gridlark.llm import decontaminate, mixing, secret_scan, token_files
 from gridlark.plans.query import Query
 from gridlark.sources.scratch import scratch_path
 from gridlark.sources.tables import table
@@ -74,6 +74,10 @@ FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id AND q.source IS NOT DISTI
 """
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -115,6 +119,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 
 QUERIES: dict[str, Query] = {
     "op4_mix_sources": Query(op4_mix_sources, MIX_SQL),
+    "op6_secrets": Query(op6_secrets),
     "op9_token_files": Query(op9_token_files),
     "op10_decontaminate": Query(op10_decontaminate, DECONTAMINATE_SQL),
 }
