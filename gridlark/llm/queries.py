@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontaminate, mixing, secret_scan, token_files
+from gridlark.llm import decontaminate, mixing, secret_scan, shingle_join, token_files
 from gridlark.plans.query import Query
 from gridlark.sources.scratch import scratch_path
 from gridlark.sources.tables import table
@@ -74,6 +74,34 @@ FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id AND q.source IS NOT DISTI
 """
 
 
+def op5_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.similar_documents(table(spark, folder, "documents"))
+
+
+SHINGLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+overlap AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM overlap JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least_id AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
@@ -119,6 +147,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 
 QUERIES: dict[str, Query] = {
     "op4_mix_sources": Query(op4_mix_sources, MIX_SQL),
+    "op5_shingle_join": Query(op5_shingle_join, SHINGLE_SQL),
     "op6_secrets": Query(op6_secrets),
     "op9_token_files": Query(op9_token_files),
     "op10_decontaminate": Query(op10_decontaminate, DECONTAMINATE_SQL),
