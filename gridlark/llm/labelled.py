@@ -7,6 +7,8 @@ that look for their texts.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,19 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+@dataclass(frozen=True)
+class Sample:
+    """Rows of doc_id, text, label, and how many labels of each class there are in all."""
+
+    rows: list[tuple[int, str, int]]
+    zeros: int
+    ones: int
+
+
 def sample(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, longest: int
-) -> list[tuple[int, str, int]]:
-    """Rows of doc_id, text, label: up to ``per_class`` of each class, none of the held-out remainder.
+) -> Sample:
+    """Up to ``per_class`` documents of each class, none of the held-out remainder.
 
     Texts of more than ``longest`` characters, rows without text and labels other than 0 and 1 are no
     samples. Of several labels of a document the smallest holds.
@@ -35,4 +46,5 @@ def sample(
     texts = docs.select(F.col("doc_id"), "text").filter(F.length("text") <= longest)
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toPandas()
     found = found.drop_duplicates().sort_values(["doc_id", "text"])
-    return list(found.itertuples(index=False, name=None))
+    number = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
+    return Sample(list(found.itertuples(index=False, name=None)), number.get(0, 0), number.get(1, 0))

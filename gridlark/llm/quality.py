@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained, one on texts labelled good and one on texts labelled bad. A
 text that resembles the good ones takes fewer bytes with the first than with the second. The
 normalised difference of the two sizes, with the sizes per byte, becomes a probability through a
-logistic regression fitted on labelled texts that the dictionaries have not seen.
+logistic regression fitted on labelled texts that the dictionaries have not seen. It is the
+probability under about equal shares of both classes, as sampled.
 
 The whole text is compressed. Labels are learnt from a sample of at most ``PER_CLASS`` documents of
 each class, of at most ``LONGEST`` characters, drawn from the rows that are not held out.
@@ -114,7 +115,7 @@ def train(rows: list[tuple[int, str, int]]) -> QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    return train(sample(docs, labels, "quality", MODULUS, HELD, per_class, LONGEST))
+    return train(sample(docs, labels, "quality", MODULUS, HELD, per_class, LONGEST).rows)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

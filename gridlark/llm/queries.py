@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontaminate, mixing, quality, secret_scan, shingle_join, token_files
+from gridlark.llm import decontaminate, mixing, quality, secret_scan, shingle_join, token_files, toxicity
 from gridlark.plans.query import Query
 from gridlark.sources.scratch import scratch_path
 from gridlark.sources.tables import table
@@ -14,6 +14,11 @@ from gridlark.sources.tables import table
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
@@ -151,6 +156,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": Query(op2_toxicity),
     "op3_quality": Query(op3_quality),
     "op4_mix_sources": Query(op4_mix_sources, MIX_SQL),
     "op5_shingle_join": Query(op5_shingle_join, SHINGLE_SQL),
