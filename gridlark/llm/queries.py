@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontaminate, html_text, mixing, quality, secret_scan, shingle_join, token_files, toxicity
+from gridlark.llm import decontaminate, html_text, mixing, neighbours, quality, secret_scan, shingle_join, token_files, toxicity
 from gridlark.plans.query import Query
 from gridlark.sources.scratch import scratch_path
 from gridlark.sources.tables import table
@@ -116,6 +116,11 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return html_text.extract(pages, html_text.fit(pages))
@@ -166,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op4_mix_sources": Query(op4_mix_sources, MIX_SQL),
     "op5_shingle_join": Query(op5_shingle_join, SHINGLE_SQL),
     "op6_secrets": Query(op6_secrets),
+    "op7_neighbours": Query(op7_neighbours),
     "op8_html_text": Query(op8_html_text),
     "op9_token_files": Query(op9_token_files),
     "op10_decontaminate": Query(op10_decontaminate, DECONTAMINATE_SQL),
