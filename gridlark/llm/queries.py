@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontaminate, html_text, mixing, neighbours, quality, secret_scan, shingle_join, token_files, toxicity
+from gridlark.llm import decontaminate, html_text, mixing, neighbours, quality, secret_scan, shingle_join, suffix_dedup, token_files, toxicity
 from gridlark.plans.query import Query
 from gridlark.sources.scratch import scratch_path
 from gridlark.sources.tables import table
@@ -14,6 +14,10 @@ from gridlark.sources.tables import table
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("spans")
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -166,6 +170,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": Query(op1_suffix_dedup),
     "op2_toxicity": Query(op2_toxicity),
     "op3_quality": Query(op3_quality),
     "op4_mix_sources": Query(op4_mix_sources, MIX_SQL),
