@@ -18,6 +18,7 @@ it with a unique column); ties in it would make positions arbitrary.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,7 +32,30 @@ GROUP_ROWS = 5_000_000
 # Bits that monotonically_increasing_id gives to the row number inside a partition.
 ROW_BITS = 33
 
-Expressions = dict[str, Callable[[WindowSpec], Column]]
+
+
+@dataclass(frozen=True)
+class Look:
+    """A window expression and how many rows it sees before and after its own."""
+
+    make: Callable[[WindowSpec], Column]
+    before: int
+    after: int
+
+
+def look_back(column: str, rows: int = 1, default=None) -> Look:
+    """``lag``: the value ``rows`` rows earlier."""
+    return Look(lambda w: F.lag(column, rows, default).over(w), rows, 0)
+
+
+def look_ahead(column: str, rows: int = 1, default=None) -> Look:
+    """``lead``: the value ``rows`` rows later."""
+    return Look(lambda w: F.lead(column, rows, default).over(w), 0, rows)
+
+
+def look_around(aggregate: Column, start: int, end: int) -> Look:
+    """An aggregate over the ROWS frame from ``start`` to ``end``, both counted from the own row."""
+    return Look(lambda w: aggregate.over(w.rowsBetween(start, end)), max(0, -start), max(0, end))
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -110,37 +134,34 @@ def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    expressions: Expressions,
-    before: int = 0,
-    after: int = 0,
+    looks: dict[str, Look],
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Window expressions that look at most ``before`` rows back and ``after`` rows ahead.
+    """Add what rows see of their neighbours: ``lag``, ``lead`` and ROWS frames.
 
-    Covers ``lag``, ``lead`` and ROWS frames. An expression receives the window it runs over.
+    Each look carries its reach, so no row can ask for more than is copied over block edges.
     """
     group_rows = _limit(group_rows)
-    plain = _fits(keys, group_rows, df)
-    return _neighbours(df, keys, order, expressions, before, after, group_rows, plain)
+    return _neighbours(df, keys, order, looks, group_rows, _fits(keys, group_rows, df))
 
 
 def _neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    expressions: Expressions,
-    before: int,
-    after: int,
+    looks: dict[str, Look],
     group_rows: int,
     plain: bool,
 ) -> DataFrame:
     if plain:
         window = Window.partitionBy(*keys).orderBy(*_columns(order))
-        return df.select("*", *[make(window).alias(name) for name, make in expressions.items()])
+        return df.select("*", *[look.make(window).alias(name) for name, look in looks.items()])
+    before = max(look.before for look in looks.values())
+    after = max(look.after for look in looks.values())
     spread = _with_halo(_blocks(df, keys, order, group_rows), group_rows, before, after)
     window = Window.partitionBy("_block", *keys).orderBy("_pos")
-    done = spread.select("*", *[make(window).alias(name) for name, make in expressions.items()])
-    return done.where("_own").select(*df.columns, *expressions)
+    done = spread.select("*", *[look.make(window).alias(name) for name, look in looks.items()])
+    return done.where("_own").select(*df.columns, *looks)
 
 
 def _scan() -> tuple[WindowSpec, WindowSpec]:
@@ -282,10 +303,11 @@ def percentiles(
     points: dict[str, float],
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Exact interpolated percentiles per key.
+    """Exact interpolated percentiles per key; a key without any value keeps its row, with nulls.
 
     Spark's ``percentile`` keeps the distinct values of a key in memory, so it serves for keys of a
-    tenth of ``group_rows`` at most. Beyond that the values are found by their row positions.
+    tenth of ``group_rows`` at most. Beyond that the values are found by their row positions and
+    interpolated by the same formula: equal neighbours as they are, NaN as the largest value.
     """
     group_rows = _limit(group_rows)
     if _fits(keys, group_rows // 10, df):
@@ -294,11 +316,18 @@ def percentiles(
     found = []
     for name, p in points.items():
         spot = (F.col("group_rows") - 1) * F.lit(p)
-        low = F.max(F.when(F.col("row_number") == F.floor(spot) + 1, F.col(value)))
-        high = F.max(F.when(F.col("row_number") == F.ceil(spot) + 1, F.col(value)))
-        part = F.max(spot - F.floor(spot))
-        found.append((low + (high - low) * part).alias(name))
-    return rows.groupBy(*keys).agg(*found)
+        below, above = F.floor(spot), F.ceil(spot)
+        low = F.max(F.when(F.col("row_number") == below + 1, F.col(value).cast("double")))
+        high = F.max(F.when(F.col("row_number") == above + 1, F.col(value).cast("double")))
+        between = F.max(above - spot) * low + F.max(spot - below) * high
+        found.append(F.when(low.eqNullSafe(high), low).otherwise(between).alias(name))
+    known = rows.groupBy(*keys).agg(*found)
+    if not keys:
+        return known
+    everyone = df.select(*keys).distinct()
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    joined = everyone.alias("e").join(known.alias("f"), same, "left")
+    return joined.select(*[f"e.{k}" for k in keys], *[f"f.{name}" for name in points])
 
 
 def _running_totals(
@@ -348,18 +377,29 @@ def range_sums(
 
     A range join followed by an aggregate, without forming the pairs: the sum over a range is the
     running sum at its end minus the one before its start. Where a key is too large, right rows with
-    equal key and position are added up before they are ordered. Measures must be exact (integers or decimals), nulls in
-    them count as 0. ``open_low`` and ``open_high`` leave the bound itself out.
+    equal key and position are added up before they are ordered, and running sums go over all keys,
+    as decimals of 38 digits, so that they do not overflow where the sums of single keys fit.
+    Measures must be exact (integers or decimals); others are refused. Nulls in them count as 0.
+    ``open_low`` and ``open_high`` leave the bound itself out.
     """
     names = list(measures)
     group_rows = _limit(group_rows)
+    kinds = right.select(*[m.alias(n) for n, m in measures.items()]).schema
+    for field in kinds:
+        if not isinstance(field.dataType, (T.IntegralType, T.DecimalType)):
+            raise TypeError(f"measure {field.name} is {field.dataType.simpleString()}; sums must be exact")
     # Each left row adds a start and an end to its key.
     plain = _fits(keys, group_rows, right, left, left)
     points = right.dropna(subset=[*keys, at]).select(
         *keys, F.col(at).alias("_at"), *[F.coalesce(m, F.lit(0)).alias(n) for n, m in measures.items()]
     )
+    sum_types = points.select(*[F.sum(n).alias(n) for n in names]).schema
     if not plain:
-        points = points.groupBy(*keys, "_at").agg(*[F.sum(n).alias(n) for n in names])
+        scale = {f.name: f.dataType.scale if isinstance(f.dataType, T.DecimalType) else 0 for f in kinds}
+        wide = [F.col(n).cast(T.DecimalType(38, scale[n])).alias(n) for n in names]
+        points = points.select(*keys, "_at", *wide).groupBy(*keys, "_at").agg(
+            *[F.sum(n).cast(T.DecimalType(38, scale[n])).alias(n) for n in names]
+        )
     no_id = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left_id]
     # _place: before, at or after the data of the same position. _sign: start or end of a range.
     data = points.select(*keys, *no_id, "_at", F.lit(1).alias("_place"), F.lit(0).alias("_sign"), *names)
@@ -383,7 +423,12 @@ def range_sums(
     order = ["_at", "_place", "_sign", *left_id]
     ends = _running_totals(rows, keys, order, names, group_rows, plain).where(F.col("_sign") != 0)
     # Grouped by key as well: rows that a window has brought together by key need no other shuffle.
-    sums = [F.sum(F.col("_sign") * F.col(f"_sum_{n}")).alias(n) for n in names]
+    sums = [
+        F.sum(F.when(F.col("_sign") > 0, F.col(f"_sum_{n}")).otherwise(-F.col(f"_sum_{n}")))
+        .cast(sum_types[n].dataType)
+        .alias(n)
+        for n in names
+    ]
     return ends.groupBy(*keys, *[c for c in left_id if c not in keys]).agg(*sums).select(*left_id, *names)
 
 
@@ -486,8 +531,7 @@ def sessions(
     group_rows = _limit(group_rows)
     # There are no more slices than rows, so few rows settle it; else the slices themselves count.
     plain = _fits(keys, group_rows, df) or _fits(keys, group_rows, slices)
-    previous = {"_prev": lambda w: F.lag("_to").over(w)}
-    linked = _neighbours(slices, keys, ["_slice"], previous, 1, 0, group_rows, plain)
+    linked = _neighbours(slices, keys, ["_slice"], {"_prev": look_back("_to")}, group_rows, plain)
     apart = F.coalesce(F.col("_from") > F.col("_prev") + F.make_dt_interval(secs=F.lit(gap_seconds)), F.lit(True))
     flagged = linked.withColumn("_new", apart.cast("long"))
     numbered = _running_totals(flagged, keys, ["_slice"], ["_new"], group_rows, plain)

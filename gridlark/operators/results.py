@@ -8,9 +8,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridlark.functions.text import has_text
+from gridlark.functions.text import checked_name, has_text
 from gridlark.sources.seed import ensure_namespace
 
 log = logging.getLogger(__name__)
@@ -68,7 +67,7 @@ def row_count(df: DataFrame) -> int:
 
 
 def result_name(job_id: str, namespace: str) -> str:
-    return f"{namespace}.{RESULT_PREFIX}{re.sub(NOT_IN_TABLE_NAME, '_', job_id)}"
+    return checked_name(namespace, RESULT_PREFIX + re.sub(NOT_IN_TABLE_NAME, "_", job_id))
 
 
 def save_result(
@@ -87,36 +86,10 @@ def save_result(
         return None
     ensure_namespace(df.sparkSession, namespace)
     name = result_name(job_id, namespace)
-    capped = cap_rows(df, n, order_by) if order_by else _first_rows(df, n)
-    capped.write.mode("overwrite").saveAsTable(name)
+    cap_rows(df, n, order_by).write.mode("overwrite").saveAsTable(name)
     return name
 
 
-def _first_rows(df: DataFrame, n: int) -> DataFrame:
-    """Any ``n`` rows, read from as few partitions as give them.
-
-    A limit that is written out starts a task on every partition of the table; ``take`` begins with
-    one partition and widens only while rows are missing. The rows, ``n`` at most, pass through the
-    driver, so types without a Python form stay with the plain limit.
-    """
-    if not _has_python_form(df.schema):
-        return df.limit(n)
-    return df.sparkSession.createDataFrame(df.take(n), df.schema).coalesce(1)
-
-
-def _has_python_form(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.StructType):
-        return all(_has_python_form(f.dataType) for f in dtype.fields)
-    if isinstance(dtype, T.ArrayType):
-        return _has_python_form(dtype.elementType)
-    if isinstance(dtype, T.MapType):
-        return _has_python_form(dtype.keyType) and _has_python_form(dtype.valueType)
-    return isinstance(
-        dtype,
-        (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType),
-    )
-
-
 def load_result(
     spark: SparkSession, job_id: str, namespace: str, order_by: Sequence[str | Column] | None = None
 ) -> DataFrame:
@@ -146,5 +119,11 @@ def drop_results(spark: SparkSession, job_ids: DataFrame | Iterable[str], namesp
 
 def result_schema(df: DataFrame) -> DataFrame:
     """Columns of a result in order: position, name, type text."""
-    rows = [(i, f.name, str(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "pos INT, name STRING, type STRING")
+    lines = [
+        F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("name"), F.lit(str(f.dataType)).alias("type"))
+        for i, f in enumerate(df.schema.fields)
+    ]
+    one = df.sparkSession.range(1)
+    if not lines:
+        return one.limit(0).select(F.lit(0).alias("pos"), F.lit("").alias("name"), F.lit("").alias("type"))
+    return one.select(F.inline(F.array(*lines)))

@@ -19,9 +19,6 @@ from gridlark.operators.joblog import (
     recent_queries,
     retention,
 )
-from gridlark.operators.lifecycle import evict, fetch, run_next, submit
-from gridlark.operators.lifecycle import jobs as logged_jobs
-from gridlark.operators.results import result_name
 from gridlark.plans.load_queries import fresh_table
 from gridlark.plans.query import Query
 from gridlark.sources.scratch import scratch_namespace
@@ -204,39 +201,7 @@ JOBS_FETCHABLE = f"""
     FROM documents d LEFT JOIN ({JOBS}) j ON j.job_id = d.doc_id * 11
 """
 
-PRIORITIES = "SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY o_orderpriority"
-
-
-def q_job_lifecycle(spark, folder):
-    """Three jobs are submitted and run, one of them in vain; all but the newest result is dropped."""
-    log, namespace = fresh_table(spark, "job_log"), scratch_namespace(spark)
-    attach(spark, folder, ["orders"])
-    oldest = submit(spark, log, "SELECT count(*) AS n FROM orders")
-    submit(spark, log, "SELECT no_such_column FROM orders")
-    newest = submit(spark, log, PRIORITIES)
-    while run_next(spark, log, namespace):
-        pass
-    evict(spark, log, namespace, 1)
-    there = spark.catalog.tableExists(result_name(oldest, namespace))
-    states = logged_jobs(spark, log).agg(
-        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
-        F.count_if(F.col("error_message").contains("no_such_column")).alias("failed"),
-    ).first()
-    return fetch(spark, log, newest, namespace).select(
-        "*",
-        F.lit(states.succeeded).alias("succeeded"),
-        F.lit(states.failed).alias("failed"),
-        F.lit(there).alias("oldest_kept"),
-    )
-
-
-JOB_LIFECYCLE = f"""
-    SELECT *, CAST(2 AS INTEGER) AS succeeded, CAST(1 AS INTEGER) AS failed, FALSE AS oldest_kept
-    FROM ({PRIORITIES})
-"""
-
 QUERIES = {
-    "job_lifecycle": Query(q_job_lifecycle, JOB_LIFECYCLE),
     "job_state": Query(q_job_state, JOB_STATE),
     "job_state_stream": Query(q_job_state_stream, JOB_STATE),
     "next_job": Query(

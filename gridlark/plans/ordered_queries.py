@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from gridlark.operators.ordered import (
     asof,
     cume_dist,
+    look_ahead,
+    look_around,
+    look_back,
     neighbours,
     ntile,
     percent_rank,
@@ -77,12 +80,7 @@ def win_lag(spark: SparkSession, folder: str) -> DataFrame:
         events,
         ["user_id"],
         ["ts", "event_id"],
-        {
-            "before": lambda w: F.lag("event_type").over(w),
-            "after": lambda w: F.lead("value", 1, 0.0).over(w),
-        },
-        before=1,
-        after=1,
+        {"before": look_back("event_type"), "after": look_ahead("value", 1, 0.0)},
     )
     return rows.select("event_id", "before", "after")
 
@@ -100,11 +98,9 @@ def win_rows(spark: SparkSession, folder: str) -> DataFrame:
         ["user_id"],
         ["ts", "event_id"],
         {
-            "moving": lambda w: F.sum(cents("value")).over(w.rowsBetween(-2, 0)),
-            "around": lambda w: F.max("value").over(w.rowsBetween(-1, 1)),
+            "moving": look_around(F.sum(cents("value")), -2, 0),
+            "around": look_around(F.max("value"), -1, 1),
         },
-        before=2,
-        after=1,
     )
     return rows.select("event_id", amount("moving"), "around")
 

@@ -29,6 +29,8 @@ Run = Callable[[SparkSession, str], DataFrame]
 class Query:
     run: Run
     oracle: str | None = None
+    # The SQL that Spark runs, for queries that are SQL texts.
+    text: str | None = None
 
 
 def named_tables(sql: str) -> list[str]:
@@ -55,4 +57,4 @@ def sql_query(sql: str, oracle: str | None = None, before: tuple[str, ...] = ())
             run_query(spark, statement)
         return run_query(spark, text.replace("{folder}", folder))
 
-    return Query(run, expand(sql if oracle is None else oracle, DUCK_TOTAL))
+    return Query(run, expand(sql if oracle is None else oracle, DUCK_TOTAL), text)

@@ -36,8 +36,16 @@ SCANS = {
         """,
     ),
     "scan_sample": sql_query(
-        "SELECT count(*) AS sampled FROM (SELECT * FROM lineitem TABLESAMPLE (10 ROWS))",
-        "SELECT count(*) AS sampled FROM (SELECT * FROM lineitem LIMIT 10)",
+        """
+        WITH sample AS (
+            SELECT count(*) AS n, sum(l_quantity) AS quantity
+            FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7)),
+        whole AS (SELECT count(*) AS n, sum(l_quantity) AS quantity FROM lineitem)
+        SELECT n AS line_items, abs((SELECT n FROM sample) - 0.1 * n) <= 0.02 * n AS fair_count,
+               abs((SELECT quantity FROM sample) - 0.1 * quantity) <= 0.02 * quantity AS fair_sum
+        FROM whole
+        """,
+        "SELECT count(*) AS line_items, TRUE AS fair_count, TRUE AS fair_sum FROM lineitem",
     ),
 }
 
@@ -263,15 +271,17 @@ AGGREGATES = {
     ),
     "agg_approx": sql_query(
         """
-        WITH per_value AS (
-            SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_partkey
-        )
-        SELECT l_returnflag, count(*) AS parts,
-               abs(approx_count_distinct(l_partkey, 0.02) - count(*)) <= 0.1 * count(*) AS close
-        FROM per_value GROUP BY l_returnflag
+        SELECT l_returnflag, count(*) AS line_items,
+               abs(approx_count_distinct(l_partkey, 0.02) - (SELECT count(*) FROM part))
+                   <= 0.1 * (SELECT count(*) FROM part) AS close_count,
+               abs(percentile_approx(l_quantity, 0.5, 10000) - 25.5) <= 1.5 AS close_median
+        FROM lineitem GROUP BY l_returnflag
         """,
         """
-        SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, TRUE AS close
+        SELECT l_returnflag, count(*) AS line_items,
+               abs(count(DISTINCT l_partkey) - (SELECT count(*) FROM part)) <= 0.1 * (SELECT count(*) FROM part)
+                   AS close_count,
+               abs(quantile_disc(l_quantity, 0.5) - 25.5) <= 1.5 AS close_median
         FROM lineitem GROUP BY l_returnflag
         """,
     ),
@@ -346,7 +356,7 @@ SUBQUERIES = {
                       WHERE b.o_custkey = c_custkey)
         """,
     ),
-    # NOT IN over a set without nulls. Spelled out, because NOT IN itself sends the whole set to
+    # NOT IN drops everything if the set has a null, and a null key unless the set is empty. Spelled out, because NOT IN itself sends the whole set to
     # every task whatever its size.
     "sub_notin": sql_query(
         """
@@ -354,6 +364,7 @@ SUBQUERIES = {
         WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) s
                           WHERE s.l_partkey = p_partkey)
           AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 45 AND l_partkey IS NULL)
+          AND (p_partkey IS NOT NULL OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 45))
         """,
         """
         SELECT p_partkey, p_name FROM part

@@ -41,10 +41,8 @@ def load_inventory(spark: SparkSession) -> DataFrame:
 
 def _items(spark: SparkSession, catalog: str, namespace: str) -> list[tuple]:
     place = f"{quoted(catalog)}.{namespace}"
-    tables = _shown(spark, f"SHOW TABLES IN {place}")
-    if not tables:
-        return [(catalog, namespace, None, None, False)]
-    rows = [(catalog, namespace, r.tableName, "table", r.isTemporary) for r in tables]
+    tables = _shown(spark, f"SHOW TABLES IN {place}") or []
     views = _shown(spark, f"SHOW VIEWS IN {place}") or []
+    rows = [(catalog, namespace, r.tableName, "table", r.isTemporary) for r in tables]
     rows += [(catalog, namespace, r.viewName, "view", r.isTemporary) for r in views]
-    return rows
+    return rows or [(catalog, namespace, None, None, False)]

@@ -7,12 +7,15 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.functions.text import checked_name
+
 log = logging.getLogger(__name__)
 
 
 def ensure_namespace(spark: SparkSession, namespace: str, location: str | None = None) -> bool:
     """Make a namespace if it is absent. A failure is logged, not raised."""
     place = f" LOCATION '{location}'" if location else ""
+    namespace = checked_name(namespace)
     try:
         spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}{place}")
         return True
@@ -28,6 +31,7 @@ def seed_table(
 
     Running it again changes nothing. Returns whether rows were written.
     """
+    name = checked_name(name)
     parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{parts}")
     if not spark.table(name).isEmpty():

@@ -5,9 +5,11 @@ from datetime import date, datetime
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gridlark.operators import inspect, inventory, overview
+from gridlark.plans import sqlset
 from gridlark.plans.load_queries import LOG_DDL
 from gridlark.sources import catalog, footers, scratch, seed
 
@@ -243,3 +245,27 @@ def test_search_levels(spark):
     assert hits("st") == [("namespace", "east"), ("namespace", "west")]
     assert hits("bare") == [("catalog", "bare")]
     assert len(hits("")) == 6
+
+
+def test_views_are_listed_without_tables(spark, monkeypatch):
+    """Some catalogs leave views out of SHOW TABLES."""
+    replies = {
+        "SHOW TABLES IN `c`.only_views": [],
+        "SHOW VIEWS IN `c`.only_views": [Row(viewName="v", isTemporary=False)],
+        "SHOW TABLES IN `c`.bare": [],
+        "SHOW VIEWS IN `c`.bare": None,
+    }
+    monkeypatch.setattr(catalog, "_shown", lambda _, statement: replies[statement])
+    assert catalog._items(spark, "c", "only_views") == [("c", "only_views", "v", "view", False)]
+    assert catalog._items(spark, "c", "bare") == [("c", "bare", None, None, False)]
+
+
+def test_not_in_with_nulls(spark):
+    """The registered rewrite of NOT IN against NOT IN itself, with nulls on either side."""
+    text = sqlset.QUERIES["sub_notin"]
+    parts = [(1, "a"), (2, "b"), (None, "c")]
+    for lines in ([(1, 50.0)], [(1, 50.0), (None, 50.0)], [(1, 1.0)], []):
+        spark.createDataFrame(parts, "p_partkey BIGINT, p_name STRING").createOrReplaceTempView("part")
+        spark.createDataFrame(lines, "l_partkey BIGINT, l_quantity DOUBLE").createOrReplaceTempView("lineitem")
+        rewritten, plain = (sorted(map(str, spark.sql(sql).collect())) for sql in (text.text, text.oracle))
+        assert rewritten == plain

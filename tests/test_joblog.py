@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import joblog, lifecycle
+from gridlark.operators import joblog
 from gridlark.sources.scratch import scratch_namespace
 from gridlark.streaming.jobstate import keep_job_state, latest_job_state
 
@@ -148,24 +148,3 @@ def test_a_failing_stream_raises(spark, tmp_path):
     stream = spark.readStream.schema(EVENTS).parquet(source).where(F.raise_error(F.lit("broken")).isNull())
     with pytest.raises(Exception, match="broken"):
         keep_job_state(stream, str(tmp_path / "out"), str(tmp_path / "check"))
-
-
-def test_life_of_a_job(spark):
-    namespace = scratch_namespace(spark, f"gridlark_test_{uuid.uuid4().hex[:8]}")
-    log = f"{namespace}.log"
-    with pytest.raises(ValueError):
-        lifecycle.submit(spark, log, " \t\n")
-    good = lifecycle.submit(spark, log, "SELECT X'FFFE' AS b, 5 AS n")
-    bad = lifecycle.submit(spark, log, "SELECT 1 / (id - id) AS x FROM range(3)")
-    assert len(good) == 12
-    with pytest.raises(LookupError, match="not complete"):
-        lifecycle.fetch(spark, log, good, namespace)
-    assert [lifecycle.run_next(spark, log, namespace) for _ in range(3)] == [good, bad, None]
-    assert tuple(lifecycle.fetch(spark, log, good, namespace).first()) == ("//4=", 5)
-    with pytest.raises(LookupError, match="not found"):
-        lifecycle.fetch(spark, log, "unknown", namespace)
-    states = {r.job_id: (r.status, r.error_message or "") for r in lifecycle.jobs(spark, log).collect()}
-    assert states[good] == ("succeeded", "")
-    assert states[bad][0] == "failed" and "DIVIDE_BY_ZERO" in states[bad][1]
-    assert lifecycle.evict(spark, log, namespace, 0) == 0
-    assert not spark.catalog.tableExists(f"{namespace}.job_{good}")

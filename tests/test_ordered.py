@@ -62,12 +62,10 @@ def test_neighbours(data, rows, limit):
         ["k"],
         ["x", "id"],
         {
-            "prev": lambda w: F.lag("v").over(w),
-            "next2": lambda w: F.lead("v", 2).over(w),
-            "moving": lambda w: F.sum("v").over(w.rowsBetween(-2, 0)),
+            "prev": ordered.look_back("v"),
+            "next2": ordered.look_ahead("v", 2),
+            "moving": ordered.look_around(F.sum("v"), -2, 0),
         },
-        before=2,
-        after=2,
         group_rows=limit,
     )
     got = {r.id: (r.prev, r.next2, r.moving) for r in out.collect()}
@@ -144,3 +142,39 @@ def test_sessions(spark, limit):
     as_set = lambda d: {(r.u, r.start, r.last, r.n) for r in d.collect()}
     assert as_set(got) == as_set(plain)
     assert got.count() == plain.count()
+
+
+ODD = [
+    (1, "a", 1.0), (2, "a", float("inf")), (3, "a", float("inf")), (4, "b", float("-inf")), (5, "b", float("inf")),
+    (6, "c", None), (7, "c", None), (8, None, 3.0), (9, None, None), (10, "d", float("nan")), (11, "d", 2.0),
+    (12, "e", 0.1), *[(20 + i, "hot", float(i % 13)) for i in range(200)],
+]
+
+
+def test_percentiles_of_odd_values(spark):
+    """Null keys, keys without values, infinities, NaN and a hot key: one answer on both ways."""
+    df = spark.createDataFrame(ODD, "id INT, k STRING, v DOUBLE").repartition(3)
+    ways = [
+        {r.k: (str(r.p), str(r.q)) for r in ordered.percentiles(df, ["k"], "v", ["id"], {"p": 0.5, "q": 0.9}, n).collect()}
+        for n in (PLAIN, SPLIT)
+    ]
+    assert ways[0] == ways[1] and set(ways[0]) == {"a", "b", "c", None, "d", "e", "hot"}
+    assert ways[0]["c"] == ("None", "None") and ways[0]["a"] == ("inf", "inf")
+
+
+def test_large_sums_of_single_keys(spark):
+    """Sums that fit for each key do not overflow over all keys; inexact measures are refused."""
+    rows = [(i, f"k{i}", 1, 4 * 10**18) for i in range(6)] + [(9, None, 1, 5)]
+    df = spark.createDataFrame(rows, "id INT, k STRING, x INT, v BIGINT")
+    for limit in (PLAIN, 2):
+        out = ordered.range_sums(df, df, ["k"], ["id"], "x", {"s": F.col("v")}, high=F.col("x"), group_rows=limit)
+        assert {r.id: r.s for r in out.collect()} == {i: 4 * 10**18 for i in range(6)} | {9: 0}
+        assert out.schema["s"].dataType.simpleString() == "bigint"
+        with pytest.raises(TypeError, match="exact"):
+            ordered.range_sums(df, df, ["k"], ["id"], "x", {"s": F.col("v") * 0.1}, high=F.col("x"), group_rows=limit)
+
+
+def test_a_look_knows_its_reach():
+    assert (ordered.look_back("v", 3).before, ordered.look_ahead("v", 2).after) == (3, 2)
+    wide = ordered.look_around(F.sum("v"), -5, 1)
+    assert (wide.before, wide.after) == (5, 1)

@@ -9,7 +9,7 @@ from gridlark.plans import joblog_queries, ordered_queries, sqlset
 FOLDER = str(DATA / "sf0.001")
 # These are the evicted side of a retention, where fifty ids are broadcast.
 BOUNDED = {"jobs_evicted", "jobs_evicted_closed"}
-KEYS = [k for m in (sqlset, ordered_queries, joblog_queries) for k in m.QUERIES if "lifecycle" not in k and "stream" not in k]
+KEYS = [k for m in (sqlset, ordered_queries, joblog_queries) for k in m.QUERIES if "stream" not in k]
 
 
 @pytest.fixture(scope="module")
