@@ -5,14 +5,15 @@ The matrix of documents by shingles is never multiplied whole:
 1. Documents of equal sets are one class, named by its smallest doc_id; only classes go on.
 2. Sorted by hash, a set's first p shingles, p = size - ceil(0.75 size) + l, share at least l with
    those of any set it links with. Blocks of the hash space count which of them occur in two sets;
-   a set with fewer shared ones than the smallest partner needs cannot link and is dropped.
+   a set with fewer shared ones than the smallest partner needs cannot link and is dropped. Among
+   the rest the same is done once more with whole sets, of which three quarters must be shared.
 3. Among the rest each column (shingle) links its sets with one of them, the hub. These pairs are
    counted exactly. Columns whose sets are then in one component are done.
 4. In the columns that remain, pairs of different components add up their overlap over the prefix;
    those below the bound for their sizes are discarded and the others are counted exactly.
 
-Step 3 is repeated with other hubs while step 4 would be large against the input; step 4 handles all
-that is left, without a limit. So links in large groups of near copies cost one pair per member, and
+Step 3 is repeated with other hubs while step 4 would be large against the input and a round at least
+halves it; step 4 handles all that is left, without a limit. So links in large groups of near copies cost one pair per member, and
 no link between different components is missed.
 
 Defined results: lower-casing touches A-Z only; a text of fewer than five words is one shingle; a null
@@ -24,6 +25,7 @@ no rows; other columns of the input do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -40,9 +42,9 @@ PERCENT = 75
 # Shared shingles asked of two prefixes, as a part of the set.
 EXTRA = 0.1
 CHUNK_BYTES = 4 << 20
-# Step 4 may look at so many pairs per prefix entry before another hub is tried.
-PAIRS_PER_ENTRY = 4
-MOST_HUBS = 6
+# Step 4 may look at so many pairs per prefix entry before another hub is tried; and another one is
+# tried only after a round that has halved the pairs.
+PAIRS_PER_ENTRY = 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -140,8 +142,38 @@ def _prefix(found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found[np.repeat(np.cumsum(sizes) - sizes, kept) + at], owner
 
 
-def _prefix_blocks(blocks: int):
-    """Prefix entries by block of the hash space.
+# An entry in the shuffle: five bytes of the shingle's hash beyond its block, six of the set's mark.
+# Equal bytes of different shingles would only keep a set that could be dropped.
+VALUE_BYTES, OWNER_BYTES = 5, 6
+
+
+def _packed(value: np.ndarray, owner: np.ndarray, blocks: int) -> bytes:
+    rest = (value // np.uint64(blocks)).view(np.uint8).reshape(-1, 8)[:, :VALUE_BYTES]
+    return np.concatenate([rest, owner.view(np.uint8).reshape(-1, 8)[:, :OWNER_BYTES]], axis=1).tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, VALUE_BYTES + OWNER_BYTES)
+    both = np.zeros((2, len(rows), 8), np.uint8)
+    both[0, :, :VALUE_BYTES], both[1, :, :OWNER_BYTES] = rows[:, :VALUE_BYTES], rows[:, VALUE_BYTES:]
+    return both[0].reshape(-1).view(np.int64), both[1].reshape(-1).view(np.int64)
+
+
+def short_mark(mark: np.ndarray) -> np.ndarray:
+    """The part of a mark that names an entry's owner; never 0, which stands for no owner."""
+    return np.maximum(mark & ((1 << 8 * OWNER_BYTES) - 1), 1)
+
+
+def _set_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The same as ``_chunks`` from stored sets."""
+    for batch in batches:
+        sizes = batch.column("n").to_numpy()
+        found = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
+        yield batch.column("id"), np.concatenate([np.empty(0, np.uint64), *found]), sizes
+
+
+def _blocks(blocks: int, chunks, part):
+    """Entries of sets by block of the hash space; ``part`` chooses a set's entries.
 
     What a task sees twice is shared for certain: it counts at once and goes out once, without an
     owner. So a column sends at most one entry per task, however many documents have it.
@@ -149,10 +181,10 @@ def _prefix_blocks(blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, owners = [], []
-        for _, found, sizes in _chunks(batches):
-            values, owner = _prefix(found, sizes)
+        for _, found, sizes in chunks(batches):
+            values, owner = part(found, sizes)
             seen.append(values)
-            owners.append(set_marks(found, sizes)[0][owner])
+            owners.append(short_mark(set_marks(found, sizes)[0])[owner])
         if not seen:
             return
         value, owner = np.concatenate(seen), np.concatenate(owners)
@@ -174,7 +206,7 @@ def _prefix_blocks(blocks: int):
         value, owner, block = value[order], owner[order], block[order]
         at, lengths = _runs(block)
         numbers = [int(block[a]) for a in at]
-        entries = [np.stack([value[a : a + n].view(np.int64), owner[a : a + n]]).tobytes() for a, n in zip(at, lengths)]
+        entries = [_packed(value[a : a + n], owner[a : a + n], blocks) for a, n in zip(at, lengths)]
         counted = np.stack([who, counts]).tobytes()
         yield pa.RecordBatch.from_arrays(
             [
@@ -190,11 +222,11 @@ def _prefix_blocks(blocks: int):
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Sets and how many of their entries in this block occur in another set."""
-    read = lambda rows: [np.frombuffer(p, np.int64).reshape(2, -1) for p in rows]
-    entries = np.concatenate([np.empty((2, 0), np.int64), *read(group.payload[group.entries])], axis=1)
-    counted = np.concatenate([np.empty((2, 0), np.int64), *read(group.payload[~group.entries])], axis=1)
-    order = np.lexsort(entries[::-1])
-    value, owner = entries[0][order], entries[1][order]
+    value, owner = _unpacked(b"".join(group.payload[group.entries]))
+    read = [np.frombuffer(p, np.int64).reshape(2, -1) for p in group.payload[~group.entries]]
+    counted = np.concatenate([np.empty((2, 0), np.int64), *read], axis=1)
+    order = np.lexsort((owner, value))
+    value, owner = value[order], owner[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, owner = value[keep], owner[keep]
@@ -202,7 +234,22 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     zero = np.add.reduceat(owner == 0, starts) > 0 if len(starts) else np.empty(0, bool)
     owner = owner[np.repeat((lengths > 1) | zero, lengths)]
     who, counts = np.unique(owner[owner != 0], return_counts=True)
-    return pd.DataFrame({"mark": np.concatenate([who, counted[0]]), "shared": np.concatenate([counts, counted[1]])})
+    return pd.DataFrame({"short": np.concatenate([who, counted[0]]), "shared": np.concatenate([counts, counted[1]])})
+
+
+def _whole(found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return found, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _shared_counts(rows: DataFrame, blocks: int, chunks, part) -> DataFrame:
+    """How many of a set's chosen entries occur in another set: short mark, shared."""
+    return (
+        rows.mapInArrow(_blocks(blocks, chunks, part), "block int, entries boolean, payload binary")
+        .groupBy("block")
+        .applyInPandas(_shared, "short long, shared long")
+        .groupBy("short")
+        .agg(F.sum("shared").alias("shared"))
+    )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +260,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = batch.column("n").to_numpy()
-        found = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist())])
+    for column, found, sizes in _set_chunks(batches):
         value, owner = _prefix(found, sizes)
-        ids = batch.column("id").to_numpy()
+        ids = column.to_numpy()
         yield pa.RecordBatch.from_arrays(
             [pa.array(value.view(np.int64)), pa.array(ids[owner]), pa.array(sizes[owner])], names=["h", "id", "n"]
         )
@@ -263,8 +308,8 @@ def _links_of(sets: DataFrame, base: str) -> DataFrame:
     spark = sets.sparkSession
     entries = _stored(sets.mapInArrow(_entries, "h long, id long, n long"), f"{base}/entries")
     links = spark.createDataFrame([], "a long, b long")
-    tried = links
-    for hub in range(MOST_HUBS + 1):
+    tried, before = links, float("inf")
+    for hub in count():
         if hub:
             named = components(links).withColumnRenamed("node", "id")
             labelled = entries.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -285,8 +330,9 @@ def _links_of(sets: DataFrame, base: str) -> DataFrame:
         if not todo[0]:
             return links
         left = labelled.join(open_.select("h", "hub"), "h")
-        if todo[0] <= PAIRS_PER_ENTRY * todo[1] or hub == MOST_HUBS:
+        if todo[0] <= PAIRS_PER_ENTRY * todo[1] or 2 * todo[0] > before:
             break
+        before = todo[0]
         sizes = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))
         pairs = (
             left.filter("id != hub").select("id", "n", "hub").distinct().join(sizes, "hub").filter(_fits("n", "hub_n"))
@@ -323,19 +369,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         .groupBy("mark", "mark2", "n_shingles")
         .agg(F.min("doc_id").alias("id"))
     )
-    shared = (
-        rows.mapInArrow(_prefix_blocks(blocks), "block int, entries boolean, payload binary")
-        .groupBy("block")
-        .applyInPandas(_shared, "mark long, shared long")
-        .groupBy("mark")
-        .agg(F.sum("shared").alias("shared"))
-    )
+    short = F.greatest(F.col("mark").bitwiseAND((1 << 8 * OWNER_BYTES) - 1), F.lit(1))
+    classes = classes.withColumn("short", short)
     smallest = F.ceil(F.col("n_shingles") * PERCENT / 100)
-    alive = classes.join(shared, "mark").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(smallest * EXTRA)))
-    alive = _stored(alive.select("id"), f"{base}/alive")
-    # One row per id, should rows share it.
-    texts = rows.join(alive.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = _stored(texts.mapInArrow(_sets, "id long, n long, set binary"), f"{base}/sets").filter("n > 0")
+    some = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
+    alive = classes.join(_shared_counts(rows, blocks, _chunks, _prefix), "short").filter(F.col("shared") >= some)
+    alive = _stored(alive.select("id", "short"), f"{base}/alive")
+    texts = rows.join(alive.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    found = _stored(texts.mapInArrow(_sets, "id long, n long, set binary"), f"{base}/found")
+    close = alive.join(_shared_counts(found, blocks, _set_chunks, _whole), "short").select("id", "shared")
+    sets = found.join(close, "id").filter((F.col("n") > 0) & (F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)))
+    sets = _stored(sets.select("id", "n", "set"), f"{base}/sets")
     named = components(_links_of(sets, base))
     classes = classes.join(named.withColumnRenamed("node", "id"), "id", "left").select(
         "mark", "mark2", F.coalesce("component", "id").alias("component")
