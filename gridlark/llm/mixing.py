@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.functions.values import quoted
 from gridlark.llm.names import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,15 +82,13 @@ def mix(
     documents. A copy is queued only while its source is below its target, so a source goes over by
     less than one document.
     """
-    size, source, key, bucket, upto, copies = fresh(
-        [*docs.columns, into], "size", "queue", "key", "bucket", "upto", "copies"
-    )
-    rows = (
-        docs.withColumn(size, words_of(F.col("text")))
-        .withColumn(source, F.col("source"))
-        .withColumn(key, F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-        .withColumn(bucket, F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % (1 << bits))
-    )
+    # The input's columns bear numbers meanwhile, so that no name of theirs can clash.
+    size, source, key, bucket, upto, copies = "size", "queue", "key", "bucket", "upto", "copies"
+    numbered = [F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    name = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = docs.select(
+        *numbered, "doc_id", words_of(F.col("text")).alias(size), F.col("source").alias(source), name.alias(key)
+    ).withColumn(bucket, F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % (1 << bits))
     rows = rows.repartition(source, bucket)
     parts = rows.groupBy(source, bucket).agg(F.sum(size).alias("words"))
     earlier = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -138,10 +137,9 @@ def mix(
         .agg(F.min("c").alias("cut"))
     )
     cut = within.scalar()
-    (first_out,) = fresh(queued.columns, "first_out")
-    taken = F.filter(copies, lambda c: F.col(first_out).isNull() | (c < F.col(first_out)))
-    return queued.withColumn(first_out, cut).select(
-        *[F.col(c) for c in docs.columns],
+    taken = F.filter(copies, lambda c: F.col("first_out").isNull() | (c < F.col("first_out")))
+    return queued.withColumn("first_out", cut).select(
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)],
         F.struct(
             F.col(size).alias("size"),
             F.col("source_size"),
@@ -156,5 +154,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     (into, again) = fresh(docs.columns, "mix", "again")
     mixed = mix(docs, into, **options).filter(F.col(f"{into}.copies") > 0)
     return mixed.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(f"{into}.copies")))).select(
-        *docs.columns
+        *map(quoted, docs.columns)
     )
