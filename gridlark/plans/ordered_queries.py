@@ -184,16 +184,20 @@ JOIN_THETA = """
 
 def join_range(spark: SparkSession, folder: str) -> DataFrame:
     """Per part, the line items whose unit price lies within two of its retail price."""
-    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice")
-    lines = table(spark, folder, "lineitem").select(
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"), "l_quantity"
+    # Positions are cut into slots as wide as a range, so there is a key: a range meets two of them.
+    slot = lambda at: F.floor(at / 4)
+    low, high = F.col("p_retailprice") - 2, F.col("p_retailprice") + 2
+    parts = table(spark, folder, "part").select(
+        "p_partkey", "p_retailprice", F.explode_outer(F.sequence(slot(low), slot(high))).alias("slot")
     )
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    lines = table(spark, folder, "lineitem").select(unit.alias("unit"), "l_quantity", slot(unit).alias("slot"))
     rows = range_sums(
-        parts, lines, [], ["p_partkey"], "unit",
-        {"lines": F.lit(1), "quantity": cents("l_quantity")},
-        low=F.col("p_retailprice") - 2, high=F.col("p_retailprice") + 2,
+        parts, lines, ["slot"], ["p_partkey"], "unit",
+        {"lines": F.lit(1), "quantity": cents("l_quantity")}, low=low, high=high,
     )
-    return rows.select("p_partkey", "lines", amount("quantity"))
+    whole = rows.groupBy("p_partkey").agg(F.sum("lines").alias("lines"), F.sum("quantity").alias("quantity"))
+    return whole.select("p_partkey", "lines", amount("quantity"))
 
 
 JOIN_RANGE = """

@@ -52,3 +52,8 @@ def test_groups_are_cut_before_the_shuffle(spark):
 def test_sorted_limits_keep_few_rows(spark):
     for key in ("topk", "limit_offset", "next_job", "recent_queries"):
         assert "TakeOrderedAndProject" in plan(spark, key)
+
+
+@pytest.mark.parametrize("key", list(ordered_queries.QUERIES))
+def test_ordered_queries_need_no_single_task(large, key):
+    assert "SinglePartition" not in plan(large, key)
