@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,9 @@ FILE_COLUMNS = (
     "sort_order_id"
 ).split()
 
+# Fixed value: how a partition folder spells null.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 UNORDERED = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.CalendarIntervalType)
 
 
@@ -226,6 +230,33 @@ def file_inventory(
     )
 
 
+def footer_inventory(
+    df: DataFrame, listing: DataFrame, footers: DataFrame, partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per Parquet file without reading any rows: from the listing, footers and paths.
+
+    Rows, size, time and partition values, which is what partition lists and headline numbers need.
+    Counts and bounds per column are in ``file_inventory``.
+    """
+
+    def value(name: str) -> Column:
+        raw = F.regexp_extract("file_path", rf"/{re.escape(name)}=([^/]*)/", 1)
+        known = F.when(raw != NO_VALUE, F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
+        return known.try_cast(df.schema[name].dataType).alias(name)
+
+    parts = [F.struct(*map(value, partition_by)).alias("partition")] if partition_by else []
+    found = listing.join(footers.select("file_path", "record_count", "column_sizes", "split_offsets"), "file_path", "left")
+    return found.select(
+        "file_path",
+        F.coalesce("record_count", F.lit(0)).alias("record_count"),
+        "file_size_in_bytes",
+        "last_modified",
+        *parts,
+        "column_sizes",
+        "split_offsets",
+    )
+
+
 def files(
     inventory: DataFrame, footers: DataFrame | None = None, n: int | None = LISTED_ROWS, file_format: str = "PARQUET"
 ) -> DataFrame:

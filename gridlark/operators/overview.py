@@ -14,11 +14,12 @@ from gridlark.operators.inspect import (
     column_profile,
     file_inventory,
     files,
+    footer_inventory,
     partitions,
     snapshots,
     table_metrics,
 )
-from gridlark.sources.footers import list_files
+from gridlark.sources.footers import file_footers, list_files
 
 log = logging.getLogger(__name__)
 
@@ -46,27 +47,38 @@ def metadata_table(spark: SparkSession, name: str, kind: str) -> DataFrame | Non
         return None
 
 
-def _location(spark: SparkSession, name: str) -> str | None:
-    """Folder of a table that is made of files; ``None`` for a view."""
+def _storage(spark: SparkSession, name: str) -> tuple[str | None, bool]:
+    """Folder of a table that is made of files, ``None`` for a view; and whether they are Parquet."""
     details = spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
-    found = details.where(F.col("col_name").isin("Location", "Type")).select("col_name", "data_type").collect()
-    known = {row.col_name: row.data_type for row in found}
-    return None if known.get("Type") == "VIEW" else known.get("Location")
+    found = details.where(F.col("col_name").isin("Location", "Type", "Provider")).select("col_name", "data_type")
+    known = {row.col_name: row.data_type for row in found.collect()}
+    folder = None if known.get("Type") == "VIEW" else known.get("Location")
+    return folder, (known.get("Provider") or "").lower() == "parquet"
 
 
-def _inventory(spark: SparkSession, name: str, df: DataFrame) -> DataFrame | None:
+def _inventories(spark: SparkSession, name: str, df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The files with counts and bounds per column, and the files for partitions and numbers.
+
+    The second needs no rows where the files are Parquet: listing and footers have all of it.
+    """
     kept = metadata_table(spark, name, "files")
     if kept is not None:
-        return kept
+        return kept, kept
     try:
-        folder = _location(spark, name)
+        folder, footed = _storage(spark, name)
         if folder is None:
-            return None
+            return None, None
         parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
-        return file_inventory(df, parts, list_files(spark, folder))
+        listing = list_files(spark, folder)
+        full = file_inventory(df, parts, listing)
+        if not footed:
+            return full, full
+        footers = file_footers(spark, folder)
+        extra = footers.select("file_path", "column_sizes", "split_offsets")
+        return full.join(extra, "file_path", "left"), footer_inventory(df, listing, footers, parts)
     except Exception as e:
         log.debug("no file inventory of %s: %s", name, e)
-        return None
+        return None, None
 
 
 def table_overview(spark: SparkSession, catalog: str, namespace: str, table: str) -> Overview:
@@ -84,12 +96,12 @@ def table_overview(spark: SparkSession, catalog: str, namespace: str, table: str
         properties = None
     # The listings are capped; the headline numbers see all files and commits.
     commits = metadata_table(spark, name, "snapshots")
-    inventory = _inventory(spark, name, df)
+    inventory, light = _inventories(spark, name, df)
     parts = metadata_table(spark, name, "partitions")
     if parts is not None:
         parts = parts.limit(LISTED_ROWS)
-    elif inventory is not None and "partition" in inventory.columns:
-        parts = partitions(inventory)
+    elif light is not None and "partition" in light.columns:
+        parts = partitions(light)
     return Overview(
         schema=df.schema.jsonValue(),
         ddl=ddl,
@@ -98,5 +110,5 @@ def table_overview(spark: SparkSession, catalog: str, namespace: str, table: str
         snapshots=None if commits is None else snapshots(commits),
         partitions=parts,
         files=None if inventory is None else files(inventory),
-        metrics=table_metrics(commits, inventory, df=df),
+        metrics=table_metrics(commits, light, df=df),
     )

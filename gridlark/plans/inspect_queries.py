@@ -10,6 +10,7 @@ from gridlark.operators.inspect import (
     file_inventory,
     files,
     flatten_partition,
+    footer_inventory,
     partitions,
     snapshot_log,
     snapshots,
@@ -106,8 +107,9 @@ def yearly_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
 
 
 def yearly_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Its files from the listing and the footers; no rows are read."""
     copy, path = yearly_orders(spark, folder)
-    return file_inventory(copy, ["yr"], list_files(spark, path))
+    return footer_inventory(copy, list_files(spark, path), file_footers(spark, path), ["yr"])
 
 
 def files_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,7 +208,7 @@ def metrics_events(spark: SparkSession, folder: str) -> DataFrame:
 def metrics_files(spark: SparkSession, folder: str) -> DataFrame:
     """Without snapshots the rows of the files count, and times are not known."""
     copy, path = yearly_orders(spark, folder)
-    inventory = file_inventory(copy, ["yr"], list_files(spark, path)).drop("partition")
+    inventory = footer_inventory(copy, list_files(spark, path), file_footers(spark, path))
     metrics = table_metrics(file_rows=inventory, df=copy)
     return metrics.withColumn("avg_file_size", F.col("avg_file_size").rlike(r"^\d+\.\d\d MB$"))
 

@@ -269,3 +269,16 @@ def test_not_in_with_nulls(spark):
         spark.createDataFrame(lines, "l_partkey BIGINT, l_quantity DOUBLE").createOrReplaceTempView("lineitem")
         rewritten, plain = (sorted(map(str, spark.sql(sql).collect())) for sql in (text.text, text.oracle))
         assert rewritten == plain
+
+
+def test_partitions_and_numbers_read_no_rows(spark, namespace):
+    """Listing, footers and paths are enough; odd partition values come back as they were."""
+    rows = [(1, "a b"), (2, "x=y/z+é"), (3, None), (4, "a b")]
+    spark.createDataFrame(rows, "id INT, p STRING").write.partitionBy("p").saveAsTable(f"{namespace}.odd_parts")
+    seen = overview.table_overview(spark, "spark_catalog", namespace, "odd_parts")
+    got = {r.partition.p: (r.record_count, r.file_count > 0) for r in seen.partitions.collect()}
+    assert got == {"a b": (2, True), "x=y/z+é": (1, True), None: (1, True)}
+    for frame in (seen.partitions, seen.metrics):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" not in plan
+    assert all(r.column_sizes and r.split_offsets for r in seen.files.collect())
