@@ -33,8 +33,8 @@ WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 WIDTH = 10
 # Terms of a phrase whose lists are intersected before the words around the rarest one are compared.
 LISTS = 2
-# Rows of terms or phrases that may be sent to every task; about 100 bytes each.
-MOST_SENT = 200_000
+# Rows of terms or phrases that may be sent to every task; at up to 500 bytes each, 25 MB.
+MOST_SENT = 50_000
 
 
 def words_of(text: Column) -> Column:
