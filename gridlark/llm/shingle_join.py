@@ -7,14 +7,14 @@ The matrix of documents by shingles is never multiplied whole:
    those of any set it links with. Blocks of the hash space count which of them occur in two sets;
    a set with fewer shared ones than the smallest partner needs cannot link and is dropped. Among
    the rest the same is done once more with whole sets, of which three quarters must be shared.
-3. Among the rest each column (shingle) links its sets with one of them, the hub. These pairs are
-   counted exactly. Columns whose sets are then in one component are done.
-4. In the columns that remain, pairs of different components add up their overlap over the prefix;
-   those below the bound for their sizes are discarded and the others are counted exactly.
+3. Among the rest each column (shingle) links its sets with one of them, the hub: first the one that
+   shares most of its shingles with others. These pairs are counted exactly. Columns whose sets are then in one component are done.
+4. The sets of the columns that remain meet by hub, in blocks. The blocks' incidence matrix times its
+   transpose gives all overlaps of two blocks at once; pairs below the bound for their sizes are
+   discarded, and only the components that links bring together leave the task.
 
-Step 3 is repeated with other hubs while step 4 would be large against the input and a round at least
-halves it; step 4 handles all that is left, without a limit. So links in large groups of near copies cost one pair per member, and
-no link between different components is missed.
+So links in large groups of near copies cost one pair per member, pairs inside a component are never
+looked at, and no link between different components is missed.
 
 Defined results: lower-casing touches A-Z only; a text of fewer than five words is one shingle; a null
 or wordless text has an empty set and is its own component; a row without doc_id is linked with
@@ -25,12 +25,11 @@ no rows; other columns of the input do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.components import components
@@ -42,9 +41,9 @@ PERCENT = 75
 # Shared shingles asked of two prefixes, as a part of the set.
 EXTRA = 0.1
 CHUNK_BYTES = 4 << 20
-# Step 4 may look at so many pairs per prefix entry before another hub is tried; and another one is
-# tried only after a round that has halved the pairs.
-PAIRS_PER_ENTRY = 1
+# Sets of a block and columns of a slice in step 4: a slice of two blocks takes 16 MB.
+BLOCK = 256
+COLUMNS = 8192
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -220,21 +219,40 @@ def _blocks(blocks: int, chunks, part):
     return run
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Sets and how many of their entries in this block occur in another set."""
-    value, owner = _unpacked(b"".join(group.payload[group.entries]))
-    read = [np.frombuffer(p, np.int64).reshape(2, -1) for p in group.payload[~group.entries]]
-    counted = np.concatenate([np.empty((2, 0), np.int64), *read], axis=1)
-    order = np.lexsort((owner, value))
-    value, owner = value[order], owner[order]
-    keep = np.ones(len(value), bool)
-    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[keep], owner[keep]
-    starts, lengths = _runs(value)
-    zero = np.add.reduceat(owner == 0, starts) > 0 if len(starts) else np.empty(0, bool)
-    owner = owner[np.repeat((lengths > 1) | zero, lengths)]
-    who, counts = np.unique(owner[owner != 0], return_counts=True)
-    return pd.DataFrame({"short": np.concatenate([who, counted[0]]), "shared": np.concatenate([counts, counted[1]])})
+def _shared(buckets: int):
+    """Sets and how many of their entries in a block occur in another set, by bucket of the sets."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        value, owner = _unpacked(b"".join(group.payload[group.entries]))
+        read = [np.frombuffer(p, np.int64).reshape(2, -1) for p in group.payload[~group.entries]]
+        counted = np.concatenate([np.empty((2, 0), np.int64), *read], axis=1)
+        order = np.lexsort((owner, value))
+        value, owner = value[order], owner[order]
+        keep = np.ones(len(value), bool)
+        keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        value, owner = value[keep], owner[keep]
+        starts, lengths = _runs(value)
+        zero = np.add.reduceat(owner == 0, starts) > 0 if len(starts) else np.empty(0, bool)
+        owner = owner[np.repeat((lengths > 1) | zero, lengths)]
+        who, counts = np.unique(owner[owner != 0], return_counts=True)
+        both = np.concatenate([np.stack([who, counts]), counted], axis=1)
+        bucket = both[0] % buckets
+        both, bucket = both[:, np.argsort(bucket, kind="stable")], np.sort(bucket, kind="stable")
+        at, lengths = _runs(bucket)
+        return pd.DataFrame(
+            {
+                "bucket": bucket[at].astype(np.int32),
+                "payload": [both[:, a : a + n].tobytes() for a, n in zip(at, lengths)],
+            }
+        )
+
+    return run
+
+
+def _summed(group: pd.DataFrame) -> pd.DataFrame:
+    both = np.concatenate([np.frombuffer(p, np.int64).reshape(2, -1) for p in group.payload], axis=1)
+    who, which = np.unique(both[0], return_inverse=True)
+    return pd.DataFrame({"short": who, "shared": np.bincount(which, both[1]).astype(np.int64)})
 
 
 def _whole(found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,9 +264,9 @@ def _shared_counts(rows: DataFrame, blocks: int, chunks, part) -> DataFrame:
     return (
         rows.mapInArrow(_blocks(blocks, chunks, part), "block int, entries boolean, payload binary")
         .groupBy("block")
-        .applyInPandas(_shared, "short long, shared long")
-        .groupBy("short")
-        .agg(F.sum("shared").alias("shared"))
+        .applyInPandas(_shared(-(-blocks // 2)), "bucket int, payload binary")
+        .groupBy("bucket")
+        .applyInPandas(_summed, "short long, shared long")
     )
 
 
@@ -260,11 +278,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for column, found, sizes in _set_chunks(batches):
+    for batch in batches:
+        (column, found, sizes), = _set_chunks([batch])
         value, owner = _prefix(found, sizes)
-        ids = column.to_numpy()
+        ids, share = column.to_numpy(), batch.column("shared").to_numpy() / sizes
         yield pa.RecordBatch.from_arrays(
-            [pa.array(value.view(np.int64)), pa.array(ids[owner]), pa.array(sizes[owner])], names=["h", "id", "n"]
+            [pa.array(value.view(np.int64)), pa.array(ids[owner]), pa.array(sizes[owner]), pa.array(share[owner].astype(np.float32))],
+            names=["h", "id", "n", "share"],
         )
 
 
@@ -303,56 +323,86 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _alike(group: pd.DataFrame) -> pd.DataFrame:
+    """Components that links between two blocks of sets bring together: rows of a, b.
+
+    The blocks' incidence matrix, without columns that one set alone has, is multiplied with its
+    transpose, some columns at a time. Each component is then led to the smallest it is linked with.
+    """
+    group = group.drop_duplicates("id")
+    sets = [np.frombuffer(s, np.uint64) for s in group.set]
+    sizes = np.array([len(s) for s in sets])
+    found, column, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    row, column = row[number[column] > 1], column[number[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        overlap += part @ part.T
+    overlap = overlap.astype(np.int64)
+    linked = 100 * overlap >= PERCENT * (sizes[:, None] + sizes[None, :] - overlap)
+    names, own = np.unique(group.component.to_numpy(), return_inverse=True)
+    x, y = np.nonzero(linked)
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, own[x], label[own[y]])
+        np.minimum.at(new, own[y], label[own[x]])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(names))
+    return pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
+
+
+def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that share open columns; ``left``: h, id, component, hub.
+
+    All members of a column are in the cluster of its hub. A cluster is cut into blocks by component,
+    and two blocks meet in one task unless they hold one and the same component.
+    """
+    members = left.select("hub", "id", "component").distinct()
+    place = F.row_number().over(Window.partitionBy("hub").orderBy("component", "id"))
+    members = members.withColumn("block", F.floor((place - 1) / BLOCK))
+    blocks = members.groupBy("hub", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    single = (F.least("x.low", "y.low") == F.greatest("x.high", "y.high"))
+    meetings = x.join(y, "hub").filter((F.col("x.block") <= F.col("y.block")) & ~single)
+    sides = F.array_distinct(F.array("x.block", "y.block"))
+    seats = meetings.select("hub", F.col("x.block").alias("one"), F.col("y.block").alias("two"), F.explode(sides).alias("block"))
+    return (
+        members.join(seats, ["hub", "block"])
+        .join(sets.select("id", "set"), "id")
+        .groupBy("hub", "one", "two")
+        .applyInPandas(_alike, "a long, b long")
+    )
+
+
 def _links_of(sets: DataFrame, base: str) -> DataFrame:
     """Enough links between the sets to connect all that are connected: rows of a, b."""
-    spark = sets.sparkSession
-    entries = _stored(sets.mapInArrow(_entries, "h long, id long, n long"), f"{base}/entries")
-    links = spark.createDataFrame([], "a long, b long")
-    tried, before = links, float("inf")
-    for hub in count():
-        if hub:
-            named = components(links).withColumnRenamed("node", "id")
-            labelled = entries.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            labelled = entries.withColumn("component", F.col("id"))
-        columns = labelled.groupBy("h", "component").agg(
-            F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("id", F.lit(hub))).alias("one")
-        )
-        open_ = columns.groupBy("h").agg(
-            F.min_by("one", F.xxhash64("one", F.lit(hub))).alias("hub"),
-            F.count(F.lit(1)).alias("components"),
-            F.sum("m").cast("double").alias("m"),
-            F.sum(F.col("m").cast("double") * F.col("m")).alias("mm"),
-        )
-        open_ = open_.filter("components > 1").withColumn("pairs", (F.col("m") * F.col("m") - F.col("mm")) / 2)
-        open_ = _stored(open_, f"{base}/columns-{hub}")
-        todo = open_.agg(F.sum("pairs"), F.sum("m")).first()
-        if not todo[0]:
-            return links
-        left = labelled.join(open_.select("h", "hub"), "h")
-        if todo[0] <= PAIRS_PER_ENTRY * todo[1] or 2 * todo[0] > before:
-            break
-        before = todo[0]
-        sizes = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))
-        pairs = (
-            left.filter("id != hub").select("id", "n", "hub").distinct().join(sizes, "hub").filter(_fits("n", "hub_n"))
-            .select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = _stored(pairs, f"{base}/pairs-{hub}")
-        tried = tried.union(pairs)
-        links = links.union(_stored(_verified(pairs, sets), f"{base}/links-{hub}"))
-    x = left.select("h", F.col("id").alias("a"), F.col("n").alias("n"), F.col("component").alias("c"))
-    y = left.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    overlap = (
-        x.join(y, "h")
-        .filter((F.col("a") > F.col("b")) & (F.col("c") != F.col("d")) & _fits("n", "m"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("overlap"), F.first(F.least("n", "m")).alias("n"))
+    entries = _stored(sets.mapInArrow(_entries, "h long, id long, n long, share float"), f"{base}/entries")
+    # The hub is the set that shares most with others, such as the text that others are copies of.
+    hubs = (
+        entries.groupBy("h")
+        .agg(F.min(F.struct((-F.col("share")).alias("by"), "id", "n")).alias("hub"), F.count(F.lit(1)).alias("m"))
+        .filter("m > 1")
+        .select("h", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
-    bound = F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA))
-    rest = overlap.filter(F.col("overlap") >= bound).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    return links.union(_stored(_verified(rest, sets), f"{base}/links-rest"))
+    entries = entries.join(_stored(hubs, f"{base}/hubs"), "h")
+    pairs = entries.filter((F.col("id") != F.col("hub")) & _fits("n", "hub_n"))
+    pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    links = _stored(_verified(pairs, sets), f"{base}/links")
+    named = components(links).withColumnRenamed("node", "id")
+    labelled = entries.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = labelled.join(open_.filter("low != high").select("h"), "h", "left_semi")
+    return links.union(_stored(_across(left, sets), f"{base}/across"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -379,7 +429,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     found = _stored(texts.mapInArrow(_sets, "id long, n long, set binary"), f"{base}/found")
     close = alive.join(_shared_counts(found, blocks, _set_chunks, _whole), "short").select("id", "shared")
     sets = found.join(close, "id").filter((F.col("n") > 0) & (F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)))
-    sets = _stored(sets.select("id", "n", "set"), f"{base}/sets")
+    sets = _stored(sets.select("id", "n", "set", "shared"), f"{base}/sets")
     named = components(_links_of(sets, base))
     classes = classes.join(named.withColumnRenamed("node", "id"), "id", "left").select(
         "mark", "mark2", F.coalesce("component", "id").alias("component")

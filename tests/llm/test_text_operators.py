@@ -100,10 +100,7 @@ def naive_links(rows):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("pairs", [0, 4])
-def test_links(spark, monkeypatch, pairs):
-    """With and without the rounds of hubs giving way to the whole product."""
-    monkeypatch.setattr(shingle_join, "PAIRS_PER_ENTRY", pairs)
+def test_links(spark):
     base = prose(300, 21).split()
     texts = []
     for i in range(25):
@@ -119,6 +116,30 @@ def test_links(spark, monkeypatch, pairs):
     assert got == naive_links(enumerate(texts, 100))
 
 
+def test_blocks_of_sets():
+    """Overlaps of a block, few columns at a time, against sets."""
+    r = random.Random(4)
+    sets = [sorted(r.sample(range(60), r.randrange(20, 50))) for _ in range(40)]
+    frame = shingle_join.pd.DataFrame(
+        {"id": range(40), "component": [i - i % 2 for i in range(40)], "set": [shingle_join.np.array(s, "u8").tobytes() for s in sets]}
+    )
+    label = {i: i - i % 2 for i in range(40)}
+    for i in range(40):
+        for j in range(i):
+            if 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]}):
+                x, y = sorted((label[i], label[j]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    shingle_join.COLUMNS, kept = 7, shingle_join.COLUMNS
+    try:
+        edges = shingle_join._alike(frame)
+    finally:
+        shingle_join.COLUMNS = kept
+    got = {i: i - i % 2 for i in range(40)}
+    for a, b in edges.itertuples(index=False):
+        got = {k: b if v == a else v for k, v in got.items()}
+    assert got == label
+
+
 def test_one_of_each(spark):
     same = prose(50, 41)
     rows = [(3, same, "en", "s", 1), (2, same, "en", "t", 2), (2, same, "en", "t", 2), (None, same, "en", "s", 3), (4, "", "en", "s", 0)]
