@@ -339,9 +339,10 @@ def _alike(group: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     overlap = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, columns, COLUMNS):
         a, b = np.searchsorted(column, [at, at + COLUMNS])
-        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part = np.zeros((len(sets), min(COLUMNS, columns - at)), np.float32)
         part[row[a:b], column[a:b] - at] = 1
         overlap += part @ part.T
     overlap = overlap.astype(np.int64)
