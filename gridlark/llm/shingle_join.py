@@ -41,8 +41,8 @@ PERCENT = 75
 # Shared shingles asked of two prefixes, as a part of the set.
 EXTRA = 0.1
 CHUNK_BYTES = 4 << 20
-# Sets of a block and columns of a slice in step 4: a slice of two blocks takes 16 MB.
-BLOCK = 256
+# Sets of a block and columns of a slice in step 4: a slice of two blocks takes 32 MB.
+BLOCK = 512
 COLUMNS = 8192
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -331,7 +331,7 @@ def _alike(group: pd.DataFrame) -> pd.DataFrame:
     """
     group = group.drop_duplicates("id")
     sets = [np.frombuffer(s, np.uint64) for s in group.set]
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int32)
     found, column, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     row, column = row[number[column] > 1], column[number[column] > 1]
@@ -345,7 +345,7 @@ def _alike(group: pd.DataFrame) -> pd.DataFrame:
         part = np.zeros((len(sets), min(COLUMNS, columns - at)), np.float32)
         part[row[a:b], column[a:b] - at] = 1
         overlap += part @ part.T
-    overlap = overlap.astype(np.int64)
+    overlap = overlap.astype(np.int32)
     linked = 100 * overlap >= PERCENT * (sizes[:, None] + sizes[None, :] - overlap)
     names, own = np.unique(group.component.to_numpy(), return_inverse=True)
     x, y = np.nonzero(linked)
