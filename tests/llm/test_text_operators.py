@@ -202,17 +202,20 @@ ITEMS = "item_id long, text string"
 
 def naive_hits(texts, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i, item in items:
+        w = cut(item)
+        n = min(10, len(w))
+        for s in range(len(w) - n + 1) if n and i is not None else ():
+            windows.setdefault(tuple(w[s : s + n]), set()).add(str(i))
     out = {}
     for d, text in enumerate(texts):
         words, hit, names = cut(text), set(), set()
-        for i, item in items:
-            w = cut(item)
-            n = min(10, len(w))
-            for s in range(len(w) - n + 1) if n and i is not None else ():
-                for at in range(len(words) - n + 1):
-                    if words[at : at + n] == w[s : s + n]:
-                        hit |= set(range(at, at + n))
-                        names.add(str(i))
+        for n in {len(w) for w in windows}:
+            for at in range(len(words) - n + 1):
+                if found := windows.get(tuple(words[at : at + n])):
+                    hit |= set(range(at, at + n))
+                    names |= found
         digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
         out[d] = (len(words), len(hit), len(names), digest, bool(hit))
     return out
