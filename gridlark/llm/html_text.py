@@ -3,7 +3,8 @@
 A page becomes a row of leaf blocks: runs of text that no block element interrupts. A block's
 features are the tags, classes and ids around it and the look of its text. The field weighs these
 features and the change from one block to the next, and Viterbi's algorithm finds the best labelling
-of the whole page into text and surroundings.
+of the whole page into text and surroundings. Only what stands in an element of ``HIDDEN`` is left out
+before; that an element bears ``hidden``, ``display:none`` or ``aria-hidden="true"`` is a feature like others.
 
 It is trained on the driver on labelled pages of two kinds: pages built from layouts whose parts have
 known labels (``layout_pages``), and at most ``MOST_PAGES`` of the given pages, those that mark their
@@ -35,19 +36,26 @@ BATCH_PAGES = 64
 # Elements that do not interrupt a run of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span"
-    " strike strong sub sup time tt u var wbr".split()
+    " strike strong sub sup time tt u var wbr"
+    # Formulas stand in the line.
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms"
+    " mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is not text of the page.
-HIDDEN = frozenset("head script style noscript template svg math iframe object textarea select title".split())
+HIDDEN = frozenset("head script style noscript template svg iframe object textarea select title".split())
+# Elements that a head may hold; any other one, and text, ends it.
+METADATA = frozenset("head title base basefont bgsound link meta script style noscript noframes template".split())
 RAW = frozenset("script style textarea title".split())
 # Elements that end when one of the same group starts.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table tr select body html article section div main aside nav".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-INVISIBLE = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
+# Stands among the name parts of an element that is not shown; no class or id gives it.
+UNSEEN = "!unseen"
 NAME = re.compile(r"[a-z]+")
 
 
@@ -58,6 +66,18 @@ class Block:
     linked: int  # characters inside links
 
 
+def names_of(attributes: str) -> tuple[str, ...]:
+    """Parts of class, id and role, and ``UNSEEN`` for an element that its attributes hide."""
+    names, unseen = [], False
+    for a in ATTRIBUTE.finditer(attributes):
+        key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
+        if key in ("class", "id", "role"):
+            names += NAME.findall(value)
+        elif key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and NO_DISPLAY.search(value)):
+            unseen = True
+    return (*names, UNSEEN) if unseen else tuple(names)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     found: list[Block] = []
@@ -76,6 +96,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def text(piece: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and not piece.isspace() and piece:
+            close(len(stack) - 1)
         if piece and not hidden:
             piece = html.unescape(piece)
             parts.append(piece)
@@ -84,8 +106,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(upto: int) -> None:
         nonlocal hidden
-        for tag, names in stack[upto:]:
-            hidden -= tag in HIDDEN or "hidden" in names
+        for tag, _ in stack[upto:]:
+            hidden -= tag in HIDDEN
         del stack[upto:]
 
     while m := MARKUP.search(page, at):
@@ -94,6 +116,8 @@ def blocks_of(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[1] and stack and stack[-1][0] == "head" and tag not in METADATA:
+            close(len(stack) - 1)
         if tag in INLINE:
             if tag == "br":
                 text(" ")
@@ -125,11 +149,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag == "body":
             close(0)
-        names = tuple(n for a in ATTRIBUTE.finditer(m[3]) for n in NAME.findall(a[2].lower()))
-        if m[3] and INVISIBLE.search(m[3]):
-            names += ("hidden",)
-        stack.append((tag, names))
-        hidden += tag in HIDDEN or "hidden" in names
+        stack.append((tag, names_of(m[3])))
+        hidden += tag in HIDDEN
     text(page[at:])
     flush()
     return found
@@ -275,6 +296,7 @@ SURROUNDINGS = {
     "form": ["<form><label>{s}</label><input><button>{s}</button></form>", '<form class="{c}"><p>{m}</p></form>'],
     "comment": ['<section class="{c}"><h3>{s}</h3><p>{m}</p><p>{l}</p></section>', '<div id="{c}"><div class="comment"><p>{l}</p></div></div>', '<ol class="{c}"><li><p>{l}</p></li></ol>'],
     "share": ['<div class="{c}">{s}</div>', '<p class="{c}">{s}</p>'],
+    "unseen": ["<div hidden><p>{m}</p></div>", '<p hidden="">{l}</p>', '<div style="display:none"><p>{l}</p></div>', '<section style="margin:0; display: none">{m}</section>', '<div aria-hidden="true">{s}</div>'],
 }
 ARTICLES = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="{c}">{}</div>', '<div id="{c}"><section>{}</section></div>', '<section class="{c}">{}</section>', "<div>{}</div>"]
 PARAGRAPHS = ["<p>{l}</p>", "<p>{m}</p>", "<p>{s}</p>", "<h2>{s}</h2>", "<ul><li>{m}</li><li>{s}</li></ul>", "<blockquote><p>{l}</p></blockquote>", "<p><b>{l}<br><p>{m}</p>", "<div>{l}</div>", '<p>{m} <a href="/y">{s}</a> {m}</p>', "<pre>{m}</pre>", "<table><tr><td>{s}</td><td>{m}</td></tr></table>"]
@@ -289,7 +311,8 @@ def layout_pages(number: int, seed: int = 11) -> list[tuple[list[list[str]], lis
 
     def filled(part: str, kind: str) -> str:
         part = part.replace("{li}", "".join(f'<li><a href="/z">{words(1, 3, "")}</a></li>' for _ in range(rng.randint(2, 7))))
-        part = part.replace("{c}", rng.choice(KINDS[kind].split()))
+        if "{c}" in part:
+            part = part.replace("{c}", rng.choice(KINDS[kind].split()))
         for slot, low, high, end in (("{s}", 1, 5, ""), ("{m}", 4, 25, "."), ("{l}", 20, 90, ".")):
             while slot in part:
                 part = part.replace(slot, words(low, high, rng.choice((end, end, "."))), 1)
@@ -300,12 +323,12 @@ def layout_pages(number: int, seed: int = 11) -> list[tuple[list[list[str]], lis
 
     pages = []
     for _ in range(number):
-        before = [around(k) for k in ("menu", "header", "notice", "advert", "form") if rng.random() < 0.5]
-        after = [around(k) for k in ("comment", "side", "advert", "share", "form", "notice", "footer") if rng.random() < 0.5]
+        before = [around(k) for k in ("menu", "header", "notice", "advert", "form", "unseen") if rng.random() < 0.5]
+        after = [around(k) for k in ("comment", "side", "advert", "share", "form", "notice", "footer", "unseen") if rng.random() < 0.5]
         body = [f"\x02{filled(rng.choice(PARAGRAPHS), 'text')}\x03" for _ in range(rng.randint(1, 9))]
         title = f"\x02<h1>{words(2, 9, '')}</h1>\x03"
         body.insert(0, title if rng.random() < 0.7 else f"<header>{title}</header>" if rng.random() < 0.5 else "")
-        for kind in ("advert", "share", "side", "comment", "form", "notice"):
+        for kind in ("advert", "share", "side", "comment", "form", "notice", "unseen"):
             if rng.random() < 0.12:
                 body.insert(rng.randint(1, len(body)), around(kind))
         article = filled(rng.choice(ARTICLES).replace("{}", "\x04"), "text").replace("\x04", "".join(body))
@@ -328,7 +351,8 @@ def marked_page(page: str) -> tuple[list[list[str]], list[int]] | None:
     for b in blocks:
         kinds = {KIND_OF[n] for tag, parts in b.around for n in (tag, *parts) if n in KIND_OF}
         inside = any(tag in ("article", "main") for tag, _ in b.around)
-        labels.append(int(inside and not kinds - {"text"}))
+        unseen = any(UNSEEN in parts for _, parts in b.around)
+        labels.append(int(inside and not unseen and not kinds - {"text"}))
     return (features(blocks), labels) if any(labels) else None
 
 

@@ -242,6 +242,26 @@ def test_page_text(spark):
     assert html_text.extract(pages.limit(0), field).count() == 0
 
 
+def test_page_parts_that_only_look_hidden():
+    """Only the elements of HIDDEN leave out their content; what else looks hidden is left to the field."""
+    field = html_text.train(html_text.layout_pages(150), rounds=60)
+    body = "".join(f"<p>Sentence {i} of the article, which is long enough to be its text.</p>" for i in range(4))
+    text = "\n".join(b.text for b in html_text.blocks_of(body))
+    for bears in ('class="overflow-hidden"', 'aria-hidden="false"', 'class="hidden-print"', "class=hidden", 'title="Hidden gems"', 'data-hidden="0"',
+                  "data-x='display:none'", 'style="overflow:hidden"', 'id="hidden"', "title='aria-hidden=true'"):
+        for tag in ("article", "main", "div"):
+            assert field.text(f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><{tag} {bears}>{body}</{tag}></body>") == text, (tag, bears)
+    for bears in ("hidden", "HIDDEN=''", 'style="color:red;display : none"', "aria-hidden=true"):
+        page = f"<body><article>{body}<div {bears}><p>Not shown.</p></div></article></body>"
+        assert html_text.blocks_of(page)[-1].text == "Not shown." and field.text(page) == text, bears
+    formula = "<article><p>Here <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
+    assert [b.text for b in html_text.blocks_of(formula)] == ["Here a=2 holds."]
+    for open_head in ("<html><head><title>t</title><meta charset=x><template><p>no</p></template>", "<head><script>x</script>"):
+        assert [b.text for b in html_text.blocks_of(f"{open_head}<article>{body}</article>")] == text.split("\n")
+        assert [b.text for b in html_text.blocks_of(f"{open_head}\n<b>Plain</b> words")] == ["Plain words"]
+        assert [b.text for b in html_text.blocks_of(f"{open_head}\nPlain words")] == ["Plain words"]
+
+
 def test_given_pages():
     """The pages mark their article: its paragraphs are the text."""
     pages = pq.read_table(DATA / "sf0.01" / "pages.parquet").column("html").to_pylist()
