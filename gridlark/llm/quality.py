@@ -6,7 +6,8 @@ normalised difference of the two sizes, with the sizes per byte, becomes a proba
 logistic regression fitted on labelled texts that the dictionaries have not seen. It is the
 probability under about equal shares of both classes, as sampled.
 
-The whole text is compressed. Labels are learnt from a sample of at most ``PER_CLASS`` documents of
+The whole text is compressed, in consecutive pieces of about ``PIECE_BYTES``, each with the dictionaries
+afresh, and the sizes are added up; so a long text is scored like its pieces, whatever its length. Labels are learnt from a sample of at most ``PER_CLASS`` documents of
 each class, of at most ``LONGEST`` characters, drawn from the rows that are not held out.
 
 Defined results: a null text counts as empty; an empty text gets the score of a text without any
@@ -34,6 +35,8 @@ PER_CLASS = 2400
 LONGEST = 20_000
 DICTIONARY_BYTES = 110 << 10
 SAMPLE_BYTES = 4000
+# Pieces are as long as the samples that the dictionaries are trained on.
+PIECE_BYTES = SAMPLE_BYTES
 LEVEL = 3
 
 
@@ -46,6 +49,13 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
+def pieces(data: bytes) -> list[bytes]:
+    """The text in consecutive pieces of equal length; a text of up to 1.5 pieces is one."""
+    number = max(1, round(len(data) / PIECE_BYTES))
+    ends = [len(data) * i // number for i in range(number + 1)]
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(dictionary)
     data.precompute_compress(level=LEVEL)
@@ -69,10 +79,12 @@ class QualityModel:
 
     def difference(self, text: str) -> tuple[float, ...]:
         """The normalised size difference, and the sizes per byte with either dictionary and without."""
-        data = text.encode()
-        good, bad, plain = (len(c.compress(data)) for c in self._compressors)
-        n = len(data) + 16
-        return (bad - good) / (bad + good), good / n, bad / n, plain / n, np.log(n)
+        parts = pieces(text.encode())
+        good, bad, plain = (sum(len(c.compress(p)) for p in parts) for c in self._compressors)
+        # The length of a piece: what a text's length tells ends where it is cut.
+        mean = sum(map(len, parts)) / len(parts) + 16
+        n = mean * len(parts)
+        return (bad - good) / (bad + good), good / n, bad / n, plain / n, np.log(min(mean, PIECE_BYTES))
 
     def _expanded(self, rows: list[tuple[float, ...]]) -> np.ndarray:
         x = np.array(rows).reshape(-1, 5)

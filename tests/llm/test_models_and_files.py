@@ -68,6 +68,31 @@ def test_quality_of_held_out_texts():
     assert (scores[labels == 1] >= 0.3).mean() > 0.97 and (scores[labels == 0] < 0.3).mean() > 0.85
 
 
+def test_quality_does_not_depend_on_length():
+    """Held-out texts of one class joined to long ones keep the class."""
+    train, held = labelled_rows("quality", 5, 0, 1000)
+    model = quality.train(train)
+    for label in (0, 1):
+        pool = [t for _, t, y in held if y == label]
+        evidence = {}
+        for size in (10_000, 100_000, 1_000_000, 3_000_000):
+            rng = random.Random(size)
+            texts = ["\n".join(rng.choices(pool, k=size // 300))[:size] for _ in range(4)]
+            assert all((s >= 0.3) == bool(label) for s in model.scores(texts)), (label, size)
+            evidence[size] = np.median([model.difference(t)[0] for t in texts])
+        # The dictionaries tell as much of a long text as of a short one.
+        assert all(abs(e) > 0.6 * abs(evidence[10_000]) and e * evidence[10_000] > 0 for e in evidence.values()), evidence
+
+
+def test_pieces_are_the_whole_text():
+    step = quality.PIECE_BYTES
+    for n in (0, 1, step, 3 * step // 2 - 1, 2 * step, 7 * step + 5, 1_000_003):
+        data = bytes(i % 251 for i in range(n))
+        parts = quality.pieces(data)
+        assert b"".join(parts) == data and max(map(len, parts)) <= 1.5 * step
+        assert len(parts) == 1 or min(map(len, parts)) >= 0.75 * step - 1
+
+
 def test_toxicity_of_held_out_texts():
     train, held = labelled_rows("toxic", 4, 2, 500)
     model = toxicity.train(train, epochs=5)
