@@ -3,8 +3,8 @@
 Vectors that are equal are one point, named by its smallest id. Points are first laid in blocks around
 a few random pivots, some times over, and get their nearest points of the block as first neighbours.
 Then NN-descent: around every point its neighbours, and those that have it as a neighbour, are joined
-and compared with each other, so that neighbours of neighbours become neighbours, until few change. A
-point that very many others point to is split into several such meetings; none is left out.
+and compared with each other, so that neighbours of neighbours become neighbours, until a round changes
+``SETTLED`` of all edges or less; a descent that does not get there in ``MOST_ROUNDS`` raises. A point that very many others point to is split into several such meetings; none is left out.
 
 Queries walk the graph from their own point: in each round every query opens the nearest points it has
 not opened yet and measures their neighbours, until its best points are all open. Distances of the
@@ -19,6 +19,7 @@ gives no rows; other columns of the input do not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from gridlark.sources.scratch import scratch_path
 
 NEIGHBOURS = 30
+# Pivots of a layout: the root of the number of points, and these at least.
 PIVOTS = 64
 LAYOUTS = 12
 BLOCK = 512
 # Points of one meeting that come from outside; a point with more of them holds several meetings.
 MEETING = 48
-ROUNDS = 3
+# No descent is known to come near this.
+MOST_ROUNDS = 50
 # Part of the edges below which a round's changes end the descent.
 SETTLED = 0.05
 # Search: points kept per query, and points opened per query and round.
@@ -213,23 +216,24 @@ def build_graph(points: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """Rows of id, other, d for about the k nearest points of every point; ``points``: id, vector."""
     spark, base = points.sparkSession, scratch_path(points.sparkSession, "graph")
     coded = _stored(points.mapInArrow(_coded, "id long, codes binary, factor float"), f"{base}/codes")
+    size = coded.count()
     first = None
     for i in range(LAYOUTS):
-        picked = coded.orderBy(F.xxhash64("id", F.lit(i)), "id").limit(PIVOTS).select("codes", "factor").collect()
+        picked = coded.orderBy(F.xxhash64("id", F.lit(i)), "id").limit(max(PIVOTS, math.isqrt(size))).select("codes", "factor").collect()
         if not picked:
             return spark.createDataFrame([], EDGE)
         pivots = np.stack([np.frombuffer(r.codes, np.int8).astype(np.float32) * r.factor for r in picked])
         found = _layout(coded, pivots, k)
         first = found if first is None else first.union(found)
     graph = _stored(_best(first, k), f"{base}/0")
-    for number in range(1, ROUNDS + 1):
+    for number in range(1, MOST_ROUNDS + 1):
         found = _descend(graph, coded, k, number)
         better = _stored(_best(graph.union(found), k), f"{base}/{number}")
         changed = better.join(graph, ["id", "other"], "left_anti").count()
         graph = better
-        if changed <= SETTLED * k * coded.count():
-            break
-    return graph
+        if changed <= SETTLED * k * size:
+            return graph
+    raise RuntimeError(f"the graph has not settled after {MOST_ROUNDS} rounds: {changed} of {k * size} edges changed")
 
 
 def _distance(a: str, b: str):

@@ -243,6 +243,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(1), few.limit(1)).count() == 0
 
 
+def test_descent_goes_on_until_it_settles(spark, monkeypatch):
+    """From a poor start, two layouts; three rounds are too few for it."""
+    monkeypatch.setattr(neighbours, "LAYOUTS", 2)
+    x = np.random.default_rng(8).standard_normal((6000, 24)).astype(np.float32)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(4)
+    rows = neighbours.build_graph(points, 10).collect()
+    d = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    exact = {(i, int(j)) for i, row in enumerate(np.argpartition(d, 9, axis=1)[:, :10]) for j in row}
+    assert len({(r.id, r.other) for r in rows} & exact) > 0.87 * len(exact)
+    monkeypatch.setattr(neighbours, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="not settled after 3 rounds"):
+        neighbours.build_graph(points, 10)
+
+
 PAGES = "page_id long, url string, html string"
 PAGE = """<html><head><title>no</title><style>p{}</style><script>var t = "</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>
