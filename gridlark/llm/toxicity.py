@@ -5,8 +5,8 @@ the word itself, where the training texts have it often enough, and by the mean
 character triples, which also covers words never seen. Two gated recurrent layers read the window
 forwards and backwards, attention weighs the words, and a logistic output scores the window. A text's
 score is its most toxic window's, calibrated on the training texts and moved from the sample's to the
-labels' shares of the classes. All windows of all texts are
-scored.
+labels' shares of the classes. Windows of ``WINDOW`` words start at every ``STRIDE``-th word: together they
+cover all words, but a passage of more than ``WINDOW - STRIDE + 1`` words need not lie whole in one.
 
 Labels are learnt from a sample of at most ``PER_CLASS`` documents of each class, of at most
 ``LONGEST`` characters, drawn from the rows that are not held out; training runs on the driver.
