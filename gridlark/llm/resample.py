@@ -6,8 +6,8 @@ the documents; a document's weight is the sum of its features' gains; seeded Gum
 the weight makes the highest scores a sample without replacement.
 
 Texts are read in batches. A batch's texts are joined with separators into one byte string, one
-regular expression pass finds all words, ``searchsorted`` on the texts' offsets names each word's
-text, and runs whose ends lie in different texts are masked before anything is counted. A run's
+regular expression pass finds all words and separators, ``searchsorted`` on the offsets of these names
+each word's text, and runs whose ends lie in different texts are masked before anything is counted. A run's
 crc32 is put together from those of its words: crc32 is linear, so appending n bytes to a string
 shifts its checksum by a table that depends on n alone.
 
@@ -29,7 +29,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +38,24 @@ from pyspark.sql import functions as F
 from gridlark.llm.hashing import slices, text_bytes
 from gridlark.sources.scratch import scratch_path
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-# Stands between the texts of a batch; it is no part of a word.
-SEPARATOR = b"\x00"
+# Stands between the texts of a batch; no byte of a text in UTF-8.
+SEPARATOR = b"\xff"
+# Words and separators; what ends a word.
+TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F\xFF]+|\xFF")
+BREAK = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F\xFF]")
 LONGEST = 3
 BUCKETS = 10_000
 LEAST_WORDS = 20
 PERCENT = 5
 SEED = "42"
-# Bytes of texts joined at once, and words looked at at once; a longer text is one batch of its own.
+# Bytes of texts joined at once, and bytes whose words are looked at at once; a longer text is one batch
+# of its own.
 BATCH_BYTES = 4 << 20
-BATCH_WORDS = 1 << 17
+CHUNK_BYTES = 1 << 20
 
 _POLYNOMIAL = 0xEDB88320
 _SPACE = zlib.crc32(b" ")
+_SEPARATOR = zlib.crc32(SEPARATOR)
 
 
 def _one_byte() -> np.ndarray:
@@ -98,25 +101,38 @@ def appended(crc: np.ndarray, tail: np.ndarray, tables: np.ndarray, which: np.nd
     return out
 
 
-def runs(joined: bytes, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _tokens(joined: bytes) -> Iterator[list[bytes]]:
+    """All words and separators in order, about ``CHUNK_BYTES`` of them at a time."""
+    start = 0
+    while start < len(joined):
+        gap = BREAK.search(joined, start + CHUNK_BYTES)
+        end = gap.start() if gap else len(joined)
+        yield TOKEN.findall(joined, start, end)
+        start = end
+
+
+def runs(joined: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words in a run, text number, crc32) for all runs of 1 to ``LONGEST`` words inside a text.
 
-    ``offsets`` are the starts of the texts in ``joined``. Words come in chunks; the last words of a
-    chunk are kept for runs that end in the next one.
+    The last words of a chunk are kept for runs that end in the next one.
     """
-    found = WORD.finditer(joined)
     kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)]
-    while part := list(islice(found, BATCH_WORDS)):
-        n = len(part)
-        starts = np.fromiter((m.start() for m in part), np.int64, n)
-        lengths = np.fromiter((m.end() for m in part), np.int64, n) - starts
-        crcs = np.fromiter((zlib.crc32(m[0]) for m in part), np.uint32, n)
+    texts = 0
+    for part in _tokens(joined):
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        crcs = np.fromiter(map(zlib.crc32, part), np.uint32, len(part))
         del part
+        # Of all tokens of one byte the separator alone has its checksum.
+        separator = (crcs == _SEPARATOR) & (lengths == 1)
+        offsets, words = np.flatnonzero(separator), np.flatnonzero(~separator)
         fresh = len(kept[0])
-        doc = np.concatenate([kept[0], np.searchsorted(offsets, starts, "right") - 1])
-        length = np.concatenate([kept[1], lengths])
-        crc = np.concatenate([kept[2], crcs])
+        doc = np.concatenate([kept[0], texts + np.searchsorted(offsets, words)])
+        texts += len(offsets)
+        length = np.concatenate([kept[1], lengths[words]])
+        crc = np.concatenate([kept[2], crcs[words]])
         different, which = np.unique(length, return_inverse=True)
+        if not len(different):
+            continue
         plain = np.stack([_table(int(k)) for k in different])
         spaced = np.stack([_table(int(k) + 1) for k in different])
         # Checksum of each word with the space before it.
@@ -132,14 +148,13 @@ def runs(joined: bytes, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray,
         kept = [a[-(LONGEST - 1) :] for a in (doc, length, crc)]
 
 
-def _joined(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(number of texts, texts joined with separators, offsets), a batch of bytes at a time."""
+def _joined(texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+    """(number of texts, texts joined with separators), a batch of bytes at a time."""
     raw, bounds = text_bytes(texts)
     for start, end in slices(bounds, BATCH_BYTES):
-        pieces = [raw[bounds[i] : bounds[i + 1]].tobytes() for i in range(start, end)]
-        offsets = bounds[start:end] - bounds[start] + np.arange(end - start)
-        # Bytes are lower-cased in A-Z only.
-        yield end - start, SEPARATOR.join(pieces).lower(), offsets
+        pieces = (raw[bounds[i] : bounds[i + 1]].tobytes() for i in range(start, end))
+        # Bytes are lower-cased in A-Z only; bytes that are no UTF-8 must not look like a separator.
+        yield end - start, SEPARATOR.join(p.replace(SEPARATOR, b"\xfe") for p in pieces).lower()
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -148,8 +163,8 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, joined, offsets in _joined(batch.column(0)):
-                for _, _, crc in runs(joined, offsets):
+            for _, joined in _joined(batch.column(0)):
+                for _, _, crc in runs(joined):
                     total += np.bincount(crc % np.uint32(buckets), minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
@@ -176,9 +191,9 @@ def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for n, joined, offsets in _joined(batch.column(1)):
+            for n, joined in _joined(batch.column(1)):
                 words, features, weight = np.zeros((3, n), np.int64)
-                for size, doc, crc in runs(joined, offsets):
+                for size, doc, crc in runs(joined):
                     counts = np.bincount(doc, minlength=n)
                     words += counts if size == 1 else 0
                     features += counts
