@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator, Sequence
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlark.functions.values import binary_text, quoted, unsafe_integer
-from gridlark.sources.footers import same_path
+from gridlark.sources.footers import read_footers, same_path
+
+log = logging.getLogger(__name__)
 
 # Rows of a metadata listing, bytes of a megabyte, text for what is not known.
 LISTED_ROWS = 250
@@ -230,44 +233,150 @@ def file_inventory(
     )
 
 
-def footer_inventory(
-    df: DataFrame, listing: DataFrame, footers: DataFrame, partition_by: Sequence[str] = ()
-) -> DataFrame:
-    """One row per Parquet file without reading any rows: from the listing, footers and paths.
+def _footer_leaves(dtype: T.DataType, path: str) -> Iterator[tuple[str, T.DataType]]:
+    """Leaf columns as Parquet names them, with their types."""
+    if isinstance(dtype, T.StructType):
+        for f in dtype.fields:
+            yield from _footer_leaves(f.dataType, f"{path}.{f.name}" if path else f.name)
+    elif isinstance(dtype, T.ArrayType):
+        yield from _footer_leaves(dtype.elementType, f"{path}.list.element")
+    elif isinstance(dtype, T.MapType):
+        yield from _footer_leaves(dtype.keyType, f"{path}.key_value.key")
+        yield from _footer_leaves(dtype.valueType, f"{path}.key_value.value")
+    elif not isinstance(dtype, UNORDERED):
+        yield path, dtype
+
+
+def _bound_text(raw: Column, dtype: T.DataType) -> Column:
+    """A footer's bound written as Spark writes a value of the type."""
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(raw.cast("bigint")).cast("string")
+    if isinstance(dtype, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return F.timestamp_add("MICROSECOND", raw.cast("bigint"), epoch).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return binary_text(F.unbase64(raw))
+    return raw.try_cast(dtype).cast("string")
 
-    Rows, size, time and partition values, which is what partition lists and headline numbers need.
-    Counts and bounds per column are in ``file_inventory``.
-    """
+
+def _path_partition(df: DataFrame, partition_by: Sequence[str]) -> Column:
+    """The partition's values as the folders of a file's path spell them."""
 
     def value(name: str) -> Column:
         raw = F.regexp_extract("file_path", rf"/{re.escape(name)}=([^/]*)/", 1)
         known = F.when(raw != NO_VALUE, F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
         return known.try_cast(df.schema[name].dataType).alias(name)
 
-    parts = [F.struct(*map(value, partition_by)).alias("partition")] if partition_by else []
-    found = listing.join(footers.select("file_path", "record_count", "column_sizes", "split_offsets"), "file_path", "left")
-    return found.select(
+    return F.struct(*map(value, partition_by)).alias("partition")
+
+
+def path_partitions(df: DataFrame, listing: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """The partition of each listed file, from its path alone."""
+    return listing.select(_path_partition(df, partition_by))
+
+
+def footer_inventory(df: DataFrame, footers: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """One row per Parquet file of ``read_footers``, without reading any rows.
+
+    Partition values come from the paths. Counts and bounds are those of leaf columns, named by their
+    path in the file (``event.context.ip``); what the footers do not tell is absent.
+    """
+    inside = T.StructType([f for f in df.schema.fields if f.name not in partition_by])
+    leaves = list(_footer_leaves(inside, ""))
+
+    def bounds(kind: str) -> Column:
+        told = lambda path: F.try_element_at(kind, F.lit(path))
+        pairs = [
+            F.struct(F.lit(path).alias("key"), _bound_text(told(path), dtype).alias("value")) for path, dtype in leaves
+        ]
+        known = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
+        return F.map_from_entries(known).alias(f"{kind}_bounds")
+
+    parts = [_path_partition(df, partition_by)] if partition_by else []
+    return footers.select(
         "file_path",
-        F.coalesce("record_count", F.lit(0)).alias("record_count"),
+        "record_count",
         "file_size_in_bytes",
         "last_modified",
         *parts,
         "column_sizes",
+        "value_counts",
+        F.col("null_counts").alias("null_value_counts"),
+        F.lit(None).cast("map<string,bigint>").alias("nan_value_counts"),
+        bounds("lower"),
+        bounds("upper"),
         "split_offsets",
     )
 
 
-def files(
-    inventory: DataFrame, footers: DataFrame | None = None, n: int | None = LISTED_ROWS, file_format: str = "PARQUET"
+def with_nan_counts(inventory: DataFrame, df: DataFrame, paths: Sequence[str] | None = None) -> DataFrame:
+    """Add to a footer inventory what only rows tell: NaNs and bounds of top-level float columns.
+
+    Reads those columns alone, and of the files ``paths`` alone, if given (paths as listed).
+    """
+    floats = [f for f in df.schema.fields if _is_float(f.dataType)]
+    if not floats:
+        return inventory
+    path = _decoded(F.col("_metadata.file_path"))
+    rows = df if paths is None else df.where(path.isin(list(paths)))
+    kinds = {
+        "nan_value_counts": lambda c, t: _nans(c, t),
+        "lower_bounds": lambda c, t: _bound(c, t, F.min),
+        "upper_bounds": lambda c, t: _bound(c, t, F.max),
+    }
+    totals = [
+        make(F.col(quoted(f.name)), f.dataType).alias(f"{kind}_{i}")
+        for kind, make in kinds.items()
+        for i, f in enumerate(floats)
+    ]
+    # A set among the aggregates makes Spark hash the few files of a task instead of sorting its rows.
+    totals.append(F.collect_set("_metadata.file_size").alias("_sizes"))
+    per_file = rows.groupBy(F.col("_metadata.file_path").alias("raw_path")).agg(*totals)
+
+    def as_map(kind: str) -> Column:
+        pairs = [
+            F.struct(F.lit(f.name).alias("key"), F.col(f"{kind}_{i}").alias("value")) for i, f in enumerate(floats)
+        ]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())).alias(f"_{kind}")
+
+    found = per_file.select(_decoded(F.col("raw_path")).alias("file_path"), *map(as_map, kinds))
+    names = F.array(*[F.lit(f.name) for f in floats])
+
+    def merged(kind: str) -> Column:
+        rest = F.map_filter(F.coalesce(kind, F.create_map().cast(inventory.schema[kind].dataType)), lambda k, v: ~F.array_contains(names, k))
+        return F.when(F.col(f"_{kind}").isNull(), F.col(kind)).otherwise(F.map_concat(rest, f"_{kind}")).alias(kind)
+
+    joined = inventory.join(found, "file_path", "left")
+    return joined.select(*[merged(c) if c in kinds else F.col(c) for c in inventory.columns])
+
+
+def parquet_files(
+    df: DataFrame,
+    listing: DataFrame,
+    partition_by: Sequence[str] = (),
+    n: int | None = LISTED_ROWS,
+    nan_counts: bool = False,
 ) -> DataFrame:
+    """File list of a Parquet table from its listing, cut to ``n`` before any footer is read.
+
+    No rows are read unless ``nan_counts`` are asked for; those take the float columns of the listed
+    files.
+    """
+    kept = listing if n is None else listing.orderBy("file_path").limit(n)
+    inventory = footer_inventory(df, read_footers(kept), partition_by)
+    if nan_counts:
+        # At most n paths, so that the scan can leave out all other files.
+        paths = None if n is None else [r.file_path for r in kept.select("file_path").collect()]
+        inventory = with_nan_counts(inventory, df, paths)
+    return files(inventory, n=n)
+
+
+def files(inventory: DataFrame, n: int | None = LISTED_ROWS, file_format: str = "PARQUET") -> DataFrame:
     """File list: what a file holds, its size in MB, and counts and bounds per column.
 
-    ``footers`` adds column sizes and row-group offsets. ``partition`` is listed only where the
-    table has one. An inventory that a table format keeps itself is listed with its own columns.
+    ``partition`` is listed only where the table has one. An inventory that a table format keeps
+    itself is listed with its own columns.
     """
-    if footers is not None:
-        extra = footers.select("file_path", "column_sizes", "split_offsets")
-        inventory = inventory.join(extra, "file_path", "left")
     absent = {
         "content": F.lit(0),
         "file_format": F.lit(file_format),
@@ -344,22 +453,20 @@ def _partition_columns(df: DataFrame) -> Column:
     return F.when((F.count(F.lit(1)) > 0) & F.lit(bool(names)), F.lit(names)).alias("partition_columns")
 
 
-def table_metrics(
-    snapshot_rows: DataFrame | None = None,
-    file_rows: DataFrame | None = None,
-    partition_rows: DataFrame | None = None,
-    df: DataFrame | None = None,
-) -> DataFrame:
-    """Six numbers in one row; each source may be missing and gives ``N/A`` then.
-
-    The row count is the newest snapshot's ``total-records``, else the sum over files. Without a
-    partition list the partition columns come from the files. Every source is one aggregate; their
-    one-row results are stacked and merged.
-    """
+def _metric_parts(
+    snapshot_rows: DataFrame | None,
+    file_rows: DataFrame | None,
+    partition_rows: DataFrame | None,
+    df: DataFrame | None,
+) -> list[DataFrame]:
+    """One aggregate of one row for each source that is given."""
     given = [d for d in (snapshot_rows, file_rows, partition_rows, df) if d is not None]
     if not given:
-        raise ValueError("table_metrics needs at least one source")
-    parts = [given[0].sparkSession.range(1).select()]
+        raise ValueError("metrics need at least one source")
+    parts = []
+    if df is not None:
+        one = given[0].sparkSession.range(1)
+        parts.append(one.select(F.lit(str(len(df.schema.fields))).alias("column_count")))
     if snapshot_rows is not None:
         newest = F.max_by(
             F.try_element_at("summary", F.lit("total-records")), F.struct("committed_at", "snapshot_id")
@@ -386,21 +493,66 @@ def table_metrics(
     if partition_rows is not None:
         # One row tells whether there is a partition at all.
         parts.append(partition_rows.limit(1).agg(_partition_columns(partition_rows)))
-    if df is not None:
-        parts[0] = parts[0].select(F.lit(str(len(df.schema.fields))).alias("column_count"))
-    merged = parts[0]
-    for part in parts[1:]:
+    return parts
+
+
+# The six numbers and where they come from, first choice first.
+METRICS = {
+    "last_snapshot": ("last_snapshot",),
+    "earliest_snapshot": ("earliest_snapshot",),
+    "row_count": ("snapshot_rows", "file_rows"),
+    "column_count": ("column_count",),
+    "avg_file_size": ("avg_file_size",),
+    "partition_columns": ("partition_columns",),
+}
+
+
+def table_metrics(
+    snapshot_rows: DataFrame | None = None,
+    file_rows: DataFrame | None = None,
+    partition_rows: DataFrame | None = None,
+    df: DataFrame | None = None,
+) -> DataFrame:
+    """Six numbers in one row; each source may be missing and gives ``N/A`` then.
+
+    The row count is the newest snapshot's ``total-records``, else the sum over files. Without a
+    partition list the partition columns come from the files. Every source is one aggregate; their
+    one-row results are stacked and merged in one job, so a source that fails fails the row. See
+    ``guarded_metrics``.
+    """
+    merged, *rest = _metric_parts(snapshot_rows, file_rows, partition_rows, df)
+    for part in rest:
         merged = merged.unionByName(part, allowMissingColumns=True)
 
-    def known(*columns: str) -> Column:
+    def known(columns: Sequence[str]) -> Column:
         there = [F.max(c) for c in columns if c in merged.columns]
         return F.coalesce(*there, F.lit(UNKNOWN))
 
-    return merged.agg(
-        known("last_snapshot").alias("last_snapshot"),
-        known("earliest_snapshot").alias("earliest_snapshot"),
-        known("snapshot_rows", "file_rows").alias("row_count"),
-        known("column_count").alias("column_count"),
-        known("avg_file_size").alias("avg_file_size"),
-        known("partition_columns").alias("partition_columns"),
-    )
+    return merged.agg(*[known(columns).alias(name) for name, columns in METRICS.items()])
+
+
+def guarded_metrics(
+    snapshot_rows: DataFrame | None = None,
+    file_rows: DataFrame | None = None,
+    partition_rows: DataFrame | None = None,
+    df: DataFrame | None = None,
+) -> DataFrame:
+    """The numbers of ``table_metrics``, each source in a job of its own, run at once.
+
+    A source that fails while it runs, a broken footer for one, leaves ``N/A`` in its own fields and
+    all others as they are. Each job gives one row to the driver.
+    """
+    found: dict[str, str] = {}
+    parts = _metric_parts(snapshot_rows, file_rows, partition_rows, df)
+    for part in parts:
+        try:
+            found.update(part.first().asDict())
+        except Exception as e:
+            log.warning("no %s: %s", ", ".join(part.columns), str(e).splitlines()[0])
+
+    def known(columns: Sequence[str]) -> Column:
+        there = [found[c] for c in columns if found.get(c) is not None]
+        return F.lit(there[0] if there else UNKNOWN)
+
+    one = parts[0].sparkSession.range(1)
+    return one.select(*[known(columns).alias(name) for name, columns in METRICS.items()])

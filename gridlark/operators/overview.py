@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ from gridlark.operators.inspect import (
     file_inventory,
     files,
     footer_inventory,
+    guarded_metrics,
+    parquet_files,
     partitions,
+    path_partitions,
     snapshots,
-    table_metrics,
 )
-from gridlark.sources.footers import file_footers, list_files
+from gridlark.sources.footers import list_files, read_footers
 
 log = logging.getLogger(__name__)
 
@@ -35,7 +38,12 @@ class Overview:
     snapshots: DataFrame | None
     partitions: DataFrame | None
     files: DataFrame | None
-    metrics: DataFrame
+    measured: dict[str, DataFrame | None]
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """The headline numbers. They are taken when first asked for, each source alone."""
+        return guarded_metrics(**self.measured)
 
 
 def metadata_table(spark: SparkSession, name: str, kind: str) -> DataFrame | None:
@@ -56,29 +64,41 @@ def _storage(spark: SparkSession, name: str) -> tuple[str | None, bool]:
     return folder, (known.get("Provider") or "").lower() == "parquet"
 
 
-def _inventories(spark: SparkSession, name: str, df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """The files with counts and bounds per column, and the files for partitions and numbers.
+@dataclass(frozen=True)
+class _Sources:
+    """Frames that describe a table's files: for the list, the partitions, and the numbers."""
 
-    The second needs no rows where the files are Parquet: listing and footers have all of it.
-    """
+    listed: DataFrame | None = None
+    partitions: DataFrame | None = None
+    rows: DataFrame | None = None
+    places: DataFrame | None = None
+
+
+def _file_sources(spark: SparkSession, name: str, df: DataFrame) -> _Sources:
+    """Where the files are Parquet, listing, footers and paths have all of it; no rows are read."""
     kept = metadata_table(spark, name, "files")
     if kept is not None:
-        return kept, kept
+        return _Sources(files(kept), rows=kept)
     try:
         folder, footed = _storage(spark, name)
         if folder is None:
-            return None, None
+            return _Sources()
         parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
         listing = list_files(spark, folder)
-        full = file_inventory(df, parts, listing)
         if not footed:
-            return full, full
-        footers = file_footers(spark, folder)
-        extra = footers.select("file_path", "column_sizes", "split_offsets")
-        return full.join(extra, "file_path", "left"), footer_inventory(df, listing, footers, parts)
+            full = file_inventory(df, parts, listing)
+            return _Sources(files(full), partitions(full) if parts else None, full)
+        light = footer_inventory(df, read_footers(listing), parts)
+        return _Sources(
+            parquet_files(df, listing, parts),
+            partitions(light) if parts else None,
+            light,
+            # Partition columns show in the paths alone.
+            path_partitions(df, listing, parts) if parts else None,
+        )
     except Exception as e:
         log.debug("no file inventory of %s: %s", name, e)
-        return None, None
+        return _Sources()
 
 
 def table_overview(spark: SparkSession, catalog: str, namespace: str, table: str) -> Overview:
@@ -96,19 +116,20 @@ def table_overview(spark: SparkSession, catalog: str, namespace: str, table: str
         properties = None
     # The listings are capped; the headline numbers see all files and commits.
     commits = metadata_table(spark, name, "snapshots")
-    inventory, light = _inventories(spark, name, df)
+    found = _file_sources(spark, name, df)
     parts = metadata_table(spark, name, "partitions")
-    if parts is not None:
-        parts = parts.limit(LISTED_ROWS)
-    elif light is not None and "partition" in light.columns:
-        parts = partitions(light)
     return Overview(
         schema=df.schema.jsonValue(),
         ddl=ddl,
         properties=properties,
         profile=column_profile(df),
         snapshots=None if commits is None else snapshots(commits),
-        partitions=parts,
-        files=None if inventory is None else files(inventory),
-        metrics=table_metrics(commits, light, df=df),
+        partitions=found.partitions if parts is None else parts.limit(LISTED_ROWS),
+        files=found.listed,
+        measured={
+            "snapshot_rows": commits,
+            "file_rows": found.rows,
+            "partition_rows": found.places if parts is None else parts,
+            "df": df,
+        },
     )

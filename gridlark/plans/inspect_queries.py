@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from gridlark.operators.inspect import (
     column_profile,
-    file_inventory,
-    files,
     flatten_partition,
     footer_inventory,
+    parquet_files,
     partitions,
     snapshot_log,
     snapshots,
@@ -109,13 +108,16 @@ def yearly_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
 def yearly_files(spark: SparkSession, folder: str) -> DataFrame:
     """Its files from the listing and the footers; no rows are read."""
     copy, path = yearly_orders(spark, folder)
-    return footer_inventory(copy, list_files(spark, path), file_footers(spark, path), ["yr"])
+    return footer_inventory(copy, file_footers(spark, path), ["yr"])
 
 
 def files_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """The file list rolled up per partition, which must equal aggregates over the rows."""
+    """The file list rolled up per partition, which must equal aggregates over the rows.
+
+    Only ``price`` is read, for its NaNs; all else comes from listing, footers and paths.
+    """
     copy, path = yearly_orders(spark, folder)
-    listed = files(file_inventory(copy, ["yr"], list_files(spark, path)), file_footers(spark, path), n=None)
+    listed = parquet_files(copy, list_files(spark, path), ["yr"], n=None, nan_counts=True)
     names = ("o_orderkey", "status", "price")
 
     def total(kind: str, name: str):
@@ -208,7 +210,7 @@ def metrics_events(spark: SparkSession, folder: str) -> DataFrame:
 def metrics_files(spark: SparkSession, folder: str) -> DataFrame:
     """Without snapshots the rows of the files count, and times are not known."""
     copy, path = yearly_orders(spark, folder)
-    inventory = footer_inventory(copy, list_files(spark, path), file_footers(spark, path))
+    inventory = footer_inventory(copy, file_footers(spark, path))
     metrics = table_metrics(file_rows=inventory, df=copy)
     return metrics.withColumn("avg_file_size", F.col("avg_file_size").rlike(r"^\d+\.\d\d MB$"))
 

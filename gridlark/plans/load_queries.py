@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlark.operators.results import run_query
 from gridlark.plans.query import Query
+from gridlark.sources.merge import delete_rows, merge_rows
 from gridlark.sources.scratch import scratch_namespace
 from gridlark.sources.seed import ensure_namespace, ip_rows, seed_table
 from gridlark.sources.tables import attach, table
@@ -120,28 +121,45 @@ SINK_TABLE = """
 
 
 def sink_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """An upsert and a delete on a Parquet table: one join into a new table.
+    """An upsert and a delete on a Parquet table; only files that hold a changed customer are rewritten.
 
-    Changes are reduced to one row per customer before the join, so no key is hot.
+    Changes are reduced to one row per customer before, so no key is hot.
     """
-    old, new = fresh_table(spark, "balances"), fresh_table(spark, "balances")
+    name = fresh_table(spark, "balances")
     attach(spark, folder, ["customer", "orders"])
     run_query(
         spark,
-        f"CREATE TABLE {old} USING parquet AS SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 5000",
+        f"""
+        CREATE TABLE {name} USING parquet AS
+        SELECT c_custkey AS custkey, c_acctbal AS balance FROM customer WHERE c_acctbal < 5000
+        """,
     )
-    run_query(
+    changes = run_query(
         spark,
-        f"""
-        CREATE TABLE {new} USING parquet AS
-        WITH changes AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders
-                         WHERE o_totalprice > 350000 GROUP BY o_custkey)
-        SELECT coalesce(c_custkey, o_custkey) AS custkey, coalesce(top, c_acctbal) AS balance
-        FROM {old} FULL OUTER JOIN changes ON c_custkey = o_custkey
-        WHERE coalesce(top, 0) < 450000
+        """
+        SELECT o_custkey AS custkey, max(o_totalprice) AS balance FROM orders
+        WHERE o_totalprice > 350000 GROUP BY o_custkey
         """,
     )
-    return spark.table(new)
+    merge_rows(spark, name, changes, ["custkey"], delete_when=F.col("balance") >= 450000)
+    return spark.table(name)
+
+
+def sink_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows removed from a table partitioned by year; other years keep their files."""
+    name = fresh_table(spark, "kept_orders")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("yr"))
+    seed_table(spark, name, "o_orderkey BIGINT, o_orderstatus STRING, yr INT", orders, ["yr"])
+    delete_rows(spark, name, (F.col("o_orderstatus") == "F") & (F.col("yr") >= 1994))
+    return spark.table(name).groupBy("yr").agg(
+        F.count(F.lit(1)).alias("orders"), F.max("o_orderkey").alias("last")
+    )
+
+
+SINK_DELETE = """
+    SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS orders, max(o_orderkey) AS last
+    FROM orders WHERE NOT (o_orderstatus = 'F' AND year(o_orderdate) >= 1994) GROUP BY 1
+"""
 
 
 SINK_MERGE = """
@@ -166,4 +184,5 @@ QUERIES = {
     "namespace_made": Query(namespace_made, "SELECT s_suppkey, s_name, TRUE AS again, FALSE AS bad FROM supplier"),
     "sink_table": Query(sink_table, SINK_TABLE),
     "sink_merge": Query(sink_merge, SINK_MERGE),
+    "sink_delete": Query(sink_delete, SINK_DELETE),
 }

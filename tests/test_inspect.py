@@ -121,7 +121,8 @@ def test_files_keep_empty_files(spark, odd_table):
     listing = footers.list_files(spark, odd_table)
     found = inspect.file_inventory(df, ["p"], listing)
     assert found.count() == listing.count() == 5
-    listed = inspect.files(found, footers.file_footers(spark, odd_table), n=None)
+    told = footers.file_footers(spark, odd_table).select("file_path", "column_sizes", "split_offsets")
+    listed = inspect.files(found.join(told, "file_path"), n=None)
     assert set(inspect.FILE_COLUMNS) == set(listed.columns)
     rows = listed.collect()
     assert sorted(r.record_count for r in rows)[0] == 0 and sum(r.record_count for r in rows) == 32
@@ -180,6 +181,7 @@ def test_nested_partitioned_rows(spark, namespace):
         "avg_file_size": "", "partition_columns": "log_date",
     }
     assert seen.files.count() == 2 and seen.partitions.count() == 2
+    assert {r.upper_bounds["event.context.ip"] for r in seen.files.collect()} == {"192.168.1.1", "10.0.0.1"}
     assert "event.context.ip" in {r.path for r in seen.profile.collect()}
 
 
@@ -278,7 +280,69 @@ def test_partitions_and_numbers_read_no_rows(spark, namespace):
     seen = overview.table_overview(spark, "spark_catalog", namespace, "odd_parts")
     got = {r.partition.p: (r.record_count, r.file_count > 0) for r in seen.partitions.collect()}
     assert got == {"a b": (2, True), "x=y/z+é": (1, True), None: (1, True)}
-    for frame in (seen.partitions, seen.metrics):
+    for frame in (seen.partitions, seen.metrics, seen.files):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "FileScan parquet" not in plan
     assert all(r.column_sizes and r.split_offsets for r in seen.files.collect())
+
+
+def test_footers_agree_with_rows(spark, tmp_path):
+    """Counts and bounds of every type from the footers are those of the rows; NaN only on request."""
+    path = str(tmp_path / "typed")
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    try:
+        spark.range(400).selectExpr(
+            "id", "CAST(id AS INT) - 200 AS i", "id % 2 = 0 AS b", "nullif(concat('é', id), 'é7') AS s",
+            "CAST(id * 1.25 AS DECIMAL(12,3)) AS d", "CAST(id AS DECIMAL(30,2)) AS wide", "DATE'1960-01-01' + CAST(id AS INT) AS day",
+            "timestamp_micros(id * 1000001 - 7) AS at", "CAST(timestamp_micros(id * 7) AS TIMESTAMP_NTZ) AS wall",
+            "CAST(id AS FLOAT) / 3 AS f", "if(id % 9 = 0, double('NaN'), id / 7) AS x", "CAST(NULL AS INT) AS nothing",
+            "CAST(concat('k', id) AS BINARY) AS raw", "named_struct('u', id, 'v', nullif(id, 5)) AS st", "array(id, id + 1) AS l",
+        ).repartition(3, "id").write.option("parquet.block.size", 1024).parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.parquet.outputTimestampType")
+    df = spark.read.parquet(path)
+    listing = footers.list_files(spark, path)
+    rows = {r.file_path: r for r in inspect.file_inventory(df, (), listing).collect()}
+    told = {r.file_path: r for r in inspect.parquet_files(df, listing).collect()}
+    exact = {r.file_path: r for r in inspect.parquet_files(df, listing, nan_counts=True).collect()}
+    flat = "id i b s d wide day at wall f raw".split()
+    for file, r in rows.items():
+        t, e = told[file], exact[file]
+        assert t.record_count == r.record_count and t.nan_value_counts is None
+        for c in flat:
+            assert (t.lower_bounds[c], t.upper_bounds[c]) == (r.lower_bounds[c], r.upper_bounds[c]), c
+            assert (t.null_value_counts[c], t.value_counts[c]) == (r.null_value_counts[c], r.value_counts[c])
+        assert t.null_value_counts["nothing"] == t.record_count and "nothing" not in t.lower_bounds
+        assert t.lower_bounds["st.u"] == t.lower_bounds["id"] == t.lower_bounds["l.list.element"]
+        for c in "xf":
+            assert (e.lower_bounds[c], e.upper_bounds[c]) == (r.lower_bounds[c], r.upper_bounds[c])
+            assert e.nan_value_counts[c] == r.nan_value_counts[c]
+        assert e.lower_bounds["s"] == r.lower_bounds["s"]
+
+
+def test_the_list_is_cut_before_footers_are_read(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(40).repartition(8).write.parquet(path)
+    names = sorted(r.file_path for r in footers.list_files(spark, path).collect())
+    with open(names[-1].removeprefix("file:"), "wb") as broken:
+        broken.write(b"no parquet")
+    df, listing = spark.read.schema("id LONG").parquet(path), footers.list_files(spark, path)
+    assert [r.file_path for r in inspect.parquet_files(df, listing, n=7).select("file_path").collect()] == names[:7]
+    scanned = inspect.parquet_files(df, listing, n=7)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" not in scanned
+
+
+def test_a_broken_footer_fails_alone(spark, namespace):
+    """Two numbers need the footers; the other four stay."""
+    name = f"{namespace}.broken"
+    spark.range(4).selectExpr("id", "id % 2 AS p").write.partitionBy("p").saveAsTable(name)
+    seen = overview.table_overview(spark, "spark_catalog", namespace, "broken")
+    listed = footers.list_files(spark, overview._storage(spark, name)[0]).first().file_path
+    with open(listed.removeprefix("file:"), "wb") as broken:
+        broken.write(b"no parquet")
+    log = spark.createDataFrame([(datetime(2024, 1, 1), 7, {"added-records": "4"})], LOG)
+    seen.measured["snapshot_rows"] = log
+    assert seen.metrics.first().asDict() == {
+        "last_snapshot": "2024-01-01 00:00:00", "earliest_snapshot": "2024-01-01 00:00:00", "row_count": "N/A",
+        "column_count": "2", "avg_file_size": "N/A", "partition_columns": "p",
+    }
