@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from gridlark.operators import joblog
 from gridlark.sources.scratch import scratch_namespace
+from gridlark.sources.folder import Folder
+from gridlark.streaming import jobstate
 from gridlark.streaming.jobstate import keep_job_state, latest_job_state
 
 EVENTS = "job_id STRING, ts TIMESTAMP, seq BIGINT, status STRING, query_text STRING, error_message STRING"
@@ -129,7 +131,8 @@ def test_recent_queries(spark):
     assert [r["query"] for r in joblog.recent_queries(log, 1).collect()] == ["c"]
 
 
-def test_stream_equals_batch_over_restarts(spark, tmp_path, events):
+@pytest.mark.parametrize("merge_every", [1000, 2, 1])
+def test_stream_equals_batch_over_restarts(spark, tmp_path, events, merge_every):
     """Files arrive between runs, late events among them; each run goes on from its checkpoint."""
     source, changes, checkpoint = (str(tmp_path / p) for p in ("in", "out", "check"))
     ordered = sorted(LOG, key=lambda r: (r[2] % 3, r[2]))
@@ -137,7 +140,7 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path, events):
         batch = spark.createDataFrame(ordered[i : i + 4], EVENTS).coalesce(1)
         batch.write.mode("append").parquet(source)
         stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
-        keep_job_state(stream, changes, checkpoint)
+        keep_job_state(stream, changes, checkpoint, merge_every, 3)
     assert as_dict(latest_job_state(spark, changes).select("job_id", "query_text", "status", "error_message",
                                                           "created_at", "started_at", "completed_at")) == STATES
 
@@ -148,3 +151,49 @@ def test_a_failing_stream_raises(spark, tmp_path):
     stream = spark.readStream.schema(EVENTS).parquet(source).where(F.raise_error(F.lit("broken")).isNull())
     with pytest.raises(Exception, match="broken"):
         keep_job_state(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+
+
+STATE = "job_id STRING, query_text STRING, status STRING, error_message STRING"
+
+
+def log_of(spark, path, batches):
+    """A change log as the stream writes it."""
+    for n, rows in batches.items():
+        spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+
+
+def test_merged_states_are_one_row_per_job(spark, tmp_path):
+    """After many batches reading costs one stored row per job, and untouched buckets stay."""
+    path = str(tmp_path / "log")
+    log_of(spark, path, {n: [(f"j{n % 5}", f"q{n}", "queued", None), ("hot", f"h{n}", "running", None)] for n in range(30)})
+    before = {tuple(r) for r in latest_job_state(spark, path).collect()}
+    assert jobstate.merge_changes(spark, path, 16) == 30 and jobstate.merge_changes(spark, path, 16) == 0
+    after = latest_job_state(spark, path)
+    assert {tuple(r) for r in after.collect()} == before and len(before) == 6
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    folder = Folder(spark, path)
+    old = jobstate._version(folder)["buckets"]
+    log_of(spark, path, {30: [("j1", "new", "failed", "x")]})
+    jobstate.merge_changes(spark, path)
+    new = jobstate._version(folder)["buckets"]
+    assert sum(old[b] != new[b] for b in new) == 1 and len(new) == len(old)
+    assert ("j1", "new", "failed", "x") in {tuple(r) for r in latest_job_state(spark, path).collect()}
+    assert folder.named("batch_id=", "") == [] and len(folder.named("_version-", ".json")) == 1
+
+
+def test_a_failed_merge_changes_nothing_and_a_repeated_batch_counts_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    log_of(spark, path, {0: [("a", "1", "queued", None)], 1: [("a", "1", "running", None), ("b", "2", "queued", None)]})
+    state = lambda: sorted(tuple(r) for r in latest_job_state(spark, path).collect())
+    before = state()
+    with monkeypatch.context() as broken:
+        broken.setattr(Folder, "write", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            jobstate.merge_changes(spark, path)
+    assert state() == before
+    jobstate.merge_changes(spark, path)
+    assert state() == before
+    # The stream repeats a batch that has been merged; what it holds is in the states already.
+    log_of(spark, path, {0: [("a", "1", "queued", None)]})
+    assert state() == before and jobstate.merge_changes(spark, path) == 0
