@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 import re
+import time
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +20,8 @@ log = logging.getLogger(__name__)
 RESULT_ROWS = 1000
 RESULT_PREFIX = "job_"
 NOT_IN_TABLE_NAME = r"[^a-zA-Z0-9_]"
+# Stands between a result's name and the number of a stored version.
+VERSION = "__version_"
 
 
 def run_query(spark: SparkSession, sql: str, isolated: bool = False) -> DataFrame:
@@ -70,6 +74,13 @@ def result_name(job_id: str, namespace: str) -> str:
     return checked_name(namespace, RESULT_PREFIX + re.sub(NOT_IN_TABLE_NAME, "_", job_id))
 
 
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """Stored versions of a result, oldest first."""
+    namespace, _, short = name.rpartition(".")
+    listed = spark.sql(f"SHOW TABLES IN {namespace} LIKE '{short}{VERSION}*'").collect()
+    return sorted(f"{namespace}.{r.tableName}" for r in listed if r.tableName.startswith(short.lower() + VERSION))
+
+
 def save_result(
     df: DataFrame,
     job_id: str,
@@ -77,16 +88,30 @@ def save_result(
     n: int = RESULT_ROWS,
     order_by: Sequence[str | Column] | None = None,
 ) -> str | None:
-    """Save the capped result as table ``job_<id>``, replacing an earlier one.
+    """Save the capped result under ``job_<id>``, replacing an earlier one.
 
-    A command has no columns and leaves nothing to save: the name is ``None`` then. When the query
-    reads the table that it replaces, Spark refuses; save under another job id.
+    Rows are written to a table of their own first; ``job_<id>`` is a view that is pointed at it in one
+    step once it is whole. So readers see the earlier result or the new one, a save that fails leaves the
+    earlier one, and a query may read the result that it replaces. The version before stays stored until
+    the next save, for readers that have begun with it. A command has no columns and leaves nothing to
+    save: the name is ``None`` then.
     """
     if not df.columns:
         return None
-    ensure_namespace(df.sparkSession, namespace)
+    spark = df.sparkSession
+    ensure_namespace(spark, namespace)
     name = result_name(job_id, namespace)
-    cap_rows(df, n, order_by).write.mode("overwrite").saveAsTable(name)
+    earlier = _versions(spark, name)
+    # Times first, so that names are in the order of saving.
+    version = f"{name}{VERSION}{time.time_ns():016x}{uuid.uuid4().hex[:8]}"
+    try:
+        cap_rows(df, n, order_by).write.saveAsTable(version)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {version} PURGE")
+        raise
+    for old in earlier[:-1]:
+        spark.sql(f"DROP TABLE IF EXISTS {old} PURGE")
     return name
 
 
@@ -101,20 +126,34 @@ def load_result(
 def drop_results(spark: SparkSession, job_ids: DataFrame | Iterable[str], namespace: str) -> int:
     """Drop the saved results of the given jobs; returns how many drops failed.
 
-    Dropping is one catalog command per table. Ids of a DataFrame arrive partition by partition, so
-    the driver never holds the whole list.
+    The namespace's results are listed once and matched with the ids, so ids without a result cost
+    nothing: statements are run for saved results alone, and one that fails stops no other.
     """
     if isinstance(job_ids, DataFrame):
-        key = job_ids.columns[0]
-        job_ids = (str(row[0]) for row in job_ids.select(key).toLocalIterator())
-    failed = 0
-    for job_id in job_ids:
+        ids = job_ids.select(F.col(job_ids.columns[0]).cast("string").alias("job_id"))
+    else:
+        ids = spark.createDataFrame([(str(i),) for i in job_ids], "job_id string")
+    namespace = checked_name(namespace)
+    try:
+        listed = spark.sql(f"SHOW TABLES IN {namespace} LIKE '{RESULT_PREFIX}*'")
+    except Exception:
+        log.warning("could not list the results in %s", namespace, exc_info=True)
+        return ids.distinct().count()
+    listed = listed.where(~F.col("isTemporary")).select(F.col("tableName").alias("name"))
+    wanted = ids.select(F.lower(F.concat(F.lit(RESULT_PREFIX), F.regexp_replace("job_id", NOT_IN_TABLE_NAME, "_"))).alias("of"))
+    result = F.regexp_replace(F.lower("name"), VERSION + r"[0-9a-f]{24}\z", "")
+    found = listed.join(wanted.distinct(), result == F.col("of"), "left_semi").select("name")
+    failed = set()
+    # Views first: nobody finds a version that is about to go.
+    for row in found.orderBy(F.col("name").contains(VERSION), "name").toLocalIterator():
+        name = f"{namespace}.{row.name}"
+        kind, purge = ("TABLE", " PURGE") if VERSION in row.name else ("VIEW", "")
         try:
-            spark.sql(f"DROP TABLE IF EXISTS {result_name(job_id, namespace)} PURGE")
+            spark.sql(f"DROP {kind} IF EXISTS {name}{purge}")
         except Exception:
-            failed += 1
-            log.warning("could not drop the result of job %s", job_id, exc_info=True)
-    return failed
+            failed.add(row.name.split(VERSION)[0])
+            log.warning("could not drop %s", name, exc_info=True)
+    return len(failed)
 
 
 def result_schema(df: DataFrame) -> DataFrame:

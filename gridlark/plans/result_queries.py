@@ -63,21 +63,33 @@ RESULT_SAVED = f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders ORDER BY {', '.jo
 
 
 def result_dropped(spark: SparkSession, folder: str) -> DataFrame:
-    """Two results are saved, one of them and one that never was are dropped."""
-    namespace, kept, gone = scratch_namespace(spark), fresh_id("kept"), fresh_id("gone")
+    """One result per order priority is saved; those of priorities with few urgent totals are dropped.
+
+    The ids to drop are rows of the data, among them some that never had a result. What is left is read
+    back.
+    """
+    namespace, batch = scratch_namespace(spark), uuid.uuid4().hex[:12]
     orders = table(spark, folder, "orders").select(*ORDER_COLUMNS)
-    for job in (kept, gone):
-        save_result(orders, job, namespace, order_by=by(*TOP_ORDERS))
-    failed = drop_results(spark, [gone, fresh_id("never")], namespace)
-    there = spark.catalog.tableExists(result_name(gone, namespace))
-    return load_result(spark, kept, namespace).agg(
-        F.count(F.lit(1)).alias("kept_rows"), F.lit(there).alias("gone_exists"), F.lit(failed).alias("failed")
+    job = F.concat(F.lit(f"{batch}-"), F.substring("o_orderpriority", 1, 1))
+    for digit in "12345":
+        rows = orders.where(F.col("o_orderpriority").startswith(digit))
+        save_result(rows, f"{batch}-{digit}", namespace, n=100, order_by=by(*TOP_ORDERS))
+    # Each customer key stands for a job that never ran.
+    gone = orders.where(F.col("o_orderpriority") > "3").select(job.alias("id")).unionByName(
+        orders.select(F.concat(F.lit(f"{batch}-none-"), "o_custkey").alias("id"))
     )
+    failed = drop_results(spark, gone, namespace)
+    there = [d for d in "12345" if spark.catalog.tableExists(result_name(f"{batch}-{d}", namespace))]
+    kept = load_result(spark, f"{batch}-{there[0]}", namespace)
+    for digit in there[1:]:
+        kept = kept.unionByName(load_result(spark, f"{batch}-{digit}", namespace))
+    return kept.select("o_orderkey", "o_orderpriority", F.lit(failed).alias("failed"))
 
 
 RESULT_DROPPED = """
-    SELECT count(*) AS kept_rows, FALSE AS gone_exists, CAST(0 AS INTEGER) AS failed
-    FROM (SELECT * FROM orders LIMIT 1000)
+    SELECT o_orderkey, o_orderpriority, CAST(0 AS INTEGER) AS failed
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)
+    WHERE r <= 100 AND o_orderpriority <= '3'
 """
 
 

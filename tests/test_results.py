@@ -66,6 +66,26 @@ def test_save_load_replace_drop(spark, namespace):
     assert not spark.catalog.tableExists(f"{namespace}.job_x_1")
 
 
+def test_a_failed_save_leaves_the_earlier_result(spark, namespace):
+    results.save_result(spark.range(3), "again", namespace)
+    broken = spark.range(5).selectExpr("IF(id = 4, raise_error('lost'), 'x') AS word")
+    with pytest.raises(Exception, match="lost"):
+        results.save_result(broken, "again", namespace)
+    name = results.result_name("again", namespace)
+    assert results.load_result(spark, "again", namespace).count() == 3 and len(results._versions(spark, name)) == 1
+    # A reader that began with the earlier version ends with it; a query may read what it replaces.
+    reader = results.load_result(spark, "again", namespace)
+    results.save_result(results.load_result(spark, "again", namespace).selectExpr("id + 10 AS bigger"), "again", namespace)
+    assert reader.count() == 3
+    assert [r.bigger for r in results.load_result(spark, "again", namespace, ["bigger"]).collect()] == [10, 11, 12]
+    for i in range(3):
+        results.save_result(spark.range(i), "again", namespace)
+    assert len(results._versions(spark, name)) == 2
+    results.save_result(spark.range(1), "again_2", namespace)
+    assert results.drop_results(spark, ["again"], namespace) == 0
+    assert results._versions(spark, name) == [] and results.load_result(spark, "again_2", namespace).count() == 1
+
+
 def test_saved_types(spark, namespace):
     df = spark.sql(
         "SELECT 1.25D AS d, CAST(1.5 AS DECIMAL(20,3)) AS c, X'FF' AS b, DATE '2024-01-02' AS t, "
