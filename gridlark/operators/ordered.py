@@ -1,18 +1,20 @@
 """Ordered operators that hold when one key owns a large share of all rows.
 
-A window function sorts every row of a key in one task. That is the right plan while keys are
-small, so each operator first counts rows per key (one aggregation over the key columns) and uses
-the plain window when the largest key has at most ``group_rows`` rows. Beyond that it takes the
-second way, which gives the same rows:
-
-1. sort all rows by (key, order) into ranges of about equal size, whatever the keys are, and store
-   them with their global position;
-2. cut the positions into blocks of ``group_rows`` rows; windows run per block;
-3. carry what a block needs from earlier ones: either copies of a few neighbouring rows, or one
-   summary row per block, scanned in block order.
-
-No step puts more than a block, or one row per block, into one task. The order must be total (end
-it with a unique column); ties in it would make positions arbitrary.
+A window function sorts every row of a key in one task. That is the right plan for keys of at most
+``group_rows`` rows. Keys with more are found by counting inside the plan, and go another way, alone:
+
+1. Splitters are rows that a hash of the order picks, one in some millions. There are so few that they
+   are sent to all tasks, where every row of a hot key finds by binary search between which two it
+   belongs: that is its part.
+2. A row's position in its key is its number in its part plus the rows of all parts before.
+3. Positions are cut into blocks of ``group_rows`` rows; windows run per block, and what a block needs
+   from others is carried over: copies of a few neighbouring rows, or one summary row per block.
+
+Both ways are one lazy plan; building it runs no job. Parts follow from the data alone, so a stage that
+is computed again after a loss gives the same positions. Where no key is hot, the second way reads
+nothing: adaptive execution drops it once the count is known.
+
+The order must be total (end it with a unique column): rows that are alike in all of it share a part.
 """
 
 from __future__ import annotations
@@ -24,15 +26,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.sources.scratch import scratch_path
-
 # Rows of one key that a single task may sort.
 GROUP_ROWS = 5_000_000
 
-# Bits that monotonically_increasing_id gives to the row number inside a partition.
-ROW_BITS = 33
-
-
+# Parts for each ``group_rows`` rows. Parts differ in size; with four, few are larger than a block.
+PARTS = 4
 
 @dataclass(frozen=True)
 class Look:
@@ -58,57 +56,95 @@ def look_around(aggregate: Column, start: int, end: int) -> Look:
     return Look(lambda w: aggregate.over(w.rowsBetween(start, end)), max(0, -start), max(0, end))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key; map-side partial counts, one number to the driver."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def _limit(group_rows: int | None) -> int:
     return GROUP_ROWS if group_rows is None else group_rows
 
 
-def _fits(keys: Sequence[str], group_rows: int, *inputs: DataFrame) -> bool:
-    """Does every key have at most ``group_rows`` rows over all inputs together?
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rows without a key get one that all share; it is computed, so that joins on it stay equi joins."""
+    if keys:
+        return df, list(keys)
+    return df.withColumn("_all", F.pmod(F.xxhash64(*df.columns), F.lit(1).cast("long"))), ["_all"]
+
+
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """Keys equal to the columns with a prefix; null equals null."""
+    found = F.lit(True)
+    for i, k in enumerate(keys):
+        found = found & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return found
+
 
-    Reads the key columns only, and not even those where the inputs as a whole are small: a count
-    of stored rows comes from file footers.
+def _renamed(keys: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+
+
+def _apart(keys: Sequence[str], group_rows: int, *inputs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Each input without the hot keys, and with the hot keys alone.
+
+    A key is hot that has more than ``group_rows`` rows over all inputs together. Hot keys number one
+    for each ``group_rows`` rows at most, so they are sent to all tasks.
     """
     rows = inputs[0].select(*keys)
     for df in inputs[1:]:
         rows = rows.unionAll(df.select(*keys))
-    if rows.count() <= group_rows:
-        return True
-    return bool(keys) and largest_group(rows, keys) <= group_rows
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group_rows)
+    hot = F.broadcast(counts.select(*_renamed(keys, "_hot")))
+    same = _same(keys, "_hot")
+    return [df.join(hot, same, "left_anti") for df in inputs], [df.join(hot, same, "left_semi") for df in inputs]
+
+
+def _place(bounds: Column, row: Column) -> Column:
+    """How many of the sorted bounds are not above the row, by binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + F.lit(1))).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
+
+    def step(found: Column, _: Column) -> Column:
+        middle = F.floor((found["low"] + found["high"]) / 2).cast("int")
+        under = (found["low"] < found["high"]) & F.coalesce(F.get(bounds, middle) <= row, F.lit(False))
+        return F.struct(
+            F.when(under, middle + 1).otherwise(found["low"]).alias("low"),
+            F.when(under | (found["low"] >= found["high"]), found["high"]).otherwise(middle).alias("high"),
+        )
 
+    return F.when(bounds.isNull(), F.lit(0)).otherwise(F.aggregate(steps, start, step, lambda f: f["low"]))
 
-def _columns(names: Sequence[str | Column]) -> list[Column]:
-    return [F.col(n) if isinstance(n, str) else n for n in names]
 
+def _parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """Rows with ``_part``: parts of a key follow each other in the order and hold about ``size`` rows."""
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    picked = df.where(F.pmod(F.xxhash64(row), F.lit(max(1, size)).cast("long")) == 0)
+    bounds = picked.groupBy(*_renamed(keys, "_at")).agg(F.sort_array(F.collect_list(row)).alias("_bounds"))
+    # One splitter for each ``size`` rows of the hot keys.
+    spread = df.join(F.broadcast(bounds), _same(keys, "_at"), "left")
+    return spread.select(*df.columns, _place(F.col("_bounds"), row).alias("_part"))
 
-def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], size: int) -> DataFrame:
-    """All rows with ``_pos``, their place in (key, order), and ``_block``.
 
-    The sorted rows are written to the shared folder: range bounds come from a sample, so a second
-    evaluation could cut elsewhere, and a lost executor must not move positions.
-    """
-    spark = df.sparkSession
-    by = _columns([*keys, *order])
-    path = scratch_path(spark, "ordered")
-    (
-        df.repartitionByRange(*by)
-        .sortWithinPartitions(*by)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .write.parquet(path)
+def _starts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per part: how many rows of the key come before it, and how many it has."""
+    sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(
+        *_renamed(keys, "_of"),
+        F.col("_part").alias("_number"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        "_rows",
     )
-    stored = spark.read.parquet(path).withColumn("_run", F.shiftright("_row", ROW_BITS))
-    sizes = stored.groupBy("_run").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per sorted partition, so the table is bounded by the partition count of the shuffle.
-    starts = sizes.select("_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    inside = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    placed = stored.join(F.broadcast(starts), "_run").withColumn("_pos", F.col("_start") + inside)
-    return placed.withColumn("_block", F.floor(F.col("_pos") / F.lit(size))).drop("_run", "_row", "_start")
+
+
+def _numbered(parts: DataFrame, starts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with ``_pos``, their place in the key from 0."""
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    rows = parts.withColumn("_in", F.row_number().over(inside))
+    same = _same(keys, "_of") & (F.col("_part") == F.col("_number"))
+    return rows.join(starts, same).withColumn("_pos", F.col("_start") + F.col("_in") - 1)
+
+
+def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """All rows with ``_pos``, their place in the key, and ``_block``."""
+    parts = _parts(df, keys, order, size // PARTS)
+    placed = _numbered(parts, _starts(parts, keys), keys, order)
+    return placed.select(*df.columns, "_pos", F.floor(F.col("_pos") / F.lit(size)).alias("_block"))
 
 
 def _with_halo(blocks: DataFrame, size: int, before: int, after: int) -> DataFrame:
@@ -133,7 +169,7 @@ def _with_halo(blocks: DataFrame, size: int, before: int, after: int) -> DataFra
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str | Column],
+    order: Sequence[str],
     looks: dict[str, Look],
     group_rows: int | None = None,
 ) -> DataFrame:
@@ -141,49 +177,60 @@ def neighbours(
 
     Each look carries its reach, so no row can ask for more than is copied over block edges.
     """
-    group_rows = _limit(group_rows)
-    return _neighbours(df, keys, order, looks, group_rows, _fits(keys, group_rows, df))
+    group_rows, columns = _limit(group_rows), df.columns
+    df, keys = _keyed(df, keys)
+    (calm,), (hot,) = _apart(keys, group_rows, df)
+    both = _calm_neighbours(calm, keys, order, looks).unionAll(_hot_neighbours(hot, keys, order, looks, group_rows))
+    return both.select(*columns, *looks)
 
 
-def _neighbours(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    looks: dict[str, Look],
-    group_rows: int,
-    plain: bool,
+def _calm_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], looks: dict[str, Look]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.select("*", *[look.make(window).alias(name) for name, look in looks.items()])
+
+
+def _hot_neighbours(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], looks: dict[str, Look], group_rows: int
 ) -> DataFrame:
-    if plain:
-        window = Window.partitionBy(*keys).orderBy(*_columns(order))
-        return df.select("*", *[look.make(window).alias(name) for name, look in looks.items()])
     before = max(look.before for look in looks.values())
     after = max(look.after for look in looks.values())
     spread = _with_halo(_blocks(df, keys, order, group_rows), group_rows, before, after)
-    window = Window.partitionBy("_block", *keys).orderBy("_pos")
+    window = Window.partitionBy(*keys, "_block").orderBy("_pos")
     done = spread.select("*", *[look.make(window).alias(name) for name, look in looks.items()])
     return done.where("_own").select(*df.columns, *looks)
 
 
-def _scan() -> tuple[WindowSpec, WindowSpec]:
-    """Windows over block summaries: all earlier blocks, all later blocks.
+def _scan(keys: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """Windows over a key's block summaries: all earlier blocks, all later blocks.
 
     They see one row per ``group_rows`` rows of data. Looking ahead is looking back in descending
     order: a frame that ends at the last row would be computed anew for every row.
     """
     strictly_before = (Window.unboundedPreceding, -1)
+    key = Window.partitionBy(*keys)
     return (
-        Window.orderBy("_block").rowsBetween(*strictly_before),
-        Window.orderBy(F.desc("_block")).rowsBetween(*strictly_before),
+        key.orderBy("_block").rowsBetween(*strictly_before),
+        key.orderBy(F.desc("_block")).rowsBetween(*strictly_before),
     )
 
 
-def _inside() -> tuple[WindowSpec, WindowSpec]:
+def _inside(keys: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
     """Windows inside a block: up to the current row, and from it onward."""
-    block = Window.partitionBy("_block")
+    block = Window.partitionBy(*keys, "_block")
     so_far = (Window.unboundedPreceding, Window.currentRow)
     return block.orderBy("_pos").rowsBetween(*so_far), block.orderBy(F.desc("_pos")).rowsBetween(*so_far)
 
 
+def _carried(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows next to their block's carried values; ``carry`` has the keys, ``_block`` and values."""
+    values = [c for c in carry.columns if c not in keys and c != "_block"]
+    named = carry.select(*_renamed(keys, "_from"), F.col("_block").alias("_from_block"), *values)
+    return rows.join(named, _same(keys, "_from") & (F.col("_block") == F.col("_from_block")))
+
+
+RANKS = ("row_number", "rank", "dense_rank", "tie_end", "group_rows")
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -196,81 +243,64 @@ def ranked(
     ``by`` decides ties (ascending, nulls first), ``unique`` makes the order total. ``tie_end`` is
     the number of rows up to and including the row's ties.
     """
-    group_rows = _limit(group_rows)
-    if _fits(keys, group_rows, df):
-        total = Window.partitionBy(*keys).orderBy(*by, *unique)
-        ties = Window.partitionBy(*keys).orderBy(*by)
-        whole = Window.partitionBy(*keys)
-        return df.select(
-            "*",
-            F.row_number().over(total).cast("long").alias("row_number"),
-            F.rank().over(ties).cast("long").alias("rank"),
-            F.dense_rank().over(ties).cast("long").alias("dense_rank"),
-            F.count(F.lit(1)).over(ties).alias("tie_end"),
-            F.count(F.lit(1)).over(whole).alias("group_rows"),
-        )
+    group_rows, columns = _limit(group_rows), df.columns
+    df, keys = _keyed(df, keys)
+    (calm,), (hot,) = _apart(keys, group_rows, df)
+    both = _calm_ranks(calm, keys, by, unique).unionAll(_hot_ranks(hot, keys, by, unique, group_rows))
+    return both.select(*columns, *RANKS)
+
+
+def _calm_ranks(df: DataFrame, keys: Sequence[str], by: Sequence[str], unique: Sequence[str]) -> DataFrame:
+    total = Window.partitionBy(*keys).orderBy(*by, *unique)
+    ties = Window.partitionBy(*keys).orderBy(*by)
+    whole = Window.partitionBy(*keys)
+    return df.select(
+        "*",
+        F.row_number().over(total).cast("long").alias("row_number"),
+        F.rank().over(ties).cast("long").alias("rank"),
+        F.dense_rank().over(ties).cast("long").alias("dense_rank"),
+        F.count(F.lit(1)).over(ties).alias("tie_end"),
+        F.count(F.lit(1)).over(whole).alias("group_rows"),
+    )
 
-    key = F.struct(*_columns(keys)) if keys else F.struct(F.lit(0).alias("all"))
-    tie = F.struct(key.alias("k"), *_columns(by))
-    blocks = _blocks(df, keys, [*by, *unique], group_rows)
-    edge = Window.partitionBy("_block").orderBy("_pos")
-    # First and last rows of keys and of ties, seen across block edges through one copied row.
-    marked = (
-        _with_halo(blocks, group_rows, 1, 1)
-        .withColumns(
-            {
-                "_key_first": ~key.eqNullSafe(F.lag(key).over(edge)),
-                "_key_last": ~key.eqNullSafe(F.lead(key).over(edge)),
-                "_tie_first": ~tie.eqNullSafe(F.lag(tie).over(edge)),
-                "_tie_last": ~tie.eqNullSafe(F.lead(tie).over(edge)),
-            }
-        )
-        .where("_own")
+
+def _hot_ranks(
+    df: DataFrame, keys: Sequence[str], by: Sequence[str], unique: Sequence[str], group_rows: int
+) -> DataFrame:
+    tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(by)])
+    edge = Window.partitionBy(*keys, "_block").orderBy("_pos")
+    # First and last rows of ties, seen across block edges through one copied row.
+    marked = _with_halo(_blocks(df, keys, [*by, *unique], group_rows), group_rows, 1, 1).withColumns(
+        {"_first": ~tie.eqNullSafe(F.lag(tie).over(edge)), "_last": ~tie.eqNullSafe(F.lead(tie).over(edge))}
     )
-    upto, onward = _inside()
+    upto, onward = _inside(keys)
     pos_if = lambda flag: F.when(F.col(flag), F.col("_pos"))
-    marked = marked.withColumn("_ties", F.sum(F.col("_tie_first").cast("long")).over(upto))
-    ties_if = F.when(F.col("_key_first"), F.col("_ties"))
-    marked = marked.withColumns(
+    marked = marked.where("_own").withColumns(
         {
-            "_ks": F.max(pos_if("_key_first")).over(upto),
-            "_ts": F.max(pos_if("_tie_first")).over(upto),
-            "_kt": F.max(ties_if).over(upto),
-            "_ke": F.min(pos_if("_key_last")).over(onward),
-            "_te": F.min(pos_if("_tie_last")).over(onward),
+            "_ties": F.sum(F.col("_first").cast("long")).over(upto),
+            "_ts": F.max(pos_if("_first")).over(upto),
+            "_te": F.min(pos_if("_last")).over(onward),
         }
     )
-    per_block = marked.groupBy("_block").agg(
-        F.max("_ks").alias("ks"),
-        F.max("_ts").alias("ts"),
-        F.max("_kt").alias("kt"),
-        F.min("_ke").alias("ke"),
-        F.min("_te").alias("te"),
-        F.max("_ties").alias("ties"),
+    per_block = marked.groupBy(*keys, "_block").agg(
+        F.max("_ties").alias("ties"), F.max("_ts").alias("ts"), F.min("_te").alias("te"), F.max("_pos").alias("end")
     )
-    earlier, later = _scan()
-    carry = (
-        per_block.withColumn("_ties0", F.coalesce(F.sum("ties").over(earlier), F.lit(0)))
-        .select(
-            "_block",
-            "_ties0",
-            F.max("ks").over(earlier).alias("_ks0"),
-            F.max("ts").over(earlier).alias("_ts0"),
-            F.max(F.col("kt") + F.col("_ties0")).over(earlier).alias("_kt0"),
-            F.min("ke").over(later).alias("_ke0"),
-            F.min("te").over(later).alias("_te0"),
-        )
+    earlier, later = _scan(keys)
+    carry = per_block.select(
+        *keys,
+        "_block",
+        F.coalesce(F.sum("ties").over(earlier), F.lit(0)).alias("_ties0"),
+        F.max("ts").over(earlier).alias("_ts0"),
+        F.min("te").over(later).alias("_te0"),
+        F.max("end").over(Window.partitionBy(*keys)).alias("_end"),
     )
-    done = marked.join(carry, "_block")
-    start = F.coalesce("_ks", "_ks0")
-    first_tie = F.coalesce(F.col("_kt") + F.col("_ties0"), F.col("_kt0"))
-    return done.select(
+    return _carried(marked, carry, keys).select(
         *df.columns,
-        (F.col("_pos") - start + 1).alias("row_number"),
-        (F.coalesce("_ts", "_ts0") - start + 1).alias("rank"),
-        (F.col("_ties") + F.col("_ties0") - first_tie + 1).alias("dense_rank"),
-        (F.coalesce("_te", "_te0") - start + 1).alias("tie_end"),
-        (F.coalesce("_ke", "_ke0") - start + 1).alias("group_rows"),
+        (F.col("_pos") + 1).alias("row_number"),
+        (F.coalesce("_ts", "_ts0") + 1).alias("rank"),
+        (F.col("_ties") + F.col("_ties0")).alias("dense_rank"),
+        (F.coalesce("_te", "_te0") + 1).alias("tie_end"),
+        (F.col("_end") + 1).alias("group_rows"),
     )
 
 
@@ -306,57 +336,76 @@ def percentiles(
     """Exact interpolated percentiles per key; a key without any value keeps its row, with nulls.
 
     Spark's ``percentile`` keeps the distinct values of a key in memory, so it serves for keys of a
-    tenth of ``group_rows`` at most. Beyond that the values are found by their row positions and
-    interpolated by the same formula: equal neighbours as they are, NaN as the largest value.
+    tenth of ``group_rows`` at most. A larger key's values are only counted into parts between
+    splitters; the parts that hold the wanted ranks are found from the counts, and no other rows are
+    sorted or shuffled. Values are interpolated by the same formula: equal neighbours as they are, NaN
+    as the largest value.
     """
-    group_rows = _limit(group_rows)
-    if _fits(keys, group_rows // 10, df):
-        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in points.items()])
-    rows = ranked(df.where(F.col(value).isNotNull()), keys, [value], unique, group_rows)
-    found = []
+    few, names = max(1, _limit(group_rows) // 10), list(keys)
+    df, keys = _keyed(df.select(*dict.fromkeys([*keys, value, *unique])), keys)
+    (calm,), (hot,) = _apart(keys, few, df)
+    plain = calm.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in points.items()])
+    both = plain.unionAll(_hot_percentiles(hot, keys, value, unique, points, few))
+    if names:
+        return both
+    # An empty table without keys has one row of nulls.
+    return both.agg(*[F.max(name).alias(name) for name in points])
+
+
+def _hot_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str], points: dict[str, float], few: int
+) -> DataFrame:
+    order = [value, *unique]
+    parts = _parts(df.where(F.col(value).isNotNull()), keys, order, few // PARTS)
+    starts = _starts(parts, keys)
+    of = [f"_of{i}" for i in range(len(keys))]
+    totals = starts.withColumn("_all_rows", F.sum("_rows").over(Window.partitionBy(*of)))
+    # Each point needs the values at one or two places.
+    spots = F.array(*[(F.col("_all_rows") - 1) * F.lit(p) for p in points.values()])
+    places = F.array_distinct(F.flatten(F.array(F.transform(spots, lambda s: F.floor(s)), F.transform(spots, lambda s: F.ceil(s)))))
+    here = lambda p: (p >= F.col("_start")) & (p < F.col("_start") + F.col("_rows"))
+    wanted = totals.withColumn("_wanted", F.filter(places, here)).where(F.size("_wanted") > 0)
+    same = _same(keys, "_of") & (F.col("_part") == F.col("_number"))
+    # A hot key has two rows for each point here at most.
+    near = parts.join(F.broadcast(wanted), same)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    found = near.withColumn("_pos", F.col("_start") + F.row_number().over(inside) - 1).where(
+        F.array_contains("_wanted", F.col("_pos"))
+    )
+    chosen = []
     for name, p in points.items():
-        spot = (F.col("group_rows") - 1) * F.lit(p)
+        spot = (F.col("_all_rows") - 1) * F.lit(p)
         below, above = F.floor(spot), F.ceil(spot)
-        low = F.max(F.when(F.col("row_number") == below + 1, F.col(value).cast("double")))
-        high = F.max(F.when(F.col("row_number") == above + 1, F.col(value).cast("double")))
+        low = F.max(F.when(F.col("_pos") == below, F.col(value).cast("double")))
+        high = F.max(F.when(F.col("_pos") == above, F.col(value).cast("double")))
         between = F.max(above - spot) * low + F.max(spot - below) * high
-        found.append(F.when(low.eqNullSafe(high), low).otherwise(between).alias(name))
-    known = rows.groupBy(*keys).agg(*found)
-    if not keys:
-        return known
-    everyone = df.select(*keys).distinct()
-    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    joined = everyone.alias("e").join(known.alias("f"), same, "left")
-    return joined.select(*[f"e.{k}" for k in keys], *[f"f.{name}" for name in points])
+        chosen.append(F.when(low.eqNullSafe(high), low).otherwise(between).alias(name))
+    known = found.groupBy(*_renamed(keys, "_known")).agg(*chosen)
+    everyone = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return everyone.join(known, _same(keys, "_known"), "left").select(*keys, *points)
 
 
-def _running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    sums: Sequence[str],
-    group_rows: int,
-    plain: bool,
+def _calm_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Running sums ``_sum_<name>`` inside each key."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", *[F.sum(c).over(upto).alias(f"_sum_{c}") for c in sums])
+
+
+def _hot_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str], group_rows: int
 ) -> DataFrame:
-    """Running sums ``_sum_<name>``; only their differences inside one key have a meaning."""
-    if plain:
-        upto = (
-            Window.partitionBy(*keys)
-            .orderBy(*_columns(order))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.select("*", *[F.sum(c).over(upto).alias(f"_sum_{c}") for c in sums])
     blocks = _blocks(df, keys, order, group_rows)
-    upto, _ = _inside()
-    earlier, _ = _scan()
-    totals = blocks.groupBy("_block").agg(*[F.sum(c).alias(c) for c in sums])
+    upto, _ = _inside(keys)
+    earlier, _ = _scan(keys)
+    totals = blocks.groupBy(*keys, "_block").agg(*[F.sum(c).alias(c) for c in sums])
     carry = totals.select(
-        "_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_carry_{c}") for c in sums]
+        *keys, "_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_carry_{c}") for c in sums]
     )
-    return (
-        blocks.select("*", *[F.sum(c).over(upto).alias(f"_in_{c}") for c in sums])
-        .join(carry, "_block")
-        .select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_carry_{c}")).alias(f"_sum_{c}") for c in sums])
+    inside = blocks.select("*", *[F.sum(c).over(upto).alias(f"_in_{c}") for c in sums])
+    kinds = {c: df.select(F.sum(c).alias("s")).schema["s"].dataType for c in sums}
+    return _carried(inside, carry, keys).select(
+        *df.columns,
+        *[(F.col(f"_in_{c}") + F.col(f"_carry_{c}")).cast(kinds[c]).alias(f"_sum_{c}") for c in sums],
     )
 
 
@@ -376,11 +425,10 @@ def range_sums(
     """For each left row, sums over the right rows of its key with ``low <= at <= high``.
 
     A range join followed by an aggregate, without forming the pairs: the sum over a range is the
-    running sum at its end minus the one before its start. Where a key is too large, right rows with
-    equal key and position are added up before they are ordered, and running sums go over all keys,
-    as decimals of 38 digits, so that they do not overflow where the sums of single keys fit.
-    Measures must be exact (integers or decimals); others are refused. Nulls in them count as 0.
-    ``open_low`` and ``open_high`` leave the bound itself out.
+    running sum at its end minus the one before its start. Sums start anew for each key. Where a key is
+    hot, its right rows of one position are added up before they are ordered. Measures must be exact
+    (integers or decimals); others are refused. Nulls in them count as 0. ``open_low`` and ``open_high``
+    leave the bound itself out.
     """
     names = list(measures)
     group_rows = _limit(group_rows)
@@ -388,48 +436,137 @@ def range_sums(
     for field in kinds:
         if not isinstance(field.dataType, (T.IntegralType, T.DecimalType)):
             raise TypeError(f"measure {field.name} is {field.dataType.simpleString()}; sums must be exact")
-    # Each left row adds a start and an end to its key.
-    plain = _fits(keys, group_rows, right, left, left)
+    # Measures and bounds are columns from here on, whatever expressions they were.
     points = right.dropna(subset=[*keys, at]).select(
-        *keys, F.col(at).alias("_at"), *[F.coalesce(m, F.lit(0)).alias(n) for n, m in measures.items()]
+        *keys, F.col(at).alias("_at"), *[F.coalesce(m, F.lit(0)).alias(f"_m_{n}") for n, m in measures.items()]
     )
-    sum_types = points.select(*[F.sum(n).alias(n) for n in names]).schema
-    if not plain:
-        scale = {f.name: f.dataType.scale if isinstance(f.dataType, T.DecimalType) else 0 for f in kinds}
-        wide = [F.col(n).cast(T.DecimalType(38, scale[n])).alias(n) for n in names]
-        points = points.select(*keys, "_at", *wide).groupBy(*keys, "_at").agg(
-            *[F.sum(n).cast(T.DecimalType(38, scale[n])).alias(n) for n in names]
-        )
-    no_id = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left_id]
-    # _place: before, at or after the data of the same position. _sign: start or end of a range.
-    data = points.select(*keys, *no_id, "_at", F.lit(1).alias("_place"), F.lit(0).alias("_sign"), *names)
-
     fits = F.lit(True)
     if low is not None:
         fits = (low < high) if open_low and open_high else (low <= high)
-    zero = [F.lit(0).cast(points.schema[n].dataType).alias(n) for n in names]
-
-    def probes(bound: Column | None, place: int, sign: int) -> DataFrame:
-        # A missing bound and both ends of an empty range go before all data of the key.
-        spot = F.when(fits, bound) if bound is not None else F.lit(None).cast(points.schema["_at"].dataType)
-        return left.select(
-            *keys, *left_id, spot.alias("_at"), F.lit(place).alias("_place"), F.lit(sign).alias("_sign"), *zero
+    place = points.schema["_at"].dataType
+    nowhere = F.lit(None).cast(place)
+    # A missing bound and both ends of an empty range go before all data of the key.
+    ranges = left.select(
+        *keys,
+        *[F.col(c).alias(f"_id_{i}") for i, c in enumerate(left_id)],
+        F.when(fits, high).alias("_high"),
+        (nowhere if low is None else F.when(fits, low)).alias("_low"),
+    )
+    points, used = _keyed(points, keys)
+    ranges, _ = _keyed(ranges, keys)
+    sums = [f"_m_{n}" for n in names]
+    kinds = points.select(*[F.sum(c).alias(c) for c in sums]).schema
+    ids = [f"_id_{i}" for i in range(len(left_id))]
+
+    def merged(points: DataFrame, ranges: DataFrame) -> DataFrame:
+        # _place: before, at or after the data of the same position. _sign: start or end of a range.
+        no_id = [F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in ids]
+        data = points.select(*used, *no_id, "_at", F.lit(1).alias("_place"), F.lit(0).alias("_sign"), *sums)
+        zero = [F.lit(0).cast(points.schema[c].dataType).alias(c) for c in sums]
+        probe = lambda bound, spot, sign: ranges.select(
+            *used, *ids, F.col(bound).alias("_at"), F.lit(spot).alias("_place"), F.lit(sign).alias("_sign"), *zero
+        )
+        return data.unionByName(probe("_high", 0 if open_high else 2, 1)).unionByName(
+            probe("_low", 2 if open_low else 0, -1)
         )
 
-    rows = (
-        data.unionByName(probes(high, 0 if open_high else 2, 1))
-        .unionByName(probes(low, 2 if open_low else 0, -1))
+    order = ["_at", "_place", "_sign", *ids]
+    # Each left row adds a start and an end to its key.
+    (calm_points, calm_ranges, _), (hot_points, hot_ranges, _) = _apart(used, group_rows, points, ranges, ranges)
+    hot_points = hot_points.groupBy(*used, "_at").agg(*[F.sum(c).cast(kinds[c].dataType).alias(c) for c in sums])
+
+    def ends(rows: DataFrame) -> DataFrame:
+        # Grouped by key as well: rows that a window has brought together by key need no other shuffle.
+        total = [
+            F.sum(F.when(F.col("_sign") > 0, F.col(f"_sum_{c}")).otherwise(-F.col(f"_sum_{c}")))
+            .cast(kinds[c].dataType)
+            .alias(n)
+            for n, c in zip(names, sums)
+        ]
+        done = rows.where(F.col("_sign") != 0).groupBy(*used, *ids).agg(*total)
+        return done.select(*[F.col(i).alias(c) for i, c in zip(ids, left_id)], *names)
+
+    return ends(_calm_totals(merged(calm_points, calm_ranges), used, order, sums)).unionAll(
+        ends(_hot_totals(merged(hot_points, hot_ranges), used, order, sums, group_rows))
+    )
+
+
+def _cover(low: Column, high: Column) -> Column:
+    """Dyadic slots that make up the cells from ``low`` to ``high``, both left out.
+
+    At each level at most one slot at either end is taken, so there are at most twice as many as levels.
+    """
+    first, past = low + 1, high
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((past - first).cast("double") + 1)).cast("int"))
+
+    def ends(level: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        x, y = -F.floor(-first / width), F.floor(past / width)
+        slot = lambda odd, at: F.when((x < y) & (F.pmod(odd, F.lit(2)) == 1), F.struct(level.alias("level"), at.alias("slot")))
+        return F.array(slot(x, x), slot(y, y - 1))
+
+    taken = F.filter(F.flatten(F.transform(levels, ends)), lambda s: s.isNotNull())
+    return F.when(past > first, taken)
+
+
+def wide_range_sums(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_id: Sequence[str],
+    at: str,
+    measures: dict[str, Column],
+    low: Column,
+    high: Column,
+    cell: float,
+    levels: int = 40,
+    open_low: bool = False,
+    open_high: bool = False,
+    group_rows: int | None = None,
+) -> DataFrame:
+    """``range_sums`` over numbers for ranges of any width, few keys or none.
+
+    Positions are cut into cells of width ``cell``. Right rows are added up per cell, and cells per
+    dyadic slot of each level. The cells inside a range are made up of slots, at most two of a level;
+    only rows in its two end cells are compared one by one. So neither a narrow nor a wide range brings
+    the rows of one place into one task. A cell about as wide as the narrowest range is a good one.
+    Ranges of more than 2^``levels`` cells are refused. Missing bounds and empty ranges have no rows.
+    """
+    names, ids = list(measures), [f"_id_{i}" for i in range(len(left_id))]
+    number = lambda c: F.floor(c / F.lit(cell)).cast("long")
+    fits = ((low < high) if open_low and open_high else (low <= high)) & ~F.isnan(low.cast("double")) & ~F.isnan(high.cast("double"))
+    ranges = left.select(
+        *keys,
+        *[F.col(c).alias(i) for c, i in zip(left_id, ids)],
+        F.when(fits, low).alias("_low"),
+        F.when(fits, high).alias("_high"),
+    )
+    points = right.dropna(subset=[*keys, at]).select(
+        *keys, F.col(at).alias("_at"), number(F.col(at)).alias("_cell"),
+        *[F.coalesce(m, F.lit(0)).alias(n) for n, m in measures.items()],
+    )
+    own = F.array_distinct(F.array(number(F.col("_low")), number(F.col("_high"))))
+    at_ends = range_sums(
+        ranges.withColumn("_cell", F.explode_outer(own)), points, [*keys, "_cell"], ids, "_at",
+        {n: F.col(n) for n in names}, F.col("_high"), F.col("_low"), open_low, open_high, group_rows,
+    )
+    total = lambda df, by: df.groupBy(*by).agg(*[F.sum(n).alias(n) for n in names])
+    kinds = total(points, keys).schema
+    slot = lambda level: F.struct(
+        level.alias("level"), F.call_function("shiftright", F.col("_cell"), level).alias("slot")
+    )
+    every = F.transform(F.sequence(F.lit(0), F.lit(levels)), slot)
+    slots = total(
+        total(points, [*keys, "_cell"]).select(*keys, F.explode(every).alias("_slot"), *names), [*keys, "_slot"]
+    )
+    cover = _cover(number(F.col("_low")), number(F.col("_high")))
+    too_wide = F.exists(cover, lambda s: s["level"] > levels)
+    checked = F.when(too_wide, F.raise_error(F.lit("a range has too many cells"))).otherwise(cover)
+    inner = ranges.select(*keys, *ids, F.explode(checked).alias("_slot")).join(slots, [*keys, "_slot"])
+    both = total(at_ends.unionByName(inner.select(*ids, *names)), ids)
+    return both.select(
+        *[F.col(i).alias(c) for i, c in zip(ids, left_id)], *[F.col(n).cast(kinds[n].dataType).alias(n) for n in names]
     )
-    order = ["_at", "_place", "_sign", *left_id]
-    ends = _running_totals(rows, keys, order, names, group_rows, plain).where(F.col("_sign") != 0)
-    # Grouped by key as well: rows that a window has brought together by key need no other shuffle.
-    sums = [
-        F.sum(F.when(F.col("_sign") > 0, F.col(f"_sum_{n}")).otherwise(-F.col(f"_sum_{n}")))
-        .cast(sum_types[n].dataType)
-        .alias(n)
-        for n in names
-    ]
-    return ends.groupBy(*keys, *[c for c in left_id if c not in keys]).agg(*sums).select(*left_id, *names)
 
 
 def asof(
@@ -450,59 +587,47 @@ def asof(
     names = [f"_right_{c}" for c in take]
     values = F.struct(F.col(right_at).alias("_at"), *[F.col(c).alias(n) for c, n in zip(take, names)])
     group_rows = _limit(group_rows)
-    plain = _fits(keys, group_rows, right, left)
     seen = right.dropna(subset=[*keys, right_at]).select(
         *keys, F.col(right_at).alias("_at"), values.alias("_seen")
     )
-    if not plain:
-        seen = seen.groupBy(*keys, "_at").agg(F.max("_seen").alias("_seen"))
-    found_type = seen.schema["_seen"].dataType
-    own = F.struct(*[F.col(c) for c in left.columns])
-    own_type = left.select(own.alias("o")).schema["o"].dataType
-    no_id = [F.lit(None).cast(left.schema[c].dataType).alias(f"_id_{c}") for c in left_id]
-    ids = [F.col(c).alias(f"_id_{c}") for c in left_id]
-    rows = seen.select(
-        *keys, "_at", F.lit(0).alias("_side"), *no_id, "_seen", F.lit(None).cast(own_type).alias("_own")
-    ).unionByName(
-        left.select(
-            *keys,
-            F.col(left_at).alias("_at"),
-            F.lit(1).alias("_side"),
-            *ids,
-            F.lit(None).cast(found_type).alias("_seen"),
-            own.alias("_own"),
-        )
+    asked = left.select(
+        *keys,
+        F.col(left_at).alias("_at"),
+        *[F.col(c).alias(f"_id_{i}") for i, c in enumerate(left_id)],
+        F.struct(*[F.col(c) for c in left.columns]).alias("_own"),
     )
-    order = ["_at", "_side", "_seen", *[f"_id_{c}" for c in left_id]]
-    if plain:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        joined = rows.withColumn("_hit", F.last("_seen", ignorenulls=True).over(upto))
-    else:
-        joined = _last_seen(_blocks(rows, keys, order, group_rows), keys)
-    return joined.where("_side = 1").select(
+    seen, used = _keyed(seen, keys)
+    asked, _ = _keyed(asked, keys)
+    ids = [f"_id_{i}" for i in range(len(left_id))]
+    order = ["_at", "_side", "_seen", *ids]
+
+    def merged(seen: DataFrame, asked: DataFrame) -> DataFrame:
+        nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+        return seen.select(
+            *used, "_at", F.lit(0).alias("_side"), *[nothing(asked, c) for c in ids], "_seen", nothing(asked, "_own")
+        ).unionByName(asked.select(*used, "_at", F.lit(1).alias("_side"), *ids, nothing(seen, "_seen"), "_own"))
+
+    (calm_seen, calm_asked), (hot_seen, hot_asked) = _apart(used, group_rows, seen, asked)
+    hot_seen = hot_seen.groupBy(*used, "_at").agg(F.max("_seen").alias("_seen"))
+    window = Window.partitionBy(*used).orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    calm = merged(calm_seen, calm_asked).withColumn("_hit", F.last("_seen", ignorenulls=True).over(upto))
+    hot = _last_seen(_blocks(merged(hot_seen, hot_asked), used, order, group_rows), used)
+    found = lambda rows: rows.where("_side = 1").select(
         "_own.*", *[F.col(f"_hit.{n}").alias(c) for c, n in zip(take, names)]
     )
+    return found(calm).unionAll(found(hot))
 
 
 def _last_seen(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last ``_seen`` of the same key at or before each row, across blocks.
-
-    The key travels with the value: one from another key does not count.
-    """
-    key = F.struct(*_columns(keys)) if keys else F.struct(F.lit(0).alias("all"))
-    mark = F.when(F.col("_seen").isNotNull(), F.struct(key.alias("key"), F.col("_seen").alias("seen")))
-    upto, _ = _inside()
-    earlier, _ = _scan()
-    marked = blocks.withColumn("_mark", mark)
-    latest = marked.groupBy("_block").agg(F.max_by("_mark", F.when(mark.isNotNull(), F.col("_pos"))).alias("m"))
-    carry = latest.select("_block", F.last("m", ignorenulls=True).over(earlier).alias("_carry"))
-    hit = F.coalesce("_in", "_carry")
-    return (
-        marked.withColumn("_in", F.last("_mark", ignorenulls=True).over(upto))
-        .join(carry, "_block")
-        .withColumn("_hit", F.when(hit["key"].eqNullSafe(key), hit["seen"]))
-    )
+    """The last ``_seen`` of the key at or before each row, across blocks."""
+    upto, _ = _inside(keys)
+    earlier, _ = _scan(keys)
+    known = F.col("_seen").isNotNull()
+    latest = blocks.groupBy(*keys, "_block").agg(F.max_by("_seen", F.when(known, F.col("_pos"))).alias("m"))
+    carry = latest.select(*keys, "_block", F.last("m", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = blocks.withColumn("_in", F.last("_seen", ignorenulls=True).over(upto))
+    return _carried(inside, carry, keys).withColumn("_hit", F.coalesce("_in", "_carry"))
 
 
 def sessions(
@@ -523,20 +648,23 @@ def sessions(
     else:
         micros = F.unix_micros(at)
     slice_no = F.floor(micros / F.lit(gap_seconds * 1_000_000))
+    df, used = _keyed(df, keys)
     slices = (
         df.dropna(subset=[at])
-        .groupBy(*keys, slice_no.alias("_slice"))
+        .groupBy(*used, slice_no.alias("_slice"))
         .agg(F.min(at).alias("_from"), F.max(at).alias("_to"), *[F.sum(m).alias(n) for n, m in measures.items()])
     )
     group_rows = _limit(group_rows)
-    # There are no more slices than rows, so few rows settle it; else the slices themselves count.
-    plain = _fits(keys, group_rows, df) or _fits(keys, group_rows, slices)
-    linked = _neighbours(slices, keys, ["_slice"], {"_prev": look_back("_to")}, group_rows, plain)
+    (calm,), (hot,) = _apart(used, group_rows, slices)
+    before = {"_prev": look_back("_to")}
     apart = F.coalesce(F.col("_from") > F.col("_prev") + F.make_dt_interval(secs=F.lit(gap_seconds)), F.lit(True))
-    flagged = linked.withColumn("_new", apart.cast("long"))
-    numbered = _running_totals(flagged, keys, ["_slice"], ["_new"], group_rows, plain)
+    fresh = lambda rows: rows.withColumn("_new", apart.cast("long"))
+    order = ["_slice"]
+    plain = _calm_totals(fresh(_calm_neighbours(calm, used, order, before)), used, order, ["_new"])
+    linked = fresh(_hot_neighbours(hot, used, order, before, group_rows))
+    numbered = plain.unionAll(_hot_totals(linked, used, order, ["_new"], group_rows))
     return (
-        numbered.groupBy(*keys, "_sum__new")
+        numbered.groupBy(*used, "_sum__new")
         .agg(F.min("_from").alias("start"), F.max("_to").alias("last"), *[F.sum(n).alias(n) for n in measures])
-        .drop("_sum__new")
+        .select(*keys, "start", "last", *measures)
     )

@@ -18,6 +18,7 @@ from gridlark.operators.ordered import (
     range_sums,
     ranked,
     sessions,
+    wide_range_sums,
 )
 from gridlark.plans.query import Query
 from gridlark.sources.tables import table
@@ -209,6 +210,32 @@ JOIN_RANGE = """
 """
 
 
+def join_range_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Per part, the line items whose unit price is near its retail price; how near differs a lot.
+
+    The widths go from 0.02 to far beyond all prices.
+    """
+    reach = F.power(F.lit(1.5), F.col("p_size").cast("double") - 1) / 100
+    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice", reach.alias("reach"))
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    lines = table(spark, folder, "lineitem").select(unit.alias("unit"), "l_quantity")
+    rows = wide_range_sums(
+        parts, lines, [], ["p_partkey"], "unit", {"lines": F.lit(1), "quantity": cents("l_quantity")},
+        low=F.col("p_retailprice") - F.col("reach"), high=F.col("p_retailprice") + F.col("reach"), cell=1.0,
+    )
+    return rows.select("p_partkey", "lines", amount("quantity"))
+
+
+JOIN_RANGE_WIDE = """
+    WITH p AS (SELECT p_partkey, p_retailprice AS price, power(1.5::DOUBLE, p_size::DOUBLE - 1) / 100 AS reach FROM part)
+    SELECT p_partkey, count(unit) AS lines,
+           CAST(coalesce(sum(CAST(l_quantity AS DECIMAL(18,2))), 0) AS DOUBLE) AS quantity
+    FROM p LEFT JOIN (SELECT l_extendedprice / l_quantity AS unit, l_quantity FROM lineitem)
+         ON unit BETWEEN price - reach AND price + reach
+    GROUP BY p_partkey
+"""
+
+
 def join_interval(spark: SparkSession, folder: str) -> DataFrame:
     """Per purchase, the clicks of the same user in the six hours before it."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -275,6 +302,7 @@ QUERIES = {
     "win_session": Query(win_session, WIN_SESSION),
     "join_theta": Query(join_theta, JOIN_THETA),
     "join_range": Query(join_range, JOIN_RANGE),
+    "join_range_wide": Query(join_range_wide, JOIN_RANGE_WIDE),
     "join_interval": Query(join_interval, JOIN_INTERVAL),
     "join_asof": Query(join_asof, JOIN_ASOF),
     "agg_percentile": Query(agg_percentile, AGG_PERCENTILE),

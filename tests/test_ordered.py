@@ -178,3 +178,73 @@ def test_a_look_knows_its_reach():
     assert (ordered.look_back("v", 3).before, ordered.look_ahead("v", 2).after) == (3, 2)
     wide = ordered.look_around(F.sum("v"), -5, 1)
     assert (wide.before, wide.after) == (5, 1)
+
+
+def executed(df):
+    """The final plan of a frame after it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_one_hot_key_moves_no_other(data, rows):
+    """Only the hot key's rows go the second way; without a hot key that way is dropped."""
+    out = ordered.neighbours(data, ["k"], ["x", "id"], {"prev": ordered.look_back("v")}, group_rows=30)
+    (calm,), (hot,) = ordered._apart(["k"], 30, data)
+    assert {r.k for r in hot.collect()} == {"hot"} and {r.k for r in calm.collect()} == {"a", "b", "c", None}
+    assert "Union" in executed(out)
+    quiet = ordered.neighbours(data, ["k"], ["x", "id"], {"prev": ordered.look_back("v")}, group_rows=PLAIN)
+    plan = executed(quiet)
+    assert "Union" not in plan and plan.count("Window") < executed(out).count("Window")
+
+
+def test_parts_are_small_and_in_order(spark):
+    df = spark.range(20_000).selectExpr("id", "'k' AS k", "id * 7919 % 20011 AS x")
+    parts = ordered._parts(df, ["k"], ["x", "id"], 100).groupBy("_part").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    assert len(parts) > 100 and max(p.n for p in parts) < 2000
+    assert all(p.b < q.a for p, q in zip(parts, parts[1:]))
+
+
+def test_percentiles_of_a_hot_key_sort_few_rows(spark):
+    df = spark.range(50_000).selectExpr("id", "id % 2 AS k", "CAST(id * 7919 % 50021 AS DOUBLE) AS v")
+    out = ordered.percentiles(df, ["k"], "v", ["id"], {"p": 0.5, "q": 0.99}, group_rows=4000)
+    exact = {r.k: (r.p, r.q) for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("p"), F.percentile("v", 0.99).alias("q")).collect()}
+    assert {r.k: (r.p, r.q) for r in out.collect()} == exact
+    none = ordered.percentiles(df.limit(0), [], "v", ["id"], {"p": 0.5}, group_rows=10)
+    assert [tuple(r) for r in none.collect()] == [(None,)]
+    whole = ordered.percentiles(df, [], "v", ["id"], {"p": 0.25}, group_rows=4000)
+    assert whole.first().p == df.agg(F.percentile("v", 0.25)).first()[0]
+
+
+@pytest.mark.parametrize("limit", [PLAIN, SPLIT])
+@pytest.mark.parametrize("opened", [(False, False), (True, True)])
+def test_ranges_of_any_width(spark, limit, opened):
+    rng = random.Random(4)
+    points = [(rng.choice("ab"), rng.uniform(-50, 50), rng.randrange(9)) for _ in range(150)]
+    points += [("a", 3.0, 1)] * 30 + [(None, 1.0, 5), ("a", None, 5)]
+    ranges = [(i, rng.choice("abc"), rng.choice([3.0, -1.5, rng.uniform(-60, 60)]), rng.choice([0.0, 0.01, 0.3, 2.0, 40.0, 1e6])) for i in range(60)]
+    ranges += [(100, "a", None, 1.0), (101, "a", 1.0, -1.0), (102, None, 0.0, 9.0)]
+    left = spark.createDataFrame(ranges, "id INT, k STRING, at DOUBLE, w DOUBLE")
+    right = spark.createDataFrame(points, "k STRING, x DOUBLE, v INT")
+    out = ordered.wide_range_sums(
+        left, right, ["k"], ["id"], "x", {"n": F.lit(1), "s": F.col("v")}, F.col("at") - F.col("w"),
+        F.col("at") + F.col("w"), cell=0.25, open_low=opened[0], open_high=opened[1], group_rows=limit,
+    )
+    got = {r.id: (r.n, r.s) for r in out.collect()}
+    assert len(got) == len(ranges)
+    for i, k, at, w in ranges:
+        hits = [] if at is None else [
+            v for key, x, v in points
+            if key is not None and key == k and x is not None
+            and (x > at - w if opened[0] else x >= at - w) and (x < at + w if opened[1] else x <= at + w)
+        ]
+        assert got[i] == (len(hits), sum(hits))
+
+
+def test_covers_are_short(spark):
+    df = spark.createDataFrame([(a, b) for a in (-9, 0, 5) for b in (5, 6, 77, 10**9, 2**40)], "a LONG, b LONG")
+    for r in df.select("a", "b", ordered._cover(F.col("a"), F.col("b")).alias("c")).collect():
+        spans = sorted((s.slot << s.level, (s.slot + 1) << s.level) for s in r.c or [])
+        assert len(spans) <= 2 * max(1, (r.b - r.a).bit_length() + 1)
+        assert [x for x, _ in spans[1:]] == [y for _, y in spans[:-1]]
+        assert not spans or (spans[0][0], spans[-1][1]) == (r.a + 1, r.b)
+        assert spans or r.b <= r.a + 1

@@ -7,8 +7,9 @@ from compare import DATA
 from gridlark.plans import joblog_queries, ordered_queries, sqlset
 
 FOLDER = str(DATA / "sf0.001")
-# These are the evicted side of a retention, where fifty ids are broadcast.
-BOUNDED = {"jobs_evicted", "jobs_evicted_closed"}
+# The evicted side of a retention broadcasts fifty ids; ordered queries broadcast their hot keys, one for
+# each GROUP_ROWS rows at most, and splitters, four for each.
+BOUNDED = {"jobs_evicted", "jobs_evicted_closed", *ordered_queries.QUERIES}
 KEYS = [k for m in (sqlset, ordered_queries, joblog_queries) for k in m.QUERIES if "stream" not in k]
 
 
@@ -57,3 +58,17 @@ def test_sorted_limits_keep_few_rows(spark):
 @pytest.mark.parametrize("key", list(ordered_queries.QUERIES))
 def test_ordered_queries_need_no_single_task(large, key):
     assert "SinglePartition" not in plan(large, key)
+
+
+@pytest.mark.parametrize("key", list(ordered_queries.QUERIES))
+def test_building_an_ordered_query_runs_no_job(spark, key):
+    """Reading the schemas of the given files is the only job there is."""
+    spark.sparkContext.setJobGroup(f"explain-{key}", "plans are built without jobs")
+    try:
+        frame = queries()[key](spark, FOLDER)
+        frame._jdf.queryExecution().executedPlan()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"explain-{key}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    scanned = len({line for line in frame.inputFiles()})
+    assert len(jobs) <= 2 and scanned
