@@ -8,7 +8,8 @@ The matrix of documents by shingles is never multiplied whole:
    a set with fewer shared ones than the smallest partner needs cannot link and is dropped. Among
    the rest the same is done once more with whole sets, of which three quarters must be shared.
 3. Among the rest each column (shingle) links its sets with one of them, the hub: first the one that
-   shares most of its shingles with others. These pairs are counted exactly. Columns whose sets are then in one component are done.
+   shares most of its shingles with others. These pairs are counted exactly. Columns whose sets are then
+   in one component are done, and so are sets that have fewer open columns left than a link needs.
 4. The sets of the columns that remain meet by hub, in blocks. The blocks' incidence matrix times its
    transpose gives all overlaps of two blocks at once; pairs below the bound for their sizes are
    discarded, and only the components that links bring together leave the task.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.components import components
 from gridlark.llm.hashing import hashes, mixed, slices, text_bytes
+from gridlark.llm.names import fresh
 from gridlark.sources.scratch import scratch_path
 
 WIDTH = 5
@@ -41,9 +43,13 @@ PERCENT = 75
 # Shared shingles asked of two prefixes, as a part of the set.
 EXTRA = 0.1
 CHUNK_BYTES = 4 << 20
+# Entries that a task holds at once; they take some 50 bytes each.
+FLUSH = 2_000_000
 # Sets of a block and columns of a slice in step 4: a slice of two blocks takes 32 MB.
 BLOCK = 512
 COLUMNS = 8192
+# Times that columns and sets are looked through for open ones before step 4.
+ROUNDS = 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -120,11 +126,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, found, sizes in _chunks(batches):
-        mark, mark2 = set_marks(found, sizes)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes), pa.array(mark), pa.array(mark2)], names=["doc_id", "n_shingles", "mark", "mark2"]
-        )
+    for batch in batches:
+        at = 0
+        for ids, found, sizes in _chunks([batch]):
+            mark, mark2 = set_marks(found, sizes)
+            texts = batch.column(2).slice(at, len(ids))
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [ids, texts, pa.array(sizes), pa.array(mark), pa.array(mark2)],
+                names=["doc_id", "text_hash", "n_shingles", "mark", "mark2"],
+            )
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,20 +185,25 @@ def _set_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, n
 def _blocks(blocks: int, chunks, part):
     """Entries of sets by block of the hash space; ``part`` chooses a set's entries.
 
-    What a task sees twice is shared for certain: it counts at once and goes out once, without an
-    owner. So a column sends at most one entry per task, however many documents have it.
+    What a task sees twice among ``FLUSH`` entries is shared for certain: it counts at once and goes
+    out once, without an owner. So a column sends at most one entry per flush, however many documents
+    have it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, owners = [], []
+        seen, owners, held = [], [], 0
         for _, found, sizes in chunks(batches):
             values, owner = part(found, sizes)
             seen.append(values)
             owners.append(short_mark(set_marks(found, sizes)[0])[owner])
-        if not seen:
-            return
-        value, owner = np.concatenate(seen), np.concatenate(owners)
-        del seen, owners
+            held += len(values)
+            if held >= FLUSH:
+                yield flush(np.concatenate(seen), np.concatenate(owners))
+                seen, owners, held = [], [], 0
+        if held:
+            yield flush(np.concatenate(seen), np.concatenate(owners))
+
+    def flush(value: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((owner, value))
         value, owner = value[order], owner[order]
         # Copies of a set are one set.
@@ -207,7 +223,7 @@ def _blocks(blocks: int, chunks, part):
         numbers = [int(block[a]) for a in at]
         entries = [_packed(value[a : a + n], owner[a : a + n], blocks) for a, n in zip(at, lengths)]
         counted = np.stack([who, counts]).tobytes()
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array([*numbers, int(who[0]) % blocks if len(who) else 0], pa.int32()),
                 pa.array([*([True] * len(entries)), False]),
@@ -385,6 +401,19 @@ def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _still_open(entries: DataFrame) -> DataFrame:
+    """Prefix entries that may yet link two components: h, id, n, hub, component.
+
+    Columns of one component are done. A link between components needs as many shared columns as the
+    smallest partner's bound, and all of them are open; a set with fewer has no such link.
+    """
+    columns = entries.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = entries.join(columns.filter("low != high").select("h"), "h", "left_semi")
+    bound = F.greatest(F.lit(1), F.floor(F.ceil(F.max("n") * PERCENT / 100) * EXTRA))
+    enough = open_.groupBy("id").agg((F.count(F.lit(1)) >= bound).alias("enough")).filter("enough")
+    return open_.join(enough.select("id"), "id", "left_semi")
+
+
 def _links_of(sets: DataFrame, base: str) -> DataFrame:
     """Enough links between the sets to connect all that are connected: rows of a, b."""
     entries = _stored(sets.mapInArrow(_entries, "h long, id long, n long, share float"), f"{base}/entries")
@@ -400,56 +429,79 @@ def _links_of(sets: DataFrame, base: str) -> DataFrame:
     pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
     links = _stored(_verified(pairs, sets), f"{base}/links")
     named = components(links).withColumnRenamed("node", "id")
-    labelled = entries.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left = labelled.join(open_.filter("low != high").select("h"), "h", "left_semi")
+    left = entries.join(named, "id", "left").select(
+        "h", "id", "n", "hub", F.coalesce("component", "id").alias("component")
+    )
+    for number in range(ROUNDS):
+        left = _stored(_still_open(left), f"{base}/open-{number}")
     return links.union(_stored(_across(left, sets), f"{base}/across"))
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _components_of(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, component_id, head.
+
+    Documents of one component share ``head``, the doc_id and text of its first one, which tells
+    components apart where doc_ids repeat; it is null for documents without words or id.
+    """
     spark = docs.sparkSession
     base = scratch_path(spark, "shingles")
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     blocks = 2 * max(1, rows.rdd.getNumPartitions())
     known = _stored(
-        rows.mapInArrow(_sizes, "doc_id long, n_shingles long, mark long, mark2 long"), f"{base}/sizes"
+        rows.mapInArrow(_sizes, "doc_id long, text_hash long, n_shingles long, mark long, mark2 long"), f"{base}/sizes"
     )
-    classes = (
+    # Documents of equal sets are a class, numbered; its first document stands for it.
+    short = F.greatest(F.col("mark").bitwiseAND((1 << 8 * OWNER_BYTES) - 1), F.lit(1))
+    classes = _stored(
         known.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("mark", "mark2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"))
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        .select("*", short.alias("short"), F.monotonically_increasing_id().alias("id")),
+        f"{base}/classes",
     )
-    short = F.greatest(F.col("mark").bitwiseAND((1 << 8 * OWNER_BYTES) - 1), F.lit(1))
-    classes = classes.withColumn("short", short)
     smallest = F.ceil(F.col("n_shingles") * PERCENT / 100)
     some = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
     alive = classes.join(_shared_counts(rows, blocks, _chunks, _prefix), "short").filter(F.col("shared") >= some)
-    alive = _stored(alive.select("id", "short"), f"{base}/alive")
-    texts = rows.join(alive.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    alive = _stored(alive.select("id", "short", "first.doc_id", "first.text_hash"), f"{base}/alive")
+    texts = rows.join(alive.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).select("id", "text")
     found = _stored(texts.mapInArrow(_sets, "id long, n long, set binary"), f"{base}/found")
     close = alive.join(_shared_counts(found, blocks, _set_chunks, _whole), "short").select("id", "shared")
     sets = found.join(close, "id").filter((F.col("n") > 0) & (F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)))
-    sets = _stored(sets.select("id", "n", "set", "shared"), f"{base}/sets")
-    named = components(_links_of(sets, base))
-    classes = classes.join(named.withColumnRenamed("node", "id"), "id", "left").select(
-        "mark", "mark2", F.coalesce("component", "id").alias("component")
+    # Rows alike in all have been read as often as they occur; a class has one set.
+    sets = sets.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "set", "shared")])
+    sets = _stored(sets, f"{base}/sets")
+    named = _stored(components(_links_of(sets, base)).withColumnRenamed("node", "id"), f"{base}/named")
+    linked = classes.join(named, "id").groupBy("component").agg(F.min("first").alias("first_of_all"))
+    named = named.join(linked, "component").drop("component")
+    classes = classes.join(named, "id", "left").select(
+        "mark", "mark2", F.coalesce("first_of_all", "first").alias("head")
     )
     return known.join(classes, ["mark", "mark2"], "left").select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-        .when(F.col("doc_id").isNotNull(), F.col("component"))
+        .when(F.col("doc_id").isNotNull(), F.col("head.doc_id"))
         .alias("component_id"),
+        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("head")).alias("head"),
     )
 
 
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return _components_of(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of every component, with the input's columns.
+    """One document of every component, with the input's columns: one with the smallest doc_id.
 
-    Rows without doc_id stay, as nothing links them.
+    Where rows share a doc_id, components are told apart by their texts, so none is lost. Rows without
+    doc_id stay, as nothing links them; rows without words stay once for each doc_id and text.
     """
-    kept = similar_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull())
-    first = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    (text_hash,) = fresh(docs.columns, "text_hash")
+    own = F.struct("doc_id", "text_hash")
+    first = _components_of(docs).filter("doc_id IS NOT NULL").filter(F.coalesce(F.col("head") == own, F.lit(True)))
+    kept = first.select("doc_id", F.col("text_hash").alias(text_hash)).distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(text_hash, F.xxhash64("text"))
+    found = named.join(kept, ["doc_id", text_hash], "left_semi").dropDuplicates(["doc_id", text_hash])
+    return found.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
