@@ -100,7 +100,9 @@ def naive_links(rows):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
-def test_links(spark):
+@pytest.mark.parametrize("flush", [2_000_000, 60])
+def test_links(spark, monkeypatch, flush):
+    monkeypatch.setattr(shingle_join, "FLUSH", flush)
     base = prose(300, 21).split()
     texts = []
     for i in range(25):
@@ -140,6 +142,34 @@ def test_blocks_of_sets():
     assert got == label
 
 
+def test_links_past_a_common_passage(spark, monkeypatch):
+    """Pairs that share a passage with many texts, so that columns lead to another hub first."""
+    passage = prose(60, 77)
+    texts = []
+    for i in range(12):
+        own = prose(90, 500 + i).split()
+        other = list(own)
+        other[i % 20] = "changed"
+        texts += [" ".join(own) + " " + passage, passage + " " + " ".join(other), " ".join(own[:5]) + " " + passage]
+    docs = documents(spark, texts, 10).repartition(3)
+    for block in (512, 3):
+        monkeypatch.setattr(shingle_join, "BLOCK", block)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similar_documents(docs).collect()}
+        assert got == naive_links(enumerate(texts, 10))
+
+
+def test_repeated_doc_ids_keep_all_texts(spark):
+    """Rows (1, a), (1, b), (2, a) with unlinked a and b: one row of each text stays."""
+    a, b = prose(50, 61), prose(50, 62)
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (2, a), (1, b), (3, near), (1, "few words"), (5, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = sorted((r.doc_id, r.text) for r in shingle_join.one_of_each(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (1, "few words")])
+    labels = sorted((r.doc_id, r.component_id) for r in shingle_join.similar_documents(docs).collect())
+    assert labels == [(1, 1)] * 4 + [(2, 1), (3, 1), (5, 1)]
+
+
 def test_one_of_each(spark):
     same = prose(50, 41)
     rows = [(3, same, "en", "s", 1), (2, same, "en", "t", 2), (2, same, "en", "t", 2), (None, same, "en", "s", 3), (4, "", "en", "s", 0)]
