@@ -132,7 +132,9 @@ def exact_integers(df: DataFrame) -> DataFrame:
     """Turn integers of types that can exceed the client's range into text, at any depth.
 
     A column has one type, so the decision is made per type: LONG, and DECIMAL of scale 0 with more
-    than 15 digits.
+    than 15 digits. A client that parses JSON decides per value and leaves small ones numbers; here a
+    small LONG is text as well. That is a deliberate deviation: ``unsafe_integer`` tells the values that
+    need it.
     """
     return _rewrite_all(df, _exact_leaf)
 

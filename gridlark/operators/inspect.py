@@ -36,29 +36,29 @@ UNORDERED = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.CalendarInte
 # Columns -------------------------------------------------------------------------------------
 
 
-def _leaves(schema: T.StructType, parent: Column | None = None, prefix: str = "") -> Iterator[tuple]:
+def schema_leaves(schema: T.StructType, parent: Column | None = None, prefix: str = "") -> Iterator[tuple]:
     """Every field, nested ones after their parent: path, field, expression."""
     for field in schema.fields:
         col = F.col(quoted(field.name)) if parent is None else parent.getField(field.name)
         path = prefix + field.name
         yield path, field, col
         if isinstance(field.dataType, T.StructType):
-            yield from _leaves(field.dataType, col, path + ".")
+            yield from schema_leaves(field.dataType, col, path + ".")
 
 
-def _is_float(dtype: T.DataType) -> bool:
+def is_float(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DoubleType, T.FloatType))
 
 
 def _nans(col: Column, dtype: T.DataType) -> Column:
-    return F.count_if(F.isnan(col)) if _is_float(dtype) else F.lit(None).cast("bigint")
+    return F.count_if(F.isnan(col)) if is_float(dtype) else F.lit(None).cast("bigint")
 
 
 def _bound(col: Column, dtype: T.DataType, pick) -> Column:
     """Lowest or highest value as text. NaN is no bound."""
     if isinstance(dtype, UNORDERED):
         return F.lit(None).cast("string")
-    if _is_float(dtype):
+    if is_float(dtype):
         col = F.when(~F.isnan(col), col)
     found = pick(col)
     return binary_text(found) if isinstance(dtype, T.BinaryType) else found.cast("string")
@@ -69,7 +69,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 
     All fields share one scan and one aggregation. ``value_count`` counts nulls and NaNs too.
     """
-    fields = list(_leaves(df.schema))
+    fields = list(schema_leaves(df.schema))
     totals = [F.count(F.lit(1)).alias("rows")]
     for i, (_, field, col) in enumerate(fields):
         totals += [
@@ -130,31 +130,53 @@ def grid_columns(df: DataFrame, order_by: Sequence[str | Column] | None = None)
 # Snapshots -----------------------------------------------------------------------------------
 
 
+# Grains and the span of time whose commits one task orders: at most some million of them.
+SPANS = {
+    "microsecond": "second", "millisecond": "hour", "second": "month", "minute": "year", "hour": "year",
+}
+
+
 def snapshot_log(df: DataFrame, at: str, grain: str = "day") -> DataFrame:
     """A commit log from the times of rows: one snapshot per day (or other grain) that has rows.
 
-    Rows are counted per commit first; the running total and the parent are taken over that small
-    log, one row per commit.
+    Rows are counted per commit first. At grains below a day running totals and parents are taken per
+    span of time and carried from span to span, so that one task orders one row per span; days and
+    longer ones are so few that one task orders them all.
     """
     start = F.date_trunc(grain, F.col(at))
     commits = df.where(F.col(at).isNotNull()).groupBy(start.alias("_start")).agg(
         F.count(F.lit(1)).alias("added"), F.max(at).alias("committed_at")
     )
-    in_order = Window.orderBy("_start")
-    # Seconds of the wall clock, so the id does not depend on the session's zone.
+    # Seconds of the wall clock, so the id does not depend on the session's zone; finer grains count
+    # their own units.
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    number = F.timestamp_diff("SECOND", epoch, F.col("_start").cast("timestamp_ntz"))
+    unit = grain.upper() if grain in ("microsecond", "millisecond") else "SECOND"
+    number = F.timestamp_diff(unit, epoch, F.col("_start").cast("timestamp_ntz"))
+    span = F.date_trunc(SPANS[grain], F.col("_start")) if grain in SPANS else F.lit(0)
+    commits = commits.withColumns({"_number": number, "_span": span})
+    if grain in SPANS:
+        spans = commits.groupBy("_span").agg(F.sum("added").alias("_all"), F.max("_number").alias("_last"))
+        earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        carry = spans.select(
+            F.col("_span").alias("_of"),
+            F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"),
+            F.max("_last").over(earlier).alias("_previous"),
+        )
+        commits = commits.join(carry, F.col("_span") == F.col("_of"))
+    else:
+        commits = commits.withColumns({"_before": F.lit(0), "_previous": F.lit(None).cast("long")})
+    in_order = Window.partitionBy("_span").orderBy("_start")
     upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summary = F.create_map(
         F.lit("added-records"),
         F.col("added").cast("string"),
         F.lit("total-records"),
-        F.sum("added").over(upto).cast("string"),
+        (F.col("_before") + F.sum("added").over(upto)).cast("string"),
     )
     return commits.select(
         "committed_at",
-        number.alias("snapshot_id"),
-        F.lag(number).over(in_order).alias("parent_id"),
+        F.col("_number").alias("snapshot_id"),
+        F.coalesce(F.lag("_number").over(in_order), F.col("_previous")).alias("parent_id"),
         F.lit("append").alias("operation"),
         summary.alias("summary"),
     )
@@ -314,7 +336,7 @@ def with_nan_counts(inventory: DataFrame, df: DataFrame, paths: Sequence[str] |
 
     Reads those columns alone, and of the files ``paths`` alone, if given (paths as listed).
     """
-    floats = [f for f in df.schema.fields if _is_float(f.dataType)]
+    floats = [f for f in df.schema.fields if is_float(f.dataType)]
     if not floats:
         return inventory
     path = _decoded(F.col("_metadata.file_path"))

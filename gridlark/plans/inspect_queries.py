@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.operators.inspect import (
     column_profile,
@@ -11,11 +12,13 @@ from gridlark.operators.inspect import (
     footer_inventory,
     parquet_files,
     partitions,
+    schema_leaves,
     snapshot_log,
     snapshots,
     table_metrics,
 )
 from gridlark.operators.overview import table_overview
+from gridlark.operators.sketches import DISTINCT_ERROR, RANK_ERROR, column_sketches, merged_sketches, sketched_profile
 from gridlark.plans.load_queries import fresh_table
 from gridlark.plans.query import Query
 from gridlark.sources.footers import file_footers, list_files
@@ -24,17 +27,21 @@ from gridlark.sources.seed import seed_table
 from gridlark.sources.tables import table
 
 
-def holed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with nulls, NaN and a struct."""
+def _holed() -> list:
     price = F.when(F.col("o_orderkey") % 7 == 0, float("nan")).otherwise(F.col("o_totalprice"))
-    return table(spark, folder, "orders").select(
-        "o_orderkey",
+    return [
+        F.col("o_orderkey"),
         F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status"),
         price.alias("price"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.struct("o_custkey", F.col("o_orderpriority").alias("rank"))).alias(
             "customer"
         ),
-    )
+    ]
+
+
+def holed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with nulls, NaN and a struct."""
+    return table(spark, folder, "orders").select(*_holed())
 
 
 def profile_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +75,57 @@ PROFILE_ORDERS = " UNION ALL ".join(
 )
 
 
+def profile_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """A profile of all orders made of the stored sketches of each year, without reading rows again.
+
+    Counts and bounds are exact. Estimates are held against the rows: distinct counts, and the ranks of
+    medians, within the errors that the sketches keep.
+    """
+    path = scratch_path(spark, "sketches")
+    orders = holed_orders(spark, folder)
+    dated = table(spark, folder, "orders").select(F.year("o_orderdate").alias("yr"), F.struct(*_holed()).alias("o"))
+    column_sketches(dated.select("o.*", "yr"), ["yr"]).write.parquet(path)
+    merged = merged_sketches(spark.read.parquet(path))
+    told = sketched_profile(merged, orders.schema)
+    # One number per estimate; the rows are read once to judge all of them.
+    leaves = [(i, col, field.dataType) for i, (_, field, col) in enumerate(schema_leaves(orders.schema))]
+    numbers = [(i, F.when(~F.isnan(col.cast("double")), col.cast("double"))) for i, col, t in leaves if isinstance(t, T.NumericType)]
+    middle = {i: told.where(F.col("pos") == i).select(F.col("quantiles")[0]).scalar() for i, _ in numbers}
+    judged = orders.select(
+        *[col.alias(f"v{i}") for i, col, t in leaves if not isinstance(t, T.StructType)],
+        *[c.alias(f"n{i}") for i, c in numbers],
+        *[middle[i].alias(f"m{i}") for i, _ in numbers],
+    ).agg(
+        *[F.countDistinct(f"v{i}").alias(f"d{i}") for i, _, t in leaves if not isinstance(t, T.StructType)],
+        *[F.avg((F.col(f"n{i}") < F.col(f"m{i}")).cast("int")).alias(f"below{i}") for i, _ in numbers],
+        *[F.avg((F.col(f"n{i}") <= F.col(f"m{i}")).cast("int")).alias(f"upto{i}") for i, _ in numbers],
+    )
+    exact = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("of"),
+                (F.col(f"d{i}") if not isinstance(t, T.StructType) else F.lit(None).cast("long")).alias("distinct"),
+                ((F.col(f"below{i}") <= 0.5 + RANK_ERROR) & (F.col(f"upto{i}") >= 0.5 - RANK_ERROR)
+                 if i in middle else F.lit(None).cast("boolean")).alias("close_median"),
+            )
+            for i, _, t in leaves
+        ]
+    )
+    close = F.abs(F.col("distinct_count") - F.col("distinct")) <= DISTINCT_ERROR * F.col("distinct") + 1
+    return told.join(judged.select(F.inline(exact)), F.col("pos") == F.col("of")).select(
+        "path", "type", "value_count", "null_count", "nan_count", "lower", "upper",
+        close.alias("close_distinct"), "close_median",
+    )
+
+
+PROFILE_MERGED = f"""
+    SELECT path, type, value_count, null_count, nan_count, lower, upper,
+           CASE WHEN path <> 'customer' THEN TRUE END AS close_distinct,
+           CASE WHEN type IN ('bigint', 'double') THEN TRUE END AS close_median
+    FROM ({PROFILE_ORDERS})
+"""
+
+
 def daily_log(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_log(table(spark, folder, "events"), "ts")
 
@@ -251,6 +309,7 @@ OVERVIEW_ORDERS = f"""
 QUERIES = {
     "overview_orders": Query(overview_orders, OVERVIEW_ORDERS),
     "profile_orders": Query(profile_orders, PROFILE_ORDERS),
+    "profile_merged": Query(profile_merged, PROFILE_MERGED),
     "snapshots_events": Query(snapshots_events, SNAPSHOTS),
     "files_orders": Query(files_orders, FILES_ORDERS),
     "footers_lineitem": Query(footers_lineitem, FOOTERS_LINEITEM),

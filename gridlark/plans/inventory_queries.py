@@ -57,6 +57,32 @@ def searched(text: str) -> Query:
     return Query(lambda spark, folder: search(inventory(spark, folder), text), search_sql(text))
 
 
+def marked_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """The same items; some names hold an underscore, some a percent sign."""
+    size, name = F.col("size"), F.col("name")
+    part = table(spark, folder, "part").select(
+        F.col("p_brand").alias("catalog"), F.col("p_type").alias("namespace"), F.col("p_name").alias("name"),
+        F.col("p_size").alias("size"),
+    )
+    marked = F.when(size % 7 == 0, F.replace(name, F.lit(" "), F.lit("_"))).when(size % 11 == 0, F.concat(name, F.lit("%")))
+    kinds = F.when(size % 5 == 0, F.array(F.lit("table"), F.lit("view"))).otherwise(F.array(F.lit("table")))
+    return part.select(
+        "catalog", "namespace", F.coalesce(marked, name).alias("name"), F.explode(kinds).alias("type"),
+        F.lit(False).alias("is_temporary"),
+    )
+
+
+def searched_literally(text: str) -> Query:
+    """Signs that are wildcards elsewhere stand for themselves."""
+    marked = """
+        WITH marked AS (
+            SELECT * REPLACE (CASE WHEN p_size % 7 = 0 THEN replace(p_name, ' ', '_')
+                                   WHEN p_size % 11 = 0 THEN p_name || '%' ELSE p_name END AS p_name) FROM part)
+    """
+    sql = marked + search_sql(text).replace("FROM part", "FROM marked")
+    return Query(lambda spark, folder: search(marked_inventory(spark, folder), text), sql)
+
+
 def names(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     marked = F.concat("p_name", F.lit("\n"))
@@ -132,7 +158,8 @@ QUERIES = {
     ),
     "inv_search": searched("o"),
     "inv_search_catalogs": searched("bRaNd#1"),
-    "inv_search_wildcard": searched("%"),
+    "inv_search_wildcard": searched_literally("%"),
+    "inv_search_underscore": searched_literally("_"),
     "inv_search_all": searched(""),
     "inv_loaded": Query(inv_loaded, INV_LOADED),
     "valid_names": Query(

@@ -8,6 +8,7 @@ from gridlark.plans import (
     joblog_queries,
     load_queries,
     ordered_queries,
+    recursive_queries,
     result_queries,
     sqlset,
 )
@@ -16,6 +17,7 @@ from gridlark.plans.query import Query
 QUERIES: dict[str, Query] = {
     **sqlset.QUERIES,
     **ordered_queries.QUERIES,
+    **recursive_queries.QUERIES,
     **result_queries.QUERIES,
     **inventory_queries.QUERIES,
     **inspect_queries.QUERIES,

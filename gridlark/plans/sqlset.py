@@ -269,19 +269,22 @@ AGGREGATES = {
         UNION ALL SELECT p_partkey, 'size', CAST(p_size AS DOUBLE) FROM part
         """,
     ),
+    # Estimates next to what they estimate: distinct parts, and how many lines lie below the median.
     "agg_approx": sql_query(
         """
+        WITH estimates AS (
+            SELECT l_returnflag AS flag, approx_count_distinct(l_partkey, 0.02) AS parts,
+                   percentile_approx(l_quantity, 0.5, 1000) AS middle
+            FROM lineitem GROUP BY l_returnflag
+        )
         SELECT l_returnflag, count(*) AS line_items,
-               abs(approx_count_distinct(l_partkey, 0.02) - (SELECT count(*) FROM part))
-                   <= 0.1 * (SELECT count(*) FROM part) AS close_count,
-               abs(percentile_approx(l_quantity, 0.5, 10000) - 25.5) <= 1.5 AS close_median
-        FROM lineitem GROUP BY l_returnflag
+               abs(max(parts) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS close_count,
+               count_if(l_quantity < middle) <= 0.501 * count(*) AND count_if(l_quantity <= middle) >= 0.499 * count(*)
+                   AS close_median
+        FROM lineitem JOIN estimates ON l_returnflag = flag GROUP BY l_returnflag
         """,
         """
-        SELECT l_returnflag, count(*) AS line_items,
-               abs(count(DISTINCT l_partkey) - (SELECT count(*) FROM part)) <= 0.1 * (SELECT count(*) FROM part)
-                   AS close_count,
-               abs(quantile_disc(l_quantity, 0.5) - 25.5) <= 1.5 AS close_median
+        SELECT l_returnflag, count(*) AS line_items, TRUE AS close_count, TRUE AS close_median
         FROM lineitem GROUP BY l_returnflag
         """,
     ),
