@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,13 +27,9 @@ KINDS = ("assign", "access", "hex", "literal")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
-def _either_case(word: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
-
-
 ASSIGN = re.compile(
-    "(%s|%s_?%s)" % ("|".join(map(_either_case, NAMES[:4])), _either_case("api"), _either_case("key"))
-    + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.ASCII | re.IGNORECASE,
 )
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
@@ -57,8 +55,10 @@ SENSITIVE_HINT = re.compile("|".join(("pass", "pwd", "secret", "token", "key", "
 LEAST_SCORE = 0.5
 PLACEHOLDERS = {"changeme", "example", "placeholder", "redacted", "undefined", "your_password", "password"}
 
+# A quote starts a string if an unescaped one of its kind follows on the line; see ``_tokens``.
 TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    r"""(?P<quote>["'])
+      | (?P<string>`[^`\n]*`)
       | (?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
       | (?P<set>:=|=>|={1,3}|:)
       | (?P<join>\+|\|\|)
@@ -66,6 +66,31 @@ TOKEN = re.compile(
       | (?P<end>[\n,;(){}\[\]<>])""",
     re.VERBOSE | re.ASCII,
 )
+ESCAPE_OR_QUOTE = re.compile(r"""\\[^\n]|["'\n]""")
+
+
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all tokens.
+
+    One pass marks the quotes that are not escaped and the line ends. Whether a quote is escaped does
+    not depend on where a string starts, as no string starts within a run of backslashes. So every
+    string's end is looked up, not searched for, and the text is read twice in all.
+    """
+    open_quotes: dict[str, list[int]] = {'"': [], "'": [], "\n": []}
+    for m in ESCAPE_OR_QUOTE.finditer(text):
+        if len(m[0]) == 1:
+            open_quotes[m[0]].append(m.start())
+    lines, tokens, at = open_quotes["\n"], [], 0
+    while m := TOKEN.search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.end()
+        if kind == "quote":
+            same = open_quotes[text[start]]
+            close, line = bisect_right(same, start), bisect_right(lines, start)
+            if close == len(same) or (line < len(lines) and lines[line] < same[close]):
+                continue
+            kind, at = "string", same[close] + 1
+        tokens.append((kind, start, at))
+    return tokens
 
 
 def _flat(name: str) -> str:
@@ -88,7 +113,7 @@ def literal_weight(text: str) -> float:
 
 def _statements(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """Target names with the parts of their values: (kind, start, end); kind is string, bare or name."""
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+    tokens = _tokens(text)
     i = 0
     while i + 2 < len(tokens):
         kind, start, end = tokens[i]
@@ -114,29 +139,37 @@ def _statements(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def assigned_literals(text: str) -> list[tuple[int, int, str, float]]:
-    """Literals under sensitive names: start, end, name, score. Names are followed to their literals."""
+    """Literals under sensitive names: start, end, name, score. Names are followed to their literals.
+
+    Of several names that reach a literal the one that says most counts, the first of equals. Names are
+    taken in that order, so what one has reached is settled and each name is followed once.
+    """
     values: dict[str, list[tuple[str, int, int]]] = {}
     wanted = []
     for target, parts in _statements(text):
         values.setdefault(target, []).extend(parts)
         if weight := name_weight(target):
             wanted.append((target, weight, parts))
-    found = {}
-    for target, weight, parts in wanted:
-        seen, todo = {target}, list(parts)
+    found: dict[tuple[int, int], tuple[str, float]] = {}
+    followed, judged = set(), set()
+    for target, weight, parts in sorted(wanted, key=lambda w: -w[1]):
+        todo = list(parts)
         while todo:
             kind, a, b = todo.pop()
+            if (a, b) in judged:
+                continue
+            judged.add((a, b))
             part = text[a:b]
             if kind == "name" and part in values:
-                if part not in seen:
-                    seen.add(part)
+                if part not in followed:
+                    followed.add(part)
                     todo.extend(values[part])
                 continue
             # A bare word is a literal only if it does not read as a word.
-            score = weight * literal_weight(part) * (1.0 if kind == "string" else 0.8)
             if kind == "name" and not re.search("[0-9]", part):
                 continue
-            if score >= LEAST_SCORE and score > found.get((a, b), ("", 0.0))[1]:
+            score = weight * literal_weight(part) * (1.0 if kind == "string" else 0.8)
+            if score >= LEAST_SCORE:
                 found[a, b] = (target, score)
     return [(a, b, name, score) for (a, b), (name, score) in found.items()]
 
@@ -153,9 +186,11 @@ def findings(text: str) -> list[dict]:
         spans.extend((m.start(), 1, m.end(), None, 1.0) for m in ACCESS.finditer(text))
     spans.extend((m.start(), 2, m.end(), None, 1.0) for m in HEX.finditer(text))
     if ("=" in text or ":" in text) and SENSITIVE_HINT.search(low):
-        base = list(spans)
+        base = sorted(spans, key=lambda s: s[0])
+        starts, ends = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
         for a, b, name, score in assigned_literals(text):
-            if not any(a < s[2] and s[0] < b for s in base):
+            before = bisect_left(starts, b)
+            if not before or ends[before - 1] <= a:
                 spans.append((a, 3, b, name, score))
     return [
         {"kind": KINDS[k], "start": a, "end": b, "name": name, "score": score}

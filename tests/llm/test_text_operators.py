@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -221,6 +222,57 @@ def test_secrets(spark):
     assert secret_scan.report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain_literals(text):
+    """Literals of sensitive names by walking every value of every name again and again."""
+    pairs = list(secret_scan._statements(text))
+    best = {}
+    for target, parts in pairs:
+        weight = secret_scan.name_weight(target)
+        todo, seen = (list(parts), {target}) if weight else ([], set())
+        while todo:
+            kind, a, b = todo.pop(0)
+            part = text[a:b]
+            if kind == "name" and any(t == part for t, _ in pairs):
+                if part not in seen:
+                    seen.add(part)
+                    todo += [p for t, ps in pairs if t == part for p in ps]
+            elif kind != "name" or re.search("[0-9]", part):
+                score = weight * secret_scan.literal_weight(part) * (1.0 if kind == "string" else 0.8)
+                if score >= secret_scan.LEAST_SCORE and score > best.get((a, b), (0.0,))[0]:
+                    best[a, b] = (score, target)
+    return sorted((a, b, name, score) for (a, b), (score, name) in best.items())
+
+
+def test_literals_against_a_plain_walk():
+    r = random.Random(6)
+    pieces = [
+        "token", "x", "k", "secret_key", "my.password", "=", ":", ":=", "+", "||", '"', "'", "\\", "\\\"", "\n", " ", "`", ",", "{", "}",
+        '"aB3dE5fG7hJ9"', "'zz11YY22xx33'", "Aa1Bb2Cc3Dd4", "k1",
+    ]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 40)))
+        got = sorted(secret_scan.assigned_literals(text))
+        assert got == plain_literals(text), text
+        found += len(got)
+        for kind, a, b in secret_scan._tokens(text):
+            if kind == "string":
+                assert re.fullmatch(r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""", text[a:b]), text
+    assert found > 500
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{\\"token\\":\\"v\\"}, ' * 150_000, 'token = k\nk = "aB3dE5fG7hJ9kL"\n' * 30_000, '"token' * 200_000, "'token\\" * 200_000,
+     'token="aB3dE5fG7hJ9kL" ' * 30_000, "token" + " " * 1_000_000],
+    ids=range(6),
+)
+def test_long_lines_are_scanned_in_seconds(text):
+    start = time.monotonic()
+    secret_scan.findings(text)
+    assert time.monotonic() - start < 60
+
+
 def test_constants_are_followed():
     (found,) = secret_scan.findings('a = "Zq8$x1-9Lp0a"\nb = a\nc = b\nmy_password := c\nprint(a)\n')
     assert (found["kind"], found["name"], found["start"]) == ("literal", "my_password", 5)
