@@ -20,8 +20,10 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 MOST_PAGES = 300
 LONGEST_PAGE = 200_000
+DEEPEST = 200
 BUILT_PAGES = 500
 BATCH_PAGES = 64
 
@@ -51,7 +54,9 @@ RAW = frozenset("script style textarea title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table tr select body html article section div main aside nav".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z]))")
+NAME_END = re.compile(r"[\s/>]")
+CLOSER = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 # Stands among the name parts of an element that is not shown; no class or id gives it.
@@ -59,13 +64,89 @@ UNSEEN = "!unseen"
 NAME = re.compile(r"[a-z]+")
 
 
+class Around:
+    """An open element; with its ``parent`` and so on up it is the chain of a block's ancestors.
+
+    Blocks of one element share it, so deep pages need no copy of their ancestors for each block.
+    """
+
+    __slots__ = ("parent", "tag", "parts", "depth", "told")
+
+    def __init__(self, parent: Around | None, tag: str, parts: tuple[str, ...]):
+        self.parent, self.tag, self.parts, self.told = parent, tag, parts, None
+        self.depth = 1 + (parent.depth if parent else 0)
+
+
+def chain(around: Around | None) -> list[Around]:
+    """Ancestors, outermost first."""
+    found = []
+    while around:
+        found.append(around)
+        around = around.parent
+    return found[::-1]
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    around: tuple[tuple[str, tuple[str, ...]], ...]  # tag and name parts of every ancestor, outermost first
+    around: Around | None
     linked: int  # characters inside links
 
 
+class Scanner:
+    """Finds markup from any place of a page; every character is looked at a bounded number of times.
+
+    A tag ends at the first ``>`` outside quotes. Where it ends, seen from a quote or ``>``, is worked out
+    once for all of them, from the last to the first.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.closers = [m.start() for m in CLOSER.finditer(page)]
+        self.ends = [-1] * (len(self.closers) + 1)
+        later = {'"': len(self.closers), "'": len(self.closers)}
+        for i in range(len(self.closers) - 1, -1, -1):
+            sign = page[self.closers[i]]
+            if sign == ">":
+                self.ends[i] = self.closers[i] + 1
+            else:
+                # Behind the quote that closes this one.
+                self.ends[i] = self.ends[min(later[sign] + 1, len(self.closers))]
+                later[sign] = i
+        self.last_close = page.rfind(">")
+        self.breaks = [m.start() for m in NAME_END.finditer(page)]
+
+    def _tag_end(self, at: int) -> int:
+        return self.ends[bisect_left(self.closers, at)]
+
+    def markup(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Next markup from ``at``: start, end, slash, name and attributes; no name for comments and such."""
+        page = self.page
+        while m := OPENING.search(page, at):
+            start = m.start()
+            if not m[2]:
+                if m[0] == "<!--":
+                    end = page.find("-->", start + 4)
+                    return start, len(page) if end < 0 else end + 3, "", "", ""
+                end = page.find(">", start) if self.last_close > start else -1
+                if end >= 0:
+                    return start, end + 1, "", "", ""
+            else:
+                name = m.end() - 1
+                after = bisect_left(self.breaks, name)
+                stop = self.breaks[after] if after < len(self.breaks) else len(page)
+                end = self._tag_end(stop)
+                if end < 0:
+                    # A quote within the name may begin an attribute.
+                    quote = bisect_left(self.closers, name)
+                    if quote < len(self.closers) and self.closers[quote] < stop:
+                        stop, end = self.closers[quote], self.ends[quote]
+                if end >= 0:
+                    return start, end, m[1], page[name:stop].lower(), page[stop : end - 1]
+            at = start + 1
+        return None
+
+
 def names_of(attributes: str) -> tuple[str, ...]:
     """Parts of class, id and role, and ``UNSEEN`` for an element that its attributes hide."""
     names, unseen = [], False
@@ -81,22 +162,25 @@ def names_of(attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Around] = []
+    # Places in the stack of each tag's open elements.
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = links = hidden = at = 0
+    scanner = Scanner(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, tuple(stack), linked))
+                found.append(Block(text, stack[-1] if stack else None, linked))
             parts.clear()
         linked = 0
 
     def text(piece: str) -> None:
         nonlocal linked
-        if stack and stack[-1][0] == "head" and not piece.isspace() and piece:
+        if stack and stack[-1].tag == "head" and not piece.isspace() and piece:
             close(len(stack) - 1)
         if piece and not hidden:
             piece = html.unescape(piece)
@@ -106,50 +190,51 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(upto: int) -> None:
         nonlocal hidden
-        for tag, _ in stack[upto:]:
+        while len(stack) > upto:
+            tag = stack.pop().tag
+            places[tag].pop()
             hidden -= tag in HIDDEN
-        del stack[upto:]
 
-    while m := MARKUP.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    while m := scanner.markup(at):
+        start, end, slash, tag, attributes = m
+        text(page[at:start])
+        at = end
         if not tag:
             continue
-        if not m[1] and stack and stack[-1][0] == "head" and tag not in METADATA:
+        if not slash and stack and stack[-1].tag == "head" and tag not in METADATA:
             close(len(stack) - 1)
         if tag in INLINE:
             if tag == "br":
                 text(" ")
             elif tag == "a":
-                links = max(0, links + (-1 if m[1] else 1))
+                links = max(0, links + (-1 if slash else 1))
             continue
         flush()
         links = 0
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+        if slash:
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if stack and stack[-1][0] == "p":
+        if stack and stack[-1].tag == "p":
             close(len(stack) - 1)
         if group := CLOSES.get(tag):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in group:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPE and stack[i][0] not in group:
-                    break
+            inner = innermost(group)
+            if inner > innermost(SCOPE - group):
+                close(inner)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            ending = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            close_at = page.find(">", ending.end()) if ending else -1
+            at = close_at + 1 if close_at >= 0 else len(page)
             continue
         if tag in VOID:
             continue
         if tag == "body":
             close(0)
-        stack.append((tag, names_of(m[3])))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Around(stack[-1] if stack else None, tag, names_of(attributes)))
         hidden += tag in HIDDEN
     text(page[at:])
     flush()
@@ -172,30 +257,43 @@ KINDS = {
 KIND_OF = {name: kind for kind, names in KINDS.items() for name in names.split()}
 
 
+def kinds_of(element: Around) -> list[str]:
+    return [KIND_OF[n] for n in (element.tag, *element.parts) if n in KIND_OF]
+
+
+def own_features(block: Block, place: int, count: int) -> list[str]:
+    """Features of the block itself and of its innermost element's tag."""
+    names = ["any", f"tag={block.around.tag if block.around else ''}"]
+    words = block.text.split()
+    dense = block.linked / max(1, len(block.text))
+    names.append(f"words={min(6, len(words).bit_length())}")
+    names.append(f"links={'all' if dense > 0.8 else 'many' if dense > 0.3 else 'few' if dense else 'no'}")
+    names.append(f"stop={block.text[-1] in '.!?:;\"”’)'}")
+    if "©" in block.text or "copyright" in block.text.lower():
+        names.append("mark=copyright")
+    names.append(f"place={min(3, place)}")
+    names.append(f"left={min(3, count - 1 - place)}")
+    return names
+
+
+def last_features(nearest: Iterable[str], bad: bool) -> list[str]:
+    """Features of all ancestors together: the nearest page part, and whether any is no part of a text."""
+    near = [f"near={k}" for k in dict.fromkeys(nearest)] or ["near=none"]
+    # A page part inside the article, or the article inside such a part.
+    return [*near, "bad=" + ("yes" if bad else "no")]
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     rows = []
     for i, block in enumerate(blocks):
-        names = ["any"]
-        tags = [tag for tag, _ in block.around]
-        kinds = [[KIND_OF[n] for n in (tag, *parts) if n in KIND_OF] for tag, parts in block.around]
+        elements = chain(block.around)
+        kinds = [kinds_of(e) for e in elements]
         flat = [k for ks in kinds for k in ks]
-        names += {f"in={t}" for t in tags} | {f"kind={k}" for k in flat}
-        names += {f"name={n}" for _, parts in block.around for n in parts}
-        names.append(f"tag={tags[-1] if tags else ''}")
-        nearest = next((ks for ks in reversed(kinds) if ks), None)
-        names += [f"near={k}" for k in set(nearest)] if nearest else ["near=none"]
-        # A page part inside the article, or the article inside such a part.
-        names.append("bad=" + ("yes" if any(k != "text" for k in flat) else "no"))
-        words = block.text.split()
-        dense = block.linked / max(1, len(block.text))
-        names.append(f"words={min(6, len(words).bit_length())}")
-        names.append(f"links={'all' if dense > 0.8 else 'many' if dense > 0.3 else 'few' if dense else 'no'}")
-        names.append(f"stop={block.text[-1] in '.!?:;\"”’)'}")
-        if "©" in block.text or "copyright" in block.text.lower():
-            names.append("mark=copyright")
-        names.append(f"place={min(3, i)}")
-        names.append(f"left={min(3, len(blocks) - 1 - i)}")
+        names = own_features(block, i, len(blocks))
+        names += {f"in={e.tag}" for e in elements} | {f"kind={k}" for k in flat}
+        names += [f"name={n}" for e in elements for n in e.parts]
+        names += last_features(next((ks for ks in reversed(kinds) if ks), ()), any(k != "text" for k in flat))
         rows.append(names)
     return rows
 
@@ -213,11 +311,50 @@ class Field:
         get = self.index.get
         return np.array([self.weights[[j for j in map(get, r) if j is not None]].sum(axis=0) for r in rows])
 
+    def _told(self, around: Around | None) -> tuple[float, float, frozenset[str], tuple[str, ...], bool]:
+        """What a chain of ancestors adds up to: both sums, features that count once, nearest kinds, bad.
+
+        Worked out once for each element, from its parent's; the features are those of the field.
+        """
+        todo = []
+        while around and around.told is None:
+            todo.append(around)
+            around = around.parent
+        told = around.told if around else (0.0, 0.0, frozenset(), (), False)
+        for element in reversed(todo):
+            zero, one, once, nearest, bad = told
+            kinds = kinds_of(element)
+            fresh = {f for f in (f"in={element.tag}", *(f"kind={k}" for k in kinds)) if f in self.index} - once
+            for name in (*fresh, *(f"name={n}" for n in element.parts)):
+                if (j := self.index.get(name)) is not None:
+                    zero, one = zero + self.both[j][0], one + self.both[j][1]
+            bad = bad or any(k != "text" for k in kinds)
+            told = element.told = (zero, one, once | fresh if fresh else once, tuple(kinds) or nearest, bad)
+        return told
+
+    def scores(self, blocks: list[Block]) -> list[tuple[float, float]]:
+        """The blocks' ``emissions``, at a cost that does not grow with their depth."""
+        found = []
+        for i, block in enumerate(blocks):
+            zero, one, _, nearest, bad = self._told(block.around)
+            for name in (*own_features(block, i, len(blocks)), *last_features(nearest, bad)):
+                if (j := self.index.get(name)) is not None:
+                    zero, one = zero + self.both[j][0], one + self.both[j][1]
+            found.append((zero, one))
+        return found
+
+    @cached_property
+    def both(self) -> list[list[float]]:
+        return self.weights.tolist()
+
     def decode(self, blocks: list[Block]) -> list[bool]:
+        """The labels of a page's blocks."""
+        return self.best(self.scores(blocks))
+
+    def best(self, scores: list[tuple[float, float]]) -> list[bool]:
         """Viterbi: the labelling of the page with the highest score."""
-        if not blocks:
+        if not scores:
             return []
-        scores = self.emissions(features(blocks)).tolist()
         (stay0, to1), (to0, stay1) = self.change.tolist()
         zero, one = scores[0][0] + self.begin[0], scores[0][1] + self.begin[1]
         came = []
@@ -345,25 +482,35 @@ def layout_pages(number: int, seed: int = 11) -> list[tuple[list[list[str]], lis
 
 
 def marked_page(page: str) -> tuple[list[list[str]], list[int]] | None:
-    """Features and labels of a page that marks its article itself; None for one that does not."""
+    """Features and labels of a page that marks its article itself; None for one that does not.
+
+    Pages nested deeper than ``DEEPEST`` are no samples.
+    """
     blocks = blocks_of(page)
+    if any(b.around and b.around.depth > DEEPEST for b in blocks):
+        return None
     labels = []
     for b in blocks:
-        kinds = {KIND_OF[n] for tag, parts in b.around for n in (tag, *parts) if n in KIND_OF}
-        inside = any(tag in ("article", "main") for tag, _ in b.around)
-        unseen = any(UNSEEN in parts for _, parts in b.around)
+        elements = chain(b.around)
+        kinds = {k for e in elements for k in kinds_of(e)}
+        inside = any(e.tag in ("article", "main") for e in elements)
+        unseen = any(UNSEEN in e.parts for e in elements)
         labels.append(int(inside and not unseen and not kinds - {"text"}))
     return (features(blocks), labels) if any(labels) else None
 
 
 def fit(pages: DataFrame, most: int = MOST_PAGES) -> Field:
-    given = (
-        pages.filter(F.length("html") <= LONGEST_PAGE)
-        .select("page_id", "html")
-        .orderBy(F.xxhash64("page_id"), "page_id", "html")
-        .limit(most)
-    )
-    marked = [marked_page(row.html) for row in given.collect()]
+    """The field, from built layouts and at most ``most`` given pages.
+
+    The pages are chosen by numbers alone; only the chosen ones' html is sent to the driver.
+    """
+    numbers = pages.filter(F.length("html") <= LONGEST_PAGE).select("page_id", F.xxhash64("html").alias("of"))
+    chosen = numbers.orderBy(F.xxhash64("page_id"), "page_id", "of").limit(most)
+    chosen = chosen.select(F.col("page_id").alias("chosen"), F.col("of").alias("chosen_of")).distinct()
+    same = F.col("page_id").eqNullSafe(F.col("chosen")) & (F.col("of") == F.col("chosen_of"))
+    rows = pages.select("page_id", "html", F.xxhash64("html").alias("of")).join(F.broadcast(chosen), same)
+    found = rows.groupBy("page_id", "of").agg(F.first("html").alias("html")).orderBy(F.xxhash64("page_id"), "page_id", "of")
+    marked = [marked_page(row.html) for row in found.collect()]
     return train([*layout_pages(BUILT_PAGES), *(m for m in marked if m)])
 
 

@@ -12,7 +12,7 @@ search are exact, in double precision, on the original vectors; only the graph i
 rounded to a byte per number.
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite numbers take no part, neither
-do rows without id; ties go to the smaller id; with fewer other vectors than asked for, all are found
+do rows without id, nor vectors of another length than most have; ties go to the smaller id; with fewer other vectors than asked for, all are found
 that the walk reaches; rows with one id and different vectors are points of their own; an empty table
 gives no rows; other columns of the input do not matter.
 """
@@ -60,6 +60,13 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
 
 
+def of_one_length(rows: DataFrame) -> int:
+    """The length that most of the vectors have, the smaller one of equals; 0 for an empty table."""
+    lengths = rows.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    most = lengths.orderBy(F.desc("n"), "length").first()
+    return most.length if most else 0
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal-sized lists or of binary codes as a float32 matrix."""
     if pa.types.is_binary(column.type):
@@ -75,6 +82,8 @@ def _coded(batches: Batches) -> Batches:
         if batch.num_rows:
             x = _matrix(batch.column(1))
             factor = np.abs(x).max(axis=1) / 127
+            # The smallest numbers there are leave no factor; they are coded as zeros.
+            factor[factor == 0] = 1
             codes = np.rint(x / factor[:, None]).astype(np.int8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor.astype(np.float32))],
@@ -289,9 +298,11 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """
     spark, base = vectors.sparkSession, scratch_path(vectors.sparkSession, "vectors")
     rows = _stored(usable(vectors), f"{base}/rows")
+    one_length = F.size("vector") == of_one_length(rows)
+    rows = rows.filter(one_length)
     points = _stored(rows.groupBy("vector").agg(F.min("vec_id").alias("id")).select("id", "vector"), f"{base}/points")
     point_of = rows.join(points, "vector").select("vec_id", "id")
-    wanted = usable(asked).join(points, "vector").select(F.col("vec_id").alias("query_id"), F.col("id").alias("start"), "vector")
+    wanted = usable(asked).filter(one_length).join(points, "vector").select(F.col("vec_id").alias("query_id"), F.col("id").alias("start"), "vector")
     found = search(points, build_graph(points), wanted)
     # Of equal vectors the k + 1 smallest ids suffice, one of them may be the query itself.
     small = Window.partitionBy("id").orderBy("vec_id")

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import random
+import time
 import re
 import zlib
 
@@ -325,11 +326,58 @@ def test_viterbi_finds_the_best_labelling():
             return field.begin[labels[0]] + sum(scores[i, y] for i, y in enumerate(labels)) + steps
 
         every = [[(n >> i) & 1 for i in range(len(rows))] for n in range(2 ** len(rows))]
-        original, html_text.features = html_text.features, lambda r: r
-        try:
-            assert [int(y) for y in field.decode(rows)] == max(every, key=total)
-        finally:
-            html_text.features = original
+        assert [int(y) for y in field.best(scores.tolist())] == max(every, key=total)
+
+
+def test_scores_along_the_chain_are_the_emissions():
+    """Sums kept at the elements against the features of each block one by one."""
+    field = html_text.train(html_text.layout_pages(60), rounds=30)
+    pages = [r for r in pq.read_table(f"{FOLDER}/pages.parquet")["html"].to_pylist() if r][:60]
+    for page in [*pages, '<div class="nav content nav"><div class="content">a<p>b</div><ul><li>c<li>d</ul>']:
+        blocks = html_text.blocks_of(page)
+        if blocks:
+            assert np.allclose(field.scores(blocks), field.emissions(html_text.features(html_text.blocks_of(page))), atol=1e-9)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b" * 500_000, "<a " + "x=1 " * 250_000, '<a "' * 250_000 + ">", "<!" * 500_000, "<div>x" * 100_000, "<script>" * 100_000,
+     "<script>" + "</script " * 100_000, '<b"' * 300_000, "<center>" * 100_000 + "</x>" * 100_000,
+     "<li><div>" + "<center>" * 50_000 + "<li></li>" * 50_000, "".join(f'<div class="c{i}x">t' for i in range(50_000))],
+    ids=range(11),
+)
+def test_broken_and_deep_pages_take_seconds(page):
+    field = html_text.train(html_text.layout_pages(10), rounds=5)
+    start = time.monotonic()
+    field.text(page)
+    assert time.monotonic() - start < 30
+
+
+def test_tags_with_quotes():
+    """A tag ends at the first > outside quotes; what never ends is text."""
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<p title='a>b'>x</p>") == ["x"]
+    assert texts('<p title="a\'>b">x') == ["x"]
+    assert texts('<p title="a>x</p>y') == ['<p title="a>x', "y"]
+    assert texts("a < b <p>c<d") == ["a < b", "c<d"]
+    assert texts("<!-- a > b -->c<!d>e<!--f") == ["ce"]
+    assert texts("") == texts("<p></p>") == []
+
+
+def test_fit_sends_few_pages_to_the_driver(spark):
+    """Pages are chosen by numbers; equal pages and rows without id are chosen once."""
+    page = "<main><p>Some words of text.</p></main><footer>End.</footer>"
+    rows = [(1, "u", page)] * 50 + [(None, "u", page)] * 3 + [(i, "u", page.replace("Some", f"Some {i}")) for i in range(2, 30)] + [(99, "u", None)]
+    field = html_text.fit(spark.createDataFrame(rows, "page_id long, url string, html string"), most=20)
+    assert field.text(page) == "Some words of text."
+
+
+def test_neighbours_of_unequal_and_tiny_vectors(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(40)] + [(100, [1.0]), (101, [1.0, 2.0, 3.0]), (102, [1e-45, 0.0]), (103, [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(table, table.filter("vec_id IN (0, 100, 102)"), 3).collect()
+    assert {r.query_id for r in got} == {0, 102} and not {r.vec_id for r in got} & {100, 101, 103}
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(1, 1.0), (102, 1.0), (2, 2.0)]
 
 
 TEXTS = [
