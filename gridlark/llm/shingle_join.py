@@ -10,7 +10,7 @@ The matrix of documents by shingles is never multiplied whole:
 3. Among the rest each column (shingle) links its sets with one of them, the hub: first the one that
    shares most of its shingles with others. These pairs are counted exactly. Columns whose sets are then
    in one component are done, and so are sets that have fewer open columns left than a link needs.
-4. The sets of the columns that remain meet by hub, in blocks. The blocks' incidence matrix times its
+4. The sets of the columns that remain meet by hub, in blocks of like sizes. The blocks' incidence matrix times its
    transpose gives all overlaps of two blocks at once; pairs below the bound for their sizes are
    discarded, and only the components that links bring together leave the task.
 
@@ -378,23 +378,49 @@ def _alike(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
 
 
+def _bound(n):
+    """Prefix columns that a set of ``n`` shingles shares with any partner, the smallest one included."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * PERCENT / 100) * EXTRA))
+
+
+def _seated(left: DataFrame) -> DataFrame:
+    """Clusters and the sets that have to be in them: hub, id, n, component.
+
+    The columns that a set shares with a partner lie with some of the hubs it has open columns of, k in
+    all. One of these hubs holds a k-th of the shared columns at least, on either side; clusters where a
+    set has fewer columns than a k-th of its bound can do without it.
+    """
+    counts = left.groupBy("hub", "id").agg(
+        F.count(F.lit(1)).alias("columns"), F.max("n").alias("n"), F.min("component").alias("component")
+    )
+    hubs = counts.groupBy("id").agg(F.count(F.lit(1)).alias("hubs"))
+    needed_here = F.col("columns") * F.col("hubs") >= _bound(F.col("n"))
+    return counts.join(hubs, "id").filter(needed_here).select("hub", "id", "n", "component")
+
+
 def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that share open columns; ``left``: h, id, component, hub.
+    """Links between components that share open columns; ``left``: h, id, n, hub, component.
 
-    All members of a column are in the cluster of its hub. A cluster is cut into blocks by component,
-    and two blocks meet in one task unless they hold one and the same component.
+    Any two sets that link are in one cluster. A cluster is cut into blocks by size class and component,
+    and two blocks meet in one task unless their sizes are too far apart to link or they hold one and the
+    same component.
     """
-    members = left.select("hub", "id", "component").distinct()
-    place = F.row_number().over(Window.partitionBy("hub").orderBy("component", "id"))
+    members = _seated(left)
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
+    place = F.row_number().over(Window.partitionBy("hub").orderBy(size_class, "component", "id"))
     members = members.withColumn("block", F.floor((place - 1) / BLOCK))
-    blocks = members.groupBy("hub", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = members.groupBy("hub", "block").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
     x, y = blocks.alias("x"), blocks.alias("y")
-    single = (F.least("x.low", "y.low") == F.greatest("x.high", "y.high"))
-    meetings = x.join(y, "hub").filter((F.col("x.block") <= F.col("y.block")) & ~single)
+    single = F.least("x.low", "y.low") == F.greatest("x.high", "y.high")
+    near = (100 * F.col("x.most") >= PERCENT * F.col("y.least")) & (100 * F.col("y.most") >= PERCENT * F.col("x.least"))
+    meetings = x.join(y, "hub").filter((F.col("x.block") <= F.col("y.block")) & ~single & near)
     sides = F.array_distinct(F.array("x.block", "y.block"))
     seats = meetings.select("hub", F.col("x.block").alias("one"), F.col("y.block").alias("two"), F.explode(sides).alias("block"))
     return (
-        members.join(seats, ["hub", "block"])
+        members.select("hub", "id", "component", "block")
+        .join(seats, ["hub", "block"])
         .join(sets.select("id", "set"), "id")
         .groupBy("hub", "one", "two")
         .applyInPandas(_alike, "a long, b long")
@@ -409,8 +435,7 @@ def _still_open(entries: DataFrame) -> DataFrame:
     """
     columns = entries.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = entries.join(columns.filter("low != high").select("h"), "h", "left_semi")
-    bound = F.greatest(F.lit(1), F.floor(F.ceil(F.max("n") * PERCENT / 100) * EXTRA))
-    enough = open_.groupBy("id").agg((F.count(F.lit(1)) >= bound).alias("enough")).filter("enough")
+    enough = open_.groupBy("id").agg((F.count(F.lit(1)) >= _bound(F.max("n"))).alias("enough")).filter("enough")
     return open_.join(enough.select("id"), "id", "left_semi")
 
 
