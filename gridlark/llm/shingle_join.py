@@ -30,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.components import components
 from gridlark.llm.hashing import hashes, mixed, slices, text_bytes
 from gridlark.llm.names import fresh
+from gridlark.sources.folder import Folder
 from gridlark.sources.scratch import scratch_path
 
 WIDTH = 5
@@ -334,6 +335,13 @@ def _fits(a: str, b: str):
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _drop(spark: SparkSession, base: str, *names: str) -> None:
+    """Remove stored tables that nothing reads any more."""
+    folder = Folder(spark, base)
+    for name in names:
+        folder.remove(name)
+
+
 def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -459,7 +467,10 @@ def _links_of(sets: DataFrame, base: str) -> DataFrame:
     )
     for number in range(ROUNDS):
         left = _stored(_still_open(left), f"{base}/open-{number}")
-    return links.union(_stored(_across(left, sets), f"{base}/across"))
+        _drop(sets.sparkSession, base, *(["entries", "hubs"] if number == 0 else [f"open-{number - 1}"]))
+    across = _stored(_across(left, sets), f"{base}/across")
+    _drop(sets.sparkSession, base, f"open-{ROUNDS - 1}")
+    return links.union(across)
 
 
 def _components_of(docs: DataFrame) -> DataFrame:
@@ -495,7 +506,9 @@ def _components_of(docs: DataFrame) -> DataFrame:
     # Rows alike in all have been read as often as they occur; a class has one set.
     sets = sets.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "set", "shared")])
     sets = _stored(sets, f"{base}/sets")
+    _drop(spark, base, "found")
     named = _stored(components(_links_of(sets, base)).withColumnRenamed("node", "id"), f"{base}/named")
+    _drop(spark, base, "sets", "alive", "links", "across")
     linked = classes.join(named, "id").groupBy("component").agg(F.min("first").alias("first_of_all"))
     named = named.join(linked, "component").drop("component")
     classes = classes.join(named, "id", "left").select(
