@@ -22,12 +22,14 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.labelled import remainder, sample
+from gridlark.llm.memory import tidy
 
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.3
@@ -153,9 +155,7 @@ def good_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The documents with a score of the threshold or more, with the input's columns."""
 
     @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
-
-        return pd.Series(model.scores([t or "" for t in texts]))
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidy(lambda series: (pd.Series(model.scores([t or "" for t in texts])) for texts in series))(batches)
 
     return docs.filter(scores("text") >= THRESHOLD)

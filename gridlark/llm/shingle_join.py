@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.components import components
 from gridlark.llm.hashing import hashes, mixed, slices, text_bytes
+from gridlark.llm.memory import tidy
 from gridlark.llm.names import fresh
 from gridlark.sources.folder import Folder
 from gridlark.sources.scratch import scratch_path
@@ -43,9 +44,9 @@ WIDTH = 5
 PERCENT = 75
 # Shared shingles asked of two prefixes, as a part of the set.
 EXTRA = 0.1
-CHUNK_BYTES = 4 << 20
-# Entries that a task holds at once; they take some 50 bytes each.
-FLUSH = 2_000_000
+CHUNK_BYTES = 1 << 20
+# Entries that a task holds at once; they take some 80 bytes each while they are sorted.
+FLUSH = 1_000_000
 # Sets of a block and columns of a slice in step 4: a slice of two blocks takes 32 MB.
 BLOCK = 512
 COLUMNS = 8192
@@ -126,6 +127,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
             yield rows.column(0), *shingle_sets(rows.column(1))
 
 
+@tidy
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
@@ -191,6 +193,7 @@ def _blocks(blocks: int, chunks, part):
     have it.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, owners, held = [], [], 0
         for _, found, sizes in chunks(batches):
@@ -287,6 +290,7 @@ def _shared_counts(rows: DataFrame, blocks: int, chunks, part) -> DataFrame:
     )
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, found, sizes in _chunks(batches):
         ends = np.cumsum(sizes)
@@ -294,6 +298,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sets, pa.binary())], names=["id", "n", "set"])
 
 
+@tidy
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (column, found, sizes), = _set_chunks([batch])
@@ -305,6 +310,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@tidy
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
