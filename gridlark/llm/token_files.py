@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.hashing import hashes, slices, text_bytes
+from gridlark.llm.memory import tidy
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 END_ID = 2
-# Distinct pieces that a worker remembers, at about 40 bytes each, and bytes it encodes at once.
+# Distinct pieces that a worker remembers, at about 40 bytes each, bytes of text it takes at once, at some
+# 60 bytes each, and pieces that the tokenizer gets in one call, whose encodings take about 1 kB each.
 MOST_PIECES = 1_500_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+CALL_PIECES = 20_000
 
 # Bytes that are whitespace, or that may begin a character that is.
 _SPACE_LIKE = np.zeros(256, bool)
@@ -75,6 +78,17 @@ class PieceEncoder:
         self.known, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.flat, self.bounds = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are not remembered, some pieces a call, and the number of ids of each."""
+        raw, flat, sizes = data.tobytes(), [], []
+        for at in range(0, len(starts), CALL_PIECES):
+            some = slice(at, at + CALL_PIECES)
+            pieces = [raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The remembered row of every piece; new pieces are encoded."""
         found, first, which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -83,12 +97,9 @@ class PieceEncoder:
         inside = place < len(self.known)
         new[inside] = self.known[place[inside]] != found[inside]
         if new.any():
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            rows = len(self.bounds) - 1 + np.arange(len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))])
+            ids, lengths = self._new(data, starts[first[new]], ends[first[new]])
+            rows = len(self.bounds) - 1 + np.arange(len(lengths))
+            self.flat = np.concatenate([self.flat, ids])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
             self.known = np.insert(self.known, place[new], found[new])
             self.row = np.insert(self.row, place[new], rows)
@@ -116,6 +127,7 @@ def _worker_encoder(tokenizer_file: str) -> PieceEncoder:
 
 
 def _encoder(tokenizer_file: str, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _worker_encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -182,10 +194,11 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
     return sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
 
+@tidy
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
-        values = lists.values.to_numpy().astype("<u4")
+        values = lists.values.to_numpy().astype("<i4", copy=False)
         bounds = lists.offsets.to_numpy()
         sums = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
         yield pa.RecordBatch.from_arrays(

@@ -5,7 +5,9 @@ import html
 import random
 import time
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -461,3 +463,35 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, FOLDER)
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_encoder_memory(monkeypatch):
+    """A large batch goes through the encoder in parts: few bytes and few pieces at once."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghij ", k=3000)) for _ in range(1400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1400)), pa.array(texts)], names=["doc_id", "text"])
+    encoder, calls = token_files.PieceEncoder(TOKENIZER), []
+
+    class Tokens:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, pieces, **options):
+            calls.append(len(pieces))
+            return self.tokenizer.encode_batch_fast(pieces, **options)
+
+    encoder.tokenizer = Tokens(encoder.tokenizer)
+    monkeypatch.setattr(token_files, "_worker_encoder", lambda file: encoder)
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    got = []
+    tracemalloc.start()
+    try:
+        for rows in token_files._encoder(TOKENIZER, 2)(iter([batch])):
+            got += rows.column("ids").slice(0, 3).to_pylist()
+            assert rows.column("part_start")[0].as_py() >= 0
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[:3] == whole_text_ids(texts[:3])
+    assert max(calls) <= 20_000
+    assert most < 150e6, most
