@@ -5,8 +5,9 @@ The matrix of documents by shingles is never multiplied whole:
 1. Documents of equal sets are one class, named by its smallest doc_id; only classes go on.
 2. Sorted by hash, a set's first p shingles, p = size - ceil(0.75 size) + l, share at least l with
    those of any set it links with. Blocks of the hash space count which of them occur in two sets;
-   a set with fewer shared ones than the smallest partner needs cannot link and is dropped. Among
-   the rest the same is done once more with whole sets, of which three quarters must be shared.
+   a set with fewer shared ones than the smallest partner needs cannot link and is dropped; a bitmap of
+   the others' hashes keeps its text out of the shuffle. Among the rest the same is done once more with
+   whole sets, of which three quarters must be shared.
 3. Among the rest each column (shingle) links its sets with one of them, the hub: first the one that
    shares most of its shingles with others. These pairs are counted exactly. Columns whose sets are then
    in one component are done, and so are sets that have fewer open columns left than a link needs.
@@ -52,6 +53,8 @@ BLOCK = 512
 COLUMNS = 8192
 # Times that columns and sets are looked through for open ones before step 4.
 ROUNDS = 3
+# Bits of the filter that keeps rows without a wanted key out of a shuffle: for each key, and at most (8 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 26
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -353,6 +356,34 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys occur in ``wanted``, and a few others, without a shuffle of the rows.
+
+    A bitmap of the wanted keys' hashes, of bounded size, goes to all tasks. With more keys than it can
+    tell apart more rows pass; none that is wanted is ever left out. ``wanted`` is a stored table.
+    """
+    bits = 1 << 15
+    most = min(MOST_BITS, KEY_BITS * wanted.count())
+    while bits < most:
+        bits *= 2
+    (bucket, bitmap, place) = fresh(rows.columns, "bucket", "bitmap", "place")
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1
+    bitmaps = (
+        wanted.select(hashed.alias(place))
+        .groupBy(F.bitmap_bucket_number(place).alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        rows.withColumn(place, hashed)
+        .withColumn(bucket, F.bitmap_bucket_number(place))
+        .join(F.broadcast(bitmaps), bucket)
+        .filter(F.getbit(byte, (at % 8).cast("int")) == 1)
+        .select(*rows.columns)
+    )
+
+
 def _alike(group: pd.DataFrame) -> pd.DataFrame:
     """Components that links between two blocks of sets bring together: rows of a, b.
 
@@ -463,7 +494,9 @@ def _links_of(sets: DataFrame, base: str) -> DataFrame:
         .filter("m > 1")
         .select("h", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
-    entries = entries.join(_stored(hubs, f"{base}/hubs"), "h")
+    # Stored, as it is read for the pairs and for the open columns.
+    entries = _stored(entries.join(_stored(hubs, f"{base}/hubs"), "h").drop("share"), f"{base}/columns")
+    _drop(sets.sparkSession, base, "entries", "hubs")
     pairs = entries.filter((F.col("id") != F.col("hub")) & _fits("n", "hub_n"))
     pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
     links = _stored(_verified(pairs, sets), f"{base}/links")
@@ -473,7 +506,7 @@ def _links_of(sets: DataFrame, base: str) -> DataFrame:
     )
     for number in range(ROUNDS):
         left = _stored(_still_open(left), f"{base}/open-{number}")
-        _drop(sets.sparkSession, base, *(["entries", "hubs"] if number == 0 else [f"open-{number - 1}"]))
+        _drop(sets.sparkSession, base, "columns" if number == 0 else f"open-{number - 1}")
     across = _stored(_across(left, sets), f"{base}/across")
     _drop(sets.sparkSession, base, f"open-{ROUNDS - 1}")
     return links.union(across)
@@ -504,15 +537,17 @@ def _components_of(docs: DataFrame) -> DataFrame:
     smallest = F.ceil(F.col("n_shingles") * PERCENT / 100)
     some = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
     alive = classes.join(_shared_counts(rows, blocks, _chunks, _prefix), "short").filter(F.col("shared") >= some)
-    alive = _stored(alive.select("id", "short", "first.doc_id", "first.text_hash"), f"{base}/alive")
-    texts = rows.join(alive.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).select("id", "text")
+    alive = _stored(alive.select("id", "short", "n_shingles", "first.doc_id", "first.text_hash"), f"{base}/alive")
+    texts = _likely(rows, alive, "doc_id", "text_hash")
+    texts = texts.join(alive.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).select("id", "text")
     found = _stored(texts.mapInArrow(_sets, "id long, n long, set binary"), f"{base}/found")
-    close = alive.join(_shared_counts(found, blocks, _set_chunks, _whole), "short").select("id", "shared")
-    sets = found.join(close, "id").filter((F.col("n") > 0) & (F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)))
+    close = alive.join(_shared_counts(found, blocks, _set_chunks, _whole), "short").filter(F.col("shared") >= smallest)
+    close = _stored(close.select("id", "shared"), f"{base}/close")
+    sets = _likely(found, close, "id").join(close, "id").filter("n > 0")
     # Rows alike in all have been read as often as they occur; a class has one set.
     sets = sets.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "set", "shared")])
     sets = _stored(sets, f"{base}/sets")
-    _drop(spark, base, "found")
+    _drop(spark, base, "found", "close")
     named = _stored(components(_links_of(sets, base)).withColumnRenamed("node", "id"), f"{base}/named")
     _drop(spark, base, "sets", "alive", "links", "across")
     linked = classes.join(named, "id").groupBy("component").agg(F.min("first").alias("first_of_all"))

@@ -159,6 +159,44 @@ def test_links_past_a_common_passage(spark, monkeypatch):
         assert got == naive_links(enumerate(texts, 10))
 
 
+def test_rows_without_a_wanted_key(spark, monkeypatch):
+    """The filter before a shuffle keeps every wanted row and few others, whatever its size."""
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "xxhash64(id) AS text_hash", "'t' AS place", "id % 9 AS bucket")
+    rows = rows.union(spark.sql("SELECT CAST(NULL AS long), 5L, 't', 0L"))
+    for step, most in ((400, 1 << 26), (4, 1 << 26), (4, 1 << 10)):
+        monkeypatch.setattr(shingle_join, "MOST_BITS", most)
+        wanted = rows.filter(f"doc_id % {step} = 0").select("doc_id", "text_hash")
+        got = shingle_join._likely(rows, wanted, "doc_id", "text_hash")
+        assert got.columns == rows.columns
+        kept = [r.doc_id for r in got.collect()]
+        assert len(set(kept)) == len(kept) and {*range(0, 40_000, step)} <= {*kept}
+        assert len(kept) < 40_000 / step + (4000 if most > 1 << 10 else 15_000)
+    assert shingle_join._likely(rows, wanted.limit(0), "doc_id", "text_hash").count() == 0
+
+
+def test_links_without_broadcasts(spark, monkeypatch):
+    """Texts are shuffled only if their document may have a partner, and the links stay."""
+    base = prose(120, 71).split()
+    texts = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 90, 9)] + ODD
+    docs = documents(spark, texts + [" ".join(f"x{i}y{k}" for k in range(30)) for i in range(3000)], 7).repartition(4)
+    passed, likely = [], shingle_join._likely
+
+    def counted(rows, *keys):
+        found = likely(rows, *keys)
+        passed.append(found.count())
+        return found
+
+    monkeypatch.setattr(shingle_join, "_likely", counted)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similar_documents(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert {d: got[d] for d in range(7, 7 + len(texts))} == naive_links(enumerate(texts, 7))
+    assert passed and max(passed) < 300
+
+
 def test_repeated_doc_ids_keep_all_texts(spark):
     """Rows (1, a), (1, b), (2, a) with unlinked a and b: one row of each text stays."""
     a, b = prose(50, 61), prose(50, 62)
