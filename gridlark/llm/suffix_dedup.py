@@ -9,10 +9,16 @@ A suffix array of all documents does not fit a task, and need not: only strings
 2. Names under which different stretches remain get their texts. Their windows that may repeat are
    sorted by a suffix array; suffixes that share 100 bytes follow each other in it, and all of them
    but the earliest are repeats.
-3. Names with very many different stretches, such as parts of licence lines, are taken apart: each of
-   their windows is a stretch of its own, named by the hash of all its bytes, and collapsed as in 1.
+3. Names with many different stretches, such as parts of licence lines, get their texts too, but their
+   windows are told apart by the hash of all their bytes. Names with more than a task should hold are
+   taken apart: each of their windows is a stretch of its own, named by that hash, and collapsed as in 1.
 4. Each document's repeats are put together and its remaining bytes are hashed.
 
+Disk: a window taken apart takes ten times the bytes of one that travels within its stretch, and the larger
+the table, the more names have many stretches; hence the second way. Texts are shuffled only for documents
+that a bitmap lets through, first those with stretches to compare, then those with repeats. The stages
+before a stored table give their shuffle files back as soon as it is written.
+
 The suffix array is built by linear grouping: suffixes are grouped by their Lyndon prefixes, groups
 are processed in descending order through previous-smaller pointers, and the order inside the groups
 is then emitted in one ascending pass, without recursion and renaming.
@@ -27,25 +33,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.hashing import _BASE, _BYTE, mixed, slices, text_bytes
+from gridlark.llm.shingle_join import KEY_BITS, MOST_BITS
 from gridlark.sources.scratch import scratch_path
 
 LENGTH = 100
 GRAM = 32
-# Different stretches under one name beyond which its windows are taken apart.
+# Different stretches under one name beyond which its windows are told apart by hashes, and beyond which
+# they are taken apart; a task holds 160 bytes and about 35 windows for each.
 MANY = 64
+TOO_MANY = 1 << 12
 BLOCK_BYTES = 1 << 20
 
 ENTRY = np.dtype([("name", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("inside", "?")])
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
-STRETCH = np.dtype([("start", "<u4"), ("windows", "<u4"), ("name", "<u8"), ("apart", "<u8")])
+STRETCH = np.dtype([("start", "<u4"), ("windows", "<u4"), ("name", "<u8"), ("way", "<u8")])
 
 
 def suffix_order(text: bytes) -> np.ndarray:
@@ -235,7 +245,9 @@ def collapse(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 OUT = "kind int, bucket int, doc long, text long, payload binary"
-ENTRIES, REPEATS, COMPARE, TEXTS = range(4)
+ENTRIES, REPEATS, COMPARE, TEXTS, CROWDED = range(5)
+# How a stretch is compared: by suffix arrays, by its windows' hashes, taken apart.
+ARRAY, HASHES, APART = range(3)
 
 
 def _row_batches(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -285,26 +297,30 @@ def _entries_of(group: pd.DataFrame) -> np.ndarray:
     return np.concatenate([np.empty(0, ENTRY), *(np.frombuffer(p, ENTRY) for p in raw)])
 
 
-def _settle_names(group: pd.DataFrame) -> pd.DataFrame:
+def _settle_names(many: int, too_many: int):
     """Repeats of a bucket of names, and the stretches to compare by their texts."""
-    kept, repeats = collapse(_entries_of(group))
-    rows = [(REPEATS, 0, d, t, p) for d, t, p in _by_document(repeats["doc"], repeats["text"], _covered(repeats), True)]
-    if len(kept):
-        starts = np.flatnonzero(np.concatenate([[True], kept["name"][1:] != kept["name"][:-1]]))
-        number = np.diff(np.append(starts, len(kept)))
-        number = np.repeat(number, number)
-        wanted = (number > 1) | kept["inside"]
-        open_, number = kept[wanted], number[wanted]
-        s = np.empty(len(open_), STRETCH)
-        s["start"], s["windows"], s["name"] = open_["start"], open_["windows"], open_["name"]
-        s["apart"] = number > MANY
-        rows += [(COMPARE, 0, d, t, p) for d, t, p in _by_document(open_["doc"], open_["text"], s, False)]
-    rows += [(REPEATS, 0, d, t, p) for _, d, t, p in group.loc[group.kind == REPEATS, ["kind", "doc", "text", "payload"]].itertuples(index=False)]
-    return _frame(rows)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        kept, repeats = collapse(_entries_of(group))
+        rows = [(REPEATS, 0, d, t, p) for d, t, p in _by_document(repeats["doc"], repeats["text"], _covered(repeats), True)]
+        if len(kept):
+            starts = np.flatnonzero(np.concatenate([[True], kept["name"][1:] != kept["name"][:-1]]))
+            number = np.diff(np.append(starts, len(kept)))
+            number = np.repeat(number, number)
+            wanted = (number > 1) | kept["inside"]
+            open_, number = kept[wanted], number[wanted]
+            s = np.empty(len(open_), STRETCH)
+            s["start"], s["windows"], s["name"] = open_["start"], open_["windows"], open_["name"]
+            s["way"] = np.where(number > too_many, APART, np.where(number > many, HASHES, ARRAY))
+            rows += [(COMPARE, 0, d, t, p) for d, t, p in _by_document(open_["doc"], open_["text"], s, False)]
+        rows += [(REPEATS, 0, d, t, p) for _, d, t, p in group.loc[group.kind == REPEATS, ["kind", "doc", "text", "payload"]].itertuples(index=False)]
+        return _frame(rows)
+
+    return run
 
 
 def _fetch_texts(buckets: int):
-    """Cut the stretches to compare out of their documents; take apart those of crowded names."""
+    """Cut the stretches to compare out of their documents; take apart those of the most crowded names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart, rows = [], {}
@@ -315,7 +331,7 @@ def _fetch_texts(buckets: int):
                 for s in np.concatenate([np.frombuffer(p, STRETCH) for p in wanted]):
                     a, n = int(s["start"]), int(s["windows"])
                     piece = raw[a : a + n + LENGTH - 1]
-                    if s["apart"]:
+                    if s["way"] == APART:
                         h = gram_hashes(np.frombuffer(piece, np.uint8), LENGTH)
                         e = np.zeros(n, ENTRY)
                         e["name"] = e["content"] = h
@@ -323,8 +339,9 @@ def _fetch_texts(buckets: int):
                         apart.append(e)
                     else:
                         head = np.array([(doc, mark, a, n)], PIECE).tobytes()
-                        rows.setdefault(int(s["name"]) % buckets, []).append(head + piece)
-        out = [(TEXTS, b, 0, 0, b"".join(pieces)) for b, pieces in rows.items()]
+                        kind = TEXTS if s["way"] == ARRAY else CROWDED
+                        rows.setdefault((kind, int(s["name"]) % buckets), []).append(head + piece)
+        out = [(kind, b, 0, 0, b"".join(pieces)) for (kind, b), pieces in rows.items()]
         yield from _row_batches(out + (_sent(np.concatenate(apart), buckets) if apart else []))
 
     return run
@@ -379,18 +396,45 @@ def repeated_windows(pieces: list[tuple[int, int, int, bytes]]) -> np.ndarray:
     return collapse(e)[1]
 
 
-def _settle_texts(group: pd.DataFrame) -> pd.DataFrame:
-    _, repeats = collapse(_entries_of(group))
+def hashed_windows(pieces: list[tuple[int, int, int, bytes]]) -> np.ndarray:
+    """``repeated_windows`` by the windows' hashes alone."""
+    bounds = np.concatenate([[0], np.cumsum([len(p[3]) for p in pieces])])
+    found = []
+    for a, b in slices(bounds, BLOCK_BYTES):
+        data = np.frombuffer(b"".join(p[3] for p in pieces[a:b]), np.uint8)
+        owner = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(bounds[a : b + 1]))
+        at = np.flatnonzero(owner[: len(data) - LENGTH + 1] == owner[LENGTH - 1 :])
+        inside = (at + bounds[a] - bounds[owner[at]]).astype(np.uint32)
+        found.append((gram_hashes(data, LENGTH)[at], owner[at], inside))
+    content, owner, inside = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(content)
+    same = content[order[1:]] == content[order[:-1]]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    piece = owner[order]
+    e = np.zeros(len(order), ENTRY)
+    e["name"] = e["content"] = content[order]
+    e["doc"], e["text"] = np.array([p[0] for p in pieces])[piece], np.array([p[1] for p in pieces])[piece]
+    e["start"], e["windows"] = np.array([p[2] for p in pieces])[piece] + inside[order], 1
+    return collapse(e)[1]
+
+
+def _pieces(group: pd.DataFrame, kind: int) -> list[tuple[int, int, int, bytes]]:
     pieces = []
-    for raw in group.payload[group.kind == TEXTS]:
+    for raw in group.payload[group.kind == kind]:
         at = 0
         while at < len(raw):
             doc, mark, start, windows = np.frombuffer(raw, PIECE, 1, at)[0].tolist()
             at += PIECE.itemsize
             pieces.append((doc, mark, start, raw[at : at + windows + LENGTH - 1]))
             at += windows + LENGTH - 1
-    if pieces:
-        repeats = np.concatenate([repeats, repeated_windows(pieces)])
+    return pieces
+
+
+def _settle_texts(group: pd.DataFrame) -> pd.DataFrame:
+    _, repeats = collapse(_entries_of(group))
+    for kind, repeated in ((TEXTS, repeated_windows), (CROWDED, hashed_windows)):
+        if pieces := _pieces(group, kind):
+            repeats = np.concatenate([repeats, repeated(pieces)])
     rows = [(REPEATS, 0, d, t, p) for d, t, p in _by_document(repeats["doc"], repeats["text"], _covered(repeats), True)]
     rows += [(REPEATS, 0, d, t, p) for _, d, t, p in group.loc[group.kind == REPEATS, ["kind", "doc", "text", "payload"]].itertuples(index=False)]
     return _frame(rows)
@@ -414,20 +458,73 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Queries run in here remove their shuffle files when they end; without, the files stay until the
+    driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _told_apart(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that ``wanted``, a stored table, may name, and those that it does not; without a shuffle.
+
+    A bitmap of the wanted documents' hashes, of bounded size, goes to all tasks. With more documents
+    than it can tell apart more of the others are among the first; none that is wanted is among the rest.
+    """
+    bits = 1 << 15
+    most = min(MOST_BITS, KEY_BITS * wanted.count())
+    while bits < most:
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc", "text"), F.lit(bits)) + 1
+    bitmaps = (
+        wanted.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    )
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = (
+        docs.withColumn("place", place)
+        .withColumn("bucket", F.bitmap_bucket_number("place"))
+        .join(F.broadcast(bitmaps), "bucket", "left")
+        .withColumn("named", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    )
+    return marked.filter("named").select(*docs.columns), marked.filter(~F.col("named")).select(*docs.columns)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Rows of doc, text (numbers that name a document) and spans, a list of packed spans.
+    """Rows of doc, text (numbers that name a document) and payload, packed spans; several for a document.
 
     ``docs``: doc, text (numbers), body.
     """
     spark, base = docs.sparkSession, scratch_path(docs.sparkSession, "suffixes")
     buckets = 4 * max(1, docs.rdd.getNumPartitions())
-    docs.mapInArrow(_name_stretches(buckets), OUT).groupBy("bucket").applyInPandas(_settle_names, OUT).write.parquet(f"{base}/names")
-    settled = spark.read.parquet(f"{base}/names")
-    wanted = settled.filter(F.col("kind") == COMPARE).groupBy("doc", "text").agg(F.collect_list("payload").alias("wanted"))
-    texts = docs.join(wanted, ["doc", "text"]).select("doc", "text", "body", "wanted")
+    named = docs.mapInArrow(_name_stretches(buckets), OUT).groupBy("bucket")
+    settled = _stored(named.applyInPandas(_settle_names(MANY, TOO_MANY), OUT), f"{base}/names")
+    compare = settled.filter(F.col("kind") == COMPARE)
+    wanted = compare.groupBy("doc", "text").agg(F.collect_list("payload").alias("wanted"))
+    near, _ = _told_apart(docs, compare)
+    texts = near.join(wanted, ["doc", "text"]).select("doc", "text", "body", "wanted")
     compared = texts.mapInArrow(_fetch_texts(buckets), OUT).groupBy("bucket").applyInPandas(_settle_texts, OUT)
-    repeats = settled.unionByName(compared).filter(F.col("kind") == REPEATS)
-    return repeats.groupBy("doc", "text").agg(F.collect_list("payload").alias("spans"))
+    repeats = settled.unionByName(_stored(compared, f"{base}/texts")).filter(F.col("kind") == REPEATS)
+    return repeats.select("doc", "text", "payload")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -439,8 +536,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("text").alias("body"),
     )
     found = repeated_spans(rows)
+    spans = found.groupBy("doc", "text").agg(F.collect_list("payload").alias("spans"))
+    near, rest = _told_apart(rows, found)
+    known = near.join(spans, ["doc", "text"], "left").unionByName(rest.withColumn("spans", F.lit(None).cast("array<binary>")))
     return (
-        rows.join(found, ["doc", "text"], "left")
-        .select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), "body", "spans")
+        known.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), "body", "spans")
         .mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
     )

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
 
 import pytest
 
@@ -59,6 +60,49 @@ def test_repeats(spark, monkeypatch, many):
     assert got == naive_repeats(enumerate(texts))
 
 
+@pytest.mark.parametrize("ways", [(10**6, 10**6), (0, 10**6), (0, 0), (3, 9)])
+def test_repeats_each_way(spark, monkeypatch, ways):
+    """By suffix arrays, by the windows' hashes, taken apart, and all three in one table."""
+    monkeypatch.setattr(suffix_dedup, "MANY", ways[0])
+    monkeypatch.setattr(suffix_dedup, "TOO_MANY", ways[1])
+    shared = [prose(60, 3), prose(12, 21), "-" * 150]
+    texts = [prose(20, 100 + i) + shared[i % 3] + prose(15, 200 + i % 7) for i in range(40)] + ODD
+    docs = documents(spark, texts).repartition(3)
+    assert {r[0]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs).collect()} == naive_repeats(enumerate(texts))
+
+
+def test_crowded_names_travel_within_their_stretches():
+    """A common passage between other words: its windows were sent one by one, in 41 bytes each."""
+    passage = prose(16, 3)
+    texts = [prose(40, 300 + i) + passage + prose(40, 900 + i) for i in range(200)]
+    batch = suffix_dedup.pa.RecordBatch.from_pydict({"d": range(200), "m": [0] * 200, "t": texts})
+    found = suffix_dedup.pa.Table.from_batches(suffix_dedup._name_stretches(1)(iter([batch]))).to_pandas()
+    settled = suffix_dedup._settle_names(suffix_dedup.MANY, suffix_dedup.TOO_MANY)(found)
+    wanted = settled[settled.kind == suffix_dedup.COMPARE].groupby("doc").payload.agg(list)
+    number = sum(len(p) for w in wanted for p in w) // suffix_dedup.STRETCH.itemsize
+    columns = {"d": wanted.index, "m": [0] * len(wanted), "t": [texts[i] for i in wanted.index], "w": wanted.tolist()}
+    sent = suffix_dedup._fetch_texts(4)(iter([suffix_dedup.pa.RecordBatch.from_pydict(columns)]))
+    size = sum(len(p) for b in sent for p in b.column(4).to_pylist())
+    assert number > 150 and size < 200 * number
+
+
+def test_repeats_leave_no_shuffle_files(spark):
+    """Before the last stage only stored tables are left, and it shuffles few documents without repeats."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(d.getPath()) for d in env.blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: sum(f.stat().st_size for d in folders for f in d.glob("*/shuffle_*.data"))
+    texts = [prose(300, 500 + i) for i in range(60)]
+    docs = documents(spark, [*texts, texts[3]])
+    before = shuffled()
+    out = suffix_dedup.remove_repeats(docs)
+    # Counts leave a few bytes for each task.
+    assert shuffled() - before < 5_000
+    many = spark.range(500).selectExpr("id AS doc", "0L AS text", "'x' AS body")
+    near, rest = suffix_dedup._told_apart(many, many.filter("doc = 7"))
+    assert 7 in {r.doc for r in near.collect()} and near.count() < 5 and near.count() + rest.count() == 500
+    assert sorted(r.doc_id for r in out.collect() if r.n_removed) == [60]
+
+
 def test_repeats_in_blocks(spark, monkeypatch):
     """A text beyond the block size is handled in parts."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 700)
