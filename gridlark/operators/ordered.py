@@ -562,7 +562,9 @@ def wide_range_sums(
     cover = _cover(number(F.col("_low")), number(F.col("_high")))
     too_wide = F.exists(cover, lambda s: s["level"] > levels)
     checked = F.when(too_wide, F.raise_error(F.lit("a range has too many cells"))).otherwise(cover)
-    inner = ranges.select(*keys, *ids, F.explode(checked).alias("_slot")).join(slots, [*keys, "_slot"])
+    # Spark takes an exploded table to be as large as its files, and would send it to all tasks through the
+    # driver: some thirty rows for each range, forty for each cell. Either side is shuffled.
+    inner = ranges.select(*keys, *ids, F.explode(checked).alias("_slot")).hint("merge").join(slots, [*keys, "_slot"])
     both = total(at_ends.unionByName(inner.select(*ids, *names)), ids)
     return both.select(
         *[F.col(i).alias(c) for i, c in zip(ids, left_id)], *[F.col(n).cast(kinds[n].dataType).alias(n) for n in names]

@@ -240,6 +240,19 @@ def test_ranges_of_any_width(spark, limit, opened):
         assert got[i] == (len(hits), sum(hits))
 
 
+def test_wide_ranges_are_not_broadcast(spark, tmp_path):
+    """Files of a few kB hold ranges with many slots each; their size on disk says nothing about those."""
+    spark.range(300).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS at").coalesce(1).write.parquet(f"{tmp_path}/left")
+    spark.range(300).selectExpr("CAST(id AS DOUBLE) AS x").coalesce(1).write.parquet(f"{tmp_path}/right")
+    left, right = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("left", "right"))
+    at = F.col("at")
+    out = ordered.wide_range_sums(left, right, [], ["id"], "x", {"n": F.lit(1)}, at - 1e6, at + 150, cell=0.01)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_slot" in line]
+    assert {r.id: r.n for r in out.collect()} == {i: i % 7 + 151 for i in range(300)}
+
+
 def test_covers_are_short(spark):
     df = spark.createDataFrame([(a, b) for a in (-9, 0, 5) for b in (5, 6, 77, 10**9, 2**40)], "a LONG, b LONG")
     for r in df.select("a", "b", ordered._cover(F.col("a"), F.col("b")).alias("c")).collect():
